@@ -72,36 +72,57 @@ def query_content(queries: DataFrame) -> DataFrame:
 
 
 def _dictionary(specs: DataFrame) -> DataFrame:
-    """Distinct phrases with their anchor (first words)."""
+    """Distinct phrases: word count, first word, and anchor (the first few words)."""
     every = F.array_union(F.array_union(F.array("must"), F.col("any")), F.col("should"))
+    n_words = F.size(F.split("phrase", " "))
     return (
         specs.select(F.explode(every).alias("phrase"))
         .distinct()
-        .withColumn("anchor", F.substring_index("phrase", " ", _ANCHOR_WORDS))
+        .select(
+            "phrase",
+            n_words.alias("n_words"),
+            F.least(n_words, F.lit(_ANCHOR_WORDS)).alias("anchor_words"),
+            F.substring_index("phrase", " ", 1).alias("word"),
+            F.substring_index("phrase", " ", _ANCHOR_WORDS).alias("anchor"),
+        )
     )
 
 
-def _windows(
-    corpus: DataFrame, doc_id: str, title: str | None, fields: Sequence[str], width: int
+def _positions(
+    corpus: DataFrame, doc_id: str, title: str | None, fields: Sequence[str]
 ) -> DataFrame:
-    """(doc, in_title, window): the ``width`` words from every position of a page."""
-    forms = [phrase_form(F.coalesce(F.col(f), F.lit(""))) for f in ([title] if title else [])]
-    forms += [phrase_form(F.coalesce(F.col(f), F.lit(""))) for f in fields]
-    text = F.concat_ws(f" {_FIELD_BREAK} ", *forms)
-    tokens = corpus.select(
+    """(doc, tokens, in_title, i, word) for every word position of a page.
+
+    The outer form of explode keeps Spark from adding an "array is not empty"
+    filter that would split every text a second time.
+    """
+
+    def field_words(c: str) -> Column:
+        return F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+")
+
+    names = [title, *fields] if title else list(fields)
+    parts = [field_words(names[0])]
+    for name in names[1:]:
+        parts += [F.array(F.lit(_FIELD_BREAK)), field_words(name)]
+    return corpus.select(
         F.col(doc_id).alias("doc"),
-        F.split(text, " +").alias("tokens"),
-        (F.size(F.split(forms[0], " ")) if title else F.lit(0)).alias("title_words"),
-    )
-    starts = F.sequence(F.lit(1), F.size("tokens"))
-    window = F.transform(
-        starts,
-        lambda i: F.struct(
-            (i <= F.col("title_words")).alias("in_title"),
-            F.array_join(F.slice("tokens", i, width), " ").alias("window"),
-        ),
+        (F.concat(*parts) if len(parts) > 1 else parts[0]).alias("tokens"),
+        (F.size(field_words(title)) if title else F.lit(0)).alias("title_words"),
+    ).select(
+        "doc",
+        "tokens",
+        "title_words",
+        F.posexplode_outer("tokens").alias("i", "word"),
     )
-    return tokens.select("doc", F.explode(window).alias("w")).select("doc", "w.*")
+
+
+def _next_words(n: int) -> Column:
+    return F.concat_ws(" ", *[F.get("tokens", F.col("i") + k) for k in range(n)])
+
+
+def _extends(text: Column) -> Column:
+    """The dictionary phrase is all of ``text`` or its beginning, on a word end."""
+    return F.concat(text, F.lit(" ")).startswith(F.concat("phrase", F.lit(" ")))
 
 
 def phrase_hits(
@@ -112,31 +133,49 @@ def phrase_hits(
     fields: Sequence[str],
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """(doc, hits, title_hits): the dictionary phrases each page contains."""
+    """(doc, hits, title_hits): the dictionary phrases each page contains.
+
+    With a small dictionary a position is first looked up by its word alone,
+    then by its anchor, and only phrases longer than the anchor are compared
+    word for word; all of it in the scan's own stage, so the token array is
+    never copied.  With a large one the anchor and the following words leave
+    the scan as a narrow row and meet the dictionary in a shuffle.
+    """
     dictionary = _dictionary(specs)
-    n_words = F.size(F.split("phrase", " "))
-    # One row of measurements decides window width and join strategy.
+    # One row of measurements decides the join strategy.
     size = dictionary.agg(
-        F.coalesce(F.max(n_words), F.lit(1)).alias("width"),
-        F.coalesce(F.sum(2 * F.octet_length("phrase") + 64), F.lit(0)).alias("bytes"),
-        F.sort_array(F.collect_set(F.least(n_words, F.lit(_ANCHOR_WORDS)))).alias("anchors"),
+        F.coalesce(F.max("n_words"), F.lit(1)).alias("width"),
+        F.coalesce(F.sum(3 * F.octet_length("phrase") + 96), F.lit(0)).alias("bytes"),
     ).first()
-    windows = _windows(corpus, doc_id, title, fields, size["width"])
-    anchors = [F.substring_index("window", " ", n) for n in size["anchors"]] or [F.lit(None)]
-    anchored = windows.select(
-        "doc", "in_title", "window", F.explode(F.array_distinct(F.array(*anchors))).alias("anchor")
-    )
+    positions = _positions(corpus, doc_id, title, fields)
+    in_title = (F.col("i") < F.col("title_words")).alias("in_title")
     if size["bytes"] <= broadcast_bytes:
-        dictionary = F.broadcast(dictionary)
-    starts_here = F.concat("window", F.lit(" ")).startswith(F.concat("phrase", F.lit(" ")))
-    return (
-        anchored.join(dictionary, "anchor")
-        .filter(starts_here)
-        .groupBy("doc")
-        .agg(
-            F.collect_set("phrase").alias("hits"),
-            F.collect_set(F.when(F.col("in_title"), F.col("phrase"))).alias("title_hits"),
+        heads = dictionary.select("word", F.col("anchor_words").alias("take")).distinct()
+        anchor = F.col("word")
+        for n in range(2, _ANCHOR_WORDS + 1):
+            anchor = F.when(F.col("take") == n, _next_words(n)).otherwise(anchor)
+        longer = F.when(F.col("n_words") <= _ANCHOR_WORDS, F.lit(True)).otherwise(
+            _extends(_next_words(size["width"]))
+        )
+        found = (
+            positions.join(F.broadcast(heads), "word")
+            .withColumn("anchor", anchor)
+            .join(F.broadcast(dictionary.drop("word")), "anchor")
+            .filter(longer)
+            .select("doc", in_title, "phrase")
+        )
+    else:
+        anchors = F.array(*[_next_words(n) for n in range(1, _ANCHOR_WORDS + 1)])
+        narrow = positions.select(
+            "doc",
+            in_title,
+            _next_words(size["width"]).alias("window"),
+            F.explode(anchors).alias("anchor"),
         )
+        found = narrow.join(dictionary, "anchor").filter(_extends(F.col("window")))
+    return found.groupBy("doc").agg(
+        F.collect_set("phrase").alias("hits"),
+        F.collect_set(F.when(F.col("in_title"), F.col("phrase"))).alias("title_hits"),
     )
 
 
