@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from waymark.headers import by_position
+
 
 def build_session(app: str = "waymark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; ``conf`` wins over the defaults.
@@ -54,8 +56,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     For results that must not be computed twice: user functions with side
-    effects, generated ids.  The copy survives the loss of executors.
+    effects, generated ids.  The copy survives the loss of executors.  Columns are
+    stored under positional names, so any headers will do.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    positional, _ = by_position(df)
+    positional.write.parquet(path)
+    return df.sparkSession.read.schema(positional.schema).parquet(path).toDF(*df.columns)
