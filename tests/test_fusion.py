@@ -1,6 +1,7 @@
 """Rank fusion against a plain loop; numbering of large groups; plan shape."""
 
 import random
+from itertools import zip_longest
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -19,17 +20,13 @@ LISTS = st.lists(st.lists(ITEM, max_size=6), min_size=1, max_size=4)
 
 
 def fused_on_paper(lists, limit):
-    """Visit position by position, list by list; keep the first of each URL."""
+    """Deal the lists out like columns of a table; the first spelling of a URL stays."""
     kept = {}
-    for round_ in range(max((len(x) for x in lists), default=0)):
-        for items in lists:
-            if round_ < len(items):
-                url = items[round_]
-                key = (url or "").strip().lower()
-                if key and key not in kept:
-                    kept[key] = url
-    urls = list(kept.values())
-    return urls if limit is None else urls[:limit]
+    for row in zip_longest(*lists, fillvalue=""):
+        for url in row:
+            kept.setdefault((url or "").strip().lower(), url)
+    kept.pop("", None)
+    return list(kept.values())[:limit]
 
 
 def as_table(spark, groups):

@@ -109,8 +109,7 @@ def test_queries(spark):
 def test_queries_drop_case_twins(spark):
     template = {"lead": "name", "clause": '"x"', "any": ("x",)}
     twin = {**template, "clause": '"X"'}
-    specs = query_specs("entity", 3, (template, twin))
-    got = school(spark, name="A").select(specs.alias("s")).first().s
+    got = query_specs(school(spark, name="A"), 3, (template, twin)).first().query_specs
     assert [s.query for s in got] == ['"A" "x"']
 
 

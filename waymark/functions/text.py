@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from waymark import fixed_values as V
 
-# Unicode whitespace plus the four separator controls that Python's strip()
-# also removes; Spark's trim() only knows U+0020.
-_SPACE = r"[\s\x1c-\x1f]"
+# What Python's strip() removes; Spark's trim() alone only knows U+0020.
+_BLANKS = "".join(chr(p) for p in range(0x3001) if chr(p).isspace())
+_BLANK = r"[\s\x1c-\x1f]"  # the same set as a pattern under (?U)
 
 
 def _col(c: Column | str) -> Column:
@@ -18,7 +18,7 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove leading and trailing Unicode whitespace."""
-    return F.regexp_replace(_col(c), rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+    return F.trim(_col(c), F.lit(_BLANKS))
 
 
 def clean_text(c: Column | str) -> Column:
@@ -33,7 +33,7 @@ def non_blank(c: Column | str) -> Column:
 
 def squeeze_ws(c: Column | str) -> Column:
     """Whitespace runs become one space, ends are stripped."""
-    return F.trim(F.regexp_replace(_col(c), rf"(?U){_SPACE}+", " "))
+    return F.trim(F.regexp_replace(_col(c), rf"(?U){_BLANK}+", " "))
 
 
 def truncate_content(c: Column | str, n: int = V.MAX_CONTENT_CHARS) -> Column:

@@ -63,48 +63,51 @@ def _present(*parts: Column) -> Column:
 
 
 def query_specs(
-    entity: Column | str = "entity",
+    df: DataFrame,
     max_queries: int = V.MAX_QUERIES,
     templates: Sequence[Mapping] = V.QUERY_TEMPLATES,
-) -> Column:
-    """Ordered distinct search queries of an entity, as text and as phrases.
+    out: str = "query_specs",
+) -> DataFrame:
+    """Add the ordered distinct search queries of ``entity``, as text and as phrases.
 
     Array of struct(query, must_phrase, any_phrases, should_terms): ``query``
     is the text a search service takes, the other three say the same for a
     join against a corpus.  Duplicates drop by lowercase text, first kept.
+    Each text is a column of its own first, so that it is put together once
+    per row however often the array looks at it.
     """
     if max_queries < 1:
         raise ValueError("max_queries must be at least 1")
-    e = F.col(entity) if isinstance(entity, str) else entity
+    e = F.col("entity")
     name, district = e["name"], e["district"]
     where = F.array_join(_present(e["city"], e["state"]), " ")
 
     def quoted(c: Column) -> Column:
         return F.when(c == "", F.lit("")).otherwise(F.concat(F.lit('"'), c, F.lit('"')))
 
-    specs = []
-    for t in templates:
-        clause = F.lit(t["clause"])
+    texts, specs = {}, []
+    for i, t in enumerate(templates):
+        column, clause = f"_text_{i}", F.lit(t["clause"])
+        should = [e["city"], e["state"]]
         if t["lead"] == "district":
             text = F.concat_ws(" ", quoted(district), clause, quoted(name), where)
-            should = _present(e["city"], e["state"], district)
+            text = F.when(district != "", text).otherwise(F.lit(""))
+            should.append(district)
         else:
             text = F.concat_ws(" ", quoted(name), clause, where)
-            should = _present(e["city"], e["state"])
         spec = F.struct(
-            squeeze_ws(text).alias("query"),
+            F.col(column).alias("query"),
             name.alias("must_phrase"),
             F.array(*[F.lit(p) for p in t["any"]]).alias("any_phrases"),
-            should.alias("should_terms"),
+            _present(*should).alias("should_terms"),
         )
-        specs.append(F.when(district != "", spec) if t["lead"] == "district" else spec)
-    offered = F.filter(F.array(*specs), lambda s: s.isNotNull() & (s["query"] != ""))
-    texts = F.transform(offered, lambda s: F.lower(s["query"]))
-    firsts = F.filter(
-        offered,
-        lambda s, i: F.array_position(texts, F.lower(s["query"])) == (i + 1).cast("long"),
-    )
-    return F.slice(firsts, 1, max_queries)
+        fresh = F.col(column) != ""
+        for earlier in texts:
+            fresh &= F.lower(column) != F.lower(earlier)
+        texts[column] = squeeze_ws(text)
+        specs.append(F.when(fresh, spec))
+    offered = F.filter(F.array(*specs), lambda s: s.isNotNull())
+    return df.withColumns(texts).withColumn(out, F.slice(offered, 1, max_queries)).drop(*texts)
 
 
 def build_queries(
@@ -113,8 +116,8 @@ def build_queries(
     templates: Sequence[Mapping] = V.QUERY_TEMPLATES,
 ) -> DataFrame:
     """Add ``queries``, the ordered query texts of the ``entity`` column."""
-    specs = query_specs("entity", max_queries, templates)
-    return df.withColumn("queries", F.transform(specs, lambda s: s["query"]))
+    specs = query_specs(df, max_queries, templates, "_specs")
+    return specs.withColumn("queries", F.col("_specs.query")).drop("_specs")
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:

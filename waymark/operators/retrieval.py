@@ -32,6 +32,7 @@ from pyspark.sql.window import Window
 
 from waymark import fixed_values as V
 from waymark.functions.text import phrase_form
+from waymark.session import materialize
 
 _ANCHOR_WORDS = 3
 _FIELD_BREAK = "|"  # never part of a phrase form
@@ -206,7 +207,12 @@ def retrieve_specs(
     fields: Sequence[str],
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """(spec_id, doc_id, score, rank) for distinct query specs."""
+    """(spec_id, doc_id, score, rank) for distinct query specs.
+
+    The specs are written once: seven steps below read them, and as a stored
+    table they have a known size for Spark's own choice of join.
+    """
+    specs = materialize(specs, "query-specs")
     hits = phrase_hits(corpus, specs, doc_id, title, fields, broadcast_bytes)
     classes = specs.select("class_id", "must", "any").distinct()
     terms = specs.select("class_id", "spec_id", F.explode("should").alias("term"))

@@ -113,7 +113,8 @@ def with_queries(sql: str) -> str:
 def search_queries(spark: SparkSession, sf: str) -> DataFrame:
     canonical = canonicalize_entities(view(spark, sf, "entities_v"))
     asked = build_queries(canonical.select("entity_id", "entity"))
-    return asked.select("entity_id", F.posexplode("queries").alias("list_idx", "query"))
+    rows = asked.select("entity_id", F.posexplode_outer("queries").alias("list_idx", "query"))
+    return rows.filter("query IS NOT NULL")
 
 
 @query(
