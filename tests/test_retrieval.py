@@ -62,7 +62,7 @@ def found(spark, queries, docs, n, **options):
     return {(r.query_id, r.doc_id, r.score, r["rank"]) for r in rows}
 
 
-@pytest.mark.parametrize("seed,n,limit", [(1, 3, 1 << 20), (2, 10, 1 << 20), (3, 3, 0)])
+@pytest.mark.parametrize("seed,n,limit", [(1, 3, 1 << 20), (2, 10, 1 << 20), (3, 3, 0), (4, 5, 6000)])
 def test_equals_brute_force(spark, seed, n, limit):
     queries, docs = random_case(seed)
     got = found(spark, queries, docs, n, broadcast_bytes=limit)

@@ -79,7 +79,6 @@ QUERY_TEMPLATES = (
 MAX_QUERIES = 3
 MAX_CANDIDATES = 10
 MAX_CONTENT_CHARS = 500
-FLUSH_ROWS = 250
 
 # Attempt limits and outcome codes of the fetch log.
 SEARCH_ATTEMPTS = 4

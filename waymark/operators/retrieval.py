@@ -11,8 +11,8 @@ How it runs
 The corpus is read once and only narrow (page, phrase) hits leave the scan.
 All phrases of all queries form one dictionary; a page's word windows meet it
 in an equi-join on the first words of the phrase, so nothing is compared that
-does not share them.  A measured-small dictionary is broadcast; a larger one
-is joined by shuffle.
+does not share them.  A dictionary measured to be small is broadcast; a larger
+one is joined by shuffle, after positions whose word begins no phrase are gone.
 
 Queries are then grouped before they meet pages.  Queries with the same
 content are one *spec*; specs with the same match condition (must, any) are
@@ -36,7 +36,7 @@ from waymark.session import materialize
 
 _ANCHOR_WORDS = 3
 _FIELD_BREAK = "|"  # never part of a phrase form
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def _top(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -73,16 +73,20 @@ def query_content(queries: DataFrame) -> DataFrame:
 
 
 def _dictionary(specs: DataFrame) -> DataFrame:
-    """Distinct phrases: word count, first word, and anchor (the first few words)."""
-    every = F.array_union(F.array_union(F.array("must"), F.col("any")), F.col("should"))
+    """Distinct phrases: is it a must-phrase, word count, first word, anchor (first few words)."""
+    others = F.explode(F.array_union("any", "should"))
+    phrases = specs.select(F.col("must").alias("phrase"), F.lit(True).alias("is_must")).unionByName(
+        specs.select(others.alias("phrase"), F.lit(False).alias("is_must"))
+    )
     n_words = F.size(F.split("phrase", " "))
     return (
-        specs.select(F.explode(every).alias("phrase"))
-        .distinct()
+        phrases.groupBy("phrase")
+        .agg(F.max("is_must").alias("is_must"))
         .select(
             "phrase",
+            "is_must",
             n_words.alias("n_words"),
-            F.least(n_words, F.lit(_ANCHOR_WORDS)).alias("anchor_words"),
+            F.least(n_words, F.lit(_ANCHOR_WORDS)).alias("take"),
             F.substring_index("phrase", " ", 1).alias("word"),
             F.substring_index("phrase", " ", _ANCHOR_WORDS).alias("anchor"),
         )
@@ -121,9 +125,9 @@ def _next_words(n: int) -> Column:
     return F.concat_ws(" ", *[F.get("tokens", F.col("i") + k) for k in range(n)])
 
 
-def _extends(text: Column) -> Column:
-    """The dictionary phrase is all of ``text`` or its beginning, on a word end."""
-    return F.concat(text, F.lit(" ")).startswith(F.concat("phrase", F.lit(" ")))
+def _stored_bytes(phrase: str) -> Column:
+    """Generous size of a broadcast row that holds the text up to three times."""
+    return 3 * F.octet_length(phrase) + 96
 
 
 def phrase_hits(
@@ -134,49 +138,54 @@ def phrase_hits(
     fields: Sequence[str],
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """(doc, hits, title_hits): the dictionary phrases each page contains.
-
-    With a small dictionary a position is first looked up by its word alone,
-    then by its anchor, and only phrases longer than the anchor are compared
-    word for word; all of it in the scan's own stage, so the token array is
-    never copied.  With a large one the anchor and the following words leave
-    the scan as a narrow row and meet the dictionary in a shuffle.
+    """(doc, musts, hits, title_hits): the dictionary phrases each page contains.
+
+    A position is first looked up by its word alone (the heads: which words
+    begin a phrase, how many words its anchors take, how far its phrases
+    reach), then by its anchor; only phrases longer than the anchor are
+    compared word for word.  All of that runs in the scan's own stage, so the
+    token array is never copied.  If the dictionary is too large to broadcast,
+    the surviving positions leave the scan as narrow rows and meet it in a
+    shuffle.
     """
     dictionary = _dictionary(specs)
+    heads = dictionary.groupBy("word", "take").agg(F.max("n_words").alias("reach"))
     # One row of measurements decides the join strategy.
-    size = dictionary.agg(
-        F.coalesce(F.max("n_words"), F.lit(1)).alias("width"),
-        F.coalesce(F.sum(3 * F.octet_length("phrase") + 96), F.lit(0)).alias("bytes"),
+    sizes = dictionary.groupBy("word", "take").agg(
+        F.max("n_words").alias("width"), F.sum(_stored_bytes("phrase")).alias("phrases")
+    )
+    size = sizes.agg(
+        F.coalesce(F.max("width"), F.lit(1)).alias("width"),
+        F.coalesce(F.sum("phrases"), F.lit(0)).alias("phrases"),
+        F.coalesce(F.sum(_stored_bytes("word")), F.lit(0)).alias("heads"),
     ).first()
     positions = _positions(corpus, doc_id, title, fields)
-    in_title = (F.col("i") < F.col("title_words")).alias("in_title")
-    if size["bytes"] <= broadcast_bytes:
-        heads = dictionary.select("word", F.col("anchor_words").alias("take")).distinct()
-        anchor = F.col("word")
-        for n in range(2, _ANCHOR_WORDS + 1):
-            anchor = F.when(F.col("take") == n, _next_words(n)).otherwise(anchor)
-        longer = F.when(F.col("n_words") <= _ANCHOR_WORDS, F.lit(True)).otherwise(
-            _extends(_next_words(size["width"]))
-        )
-        found = (
-            positions.join(F.broadcast(heads), "word")
-            .withColumn("anchor", anchor)
-            .join(F.broadcast(dictionary.drop("word")), "anchor")
-            .filter(longer)
-            .select("doc", in_title, "phrase")
-        )
+    if size["heads"] <= broadcast_bytes:
+        headed = positions.join(F.broadcast(heads), "word")
     else:
-        anchors = F.array(*[_next_words(n) for n in range(1, _ANCHOR_WORDS + 1)])
-        narrow = positions.select(
-            "doc",
-            in_title,
-            _next_words(size["width"]).alias("window"),
-            F.explode(anchors).alias("anchor"),
+        takes = F.array(*[F.lit(n) for n in range(1, _ANCHOR_WORDS + 1)])
+        headed = positions.select(
+            "*", F.explode(takes).alias("take"), F.lit(size["width"]).alias("reach")
         )
-        found = narrow.join(dictionary, "anchor").filter(_extends(F.col("window")))
+    anchor = F.col("word")
+    for n in range(2, _ANCHOR_WORDS + 1):
+        anchor = F.when(F.col("take") == n, _next_words(n)).otherwise(anchor)
+    narrow = headed.select(
+        "doc",
+        (F.col("i") < F.col("title_words")).alias("in_title"),
+        anchor.alias("anchor"),
+        F.when(F.col("reach") > _ANCHOR_WORDS, _next_words(size["width"])).alias("window"),
+    )
+    lookup = dictionary.select("anchor", "phrase", "is_must", "n_words")
+    if size["phrases"] <= broadcast_bytes:
+        lookup = F.broadcast(lookup)
+    begins = F.concat("window", F.lit(" ")).startswith(F.concat("phrase", F.lit(" ")))
+    found = narrow.join(lookup, "anchor").filter((F.col("n_words") <= _ANCHOR_WORDS) | begins)
+    phrase = F.col("phrase")
     return found.groupBy("doc").agg(
-        F.collect_set("phrase").alias("hits"),
-        F.collect_set(F.when(F.col("in_title"), F.col("phrase"))).alias("title_hits"),
+        F.collect_set(F.when(F.col("is_must"), phrase)).alias("musts"),
+        F.collect_set(phrase).alias("hits"),
+        F.collect_set(F.when(F.col("in_title"), phrase)).alias("title_hits"),
     )
 
 
@@ -218,7 +227,7 @@ def retrieve_specs(
     terms = specs.select("class_id", "spec_id", F.explode("should").alias("term"))
 
     members = (
-        hits.select("doc", "hits", "title_hits", F.explode("hits").alias("must"))
+        hits.select("doc", "hits", "title_hits", F.explode("musts").alias("must"))
         .join(classes, "must")
         .filter((F.size("any") == 0) | F.arrays_overlap("any", "hits"))
         .select(
