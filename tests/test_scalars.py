@@ -4,8 +4,8 @@ import hashlib
 import json
 
 import pytest
-
 from pyspark.sql import functions as F
+
 from waymark.functions import answers, pages, status, text, urls
 
 PADS = ["", " a ", "\ta\n", " a ", "\x1ca\x1f", "a b", "　", None]

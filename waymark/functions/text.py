@@ -57,6 +57,18 @@ def distinct_first(c: Column | str, cap: int) -> Column:
     if cap < 1:
         raise ValueError("cap must be at least 1")
     c = _col(c)
-    lowered = F.transform(c, F.lower)
-    keys = F.slice(F.array_distinct(lowered), 1, cap)
-    return F.transform(keys, lambda k: F.get(c, (F.array_position(lowered, k) - 1).cast("int")))
+
+    def spelled(items: Column, keys: Column) -> Column:
+        firsts = F.slice(F.array_distinct(keys), 1, cap)
+        return F.transform(
+            firsts, lambda k: F.get(items, (F.array_position(keys, k) - 1).cast("int"))
+        )
+
+    # One-element arrays bind the items and their keys, so that each is worked
+    # out once per row and not once per key.
+    return F.transform(
+        F.array(c),
+        lambda items: F.transform(
+            F.array(F.transform(items, F.lower)), lambda keys: spelled(items, keys)
+        )[0],
+    )[0]

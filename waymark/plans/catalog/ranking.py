@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark import fixed_values as V
 from waymark.functions.urls import url_host
 from waymark.operators.fusion import collect_shortlist, fuse_ranked_lists, union_ranked
 from waymark.operators.retrieval import retrieve
@@ -17,7 +18,6 @@ from waymark.plans.catalog.scalars import (
     share_sql,
     staff_sql,
 )
-from waymark import fixed_values as V
 from waymark.plans.views import table, view
 
 
@@ -63,7 +63,8 @@ def shortlisted_pages_per_host(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f""", {fusion_sql('candidates_v')} SELECT entity_id, list_idx, pos, rk AS rank, url FROM fused""",
+    f""", {fusion_sql('candidates_v')}
+ SELECT entity_id, list_idx, pos, rk AS rank, url FROM fused""",
     "candidates_v",
 )
 def ranked_union(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,7 +104,8 @@ def shortlists(spark: SparkSession, sf: str) -> DataFrame:
 )
 def payload_fields(spark: SparkSession, sf: str) -> DataFrame:
     fused = fuse_ranked_lists(view(spark, sf, "candidates_v"))
-    texts = view(spark, sf, "page_v").select("page_id", F.substring("content", 1, 501).alias("content"))
+    opening = F.substring("content", 1, 501).alias("content")  # enough to see that there is more
+    texts = view(spark, sf, "page_v").select("page_id", opening)
     lists = collect_shortlist(fused.join(texts, "page_id"))
     entity = F.struct(
         F.col("entity_id").alias("name"),
@@ -195,7 +197,8 @@ best AS (SELECT entity_id, CASE WHEN eligible THEN clean_url ELSE 'NOT_FOUND' EN
 def best_pages(spark: SparkSession, sf: str) -> DataFrame:
     pages = view(spark, sf, "page_v")
     entities = pages.groupBy(F.col("host").alias("entity_id")).agg(F.min("title").alias("name"))
-    entities = entities.select("entity_id", F.struct("name", F.col("entity_id").alias("district")).alias("entity"))
+    fields = F.struct("name", F.col("entity_id").alias("district"))
+    entities = entities.select("entity_id", fields.alias("entity"))
     contacts = contact_columns(pages).select("page_id", "emails", "phones")
     fused = fuse_ranked_lists(view(spark, sf, "candidates_v")).join(contacts, "page_id")
     return select_best(fused.join(entities, "entity_id"), content=None)

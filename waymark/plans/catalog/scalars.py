@@ -188,7 +188,8 @@ def parsed_answers(spark: SparkSession, sf: str) -> DataFrame:
  ELSE '' END AS answer FROM pages"""
 )
 def response_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "api_responses_v").select("page_id", response_text("raw").alias("answer"))
+    answer = response_text("raw").alias("answer")
+    return view(spark, sf, "api_responses_v").select("page_id", answer)
 
 
 @query(

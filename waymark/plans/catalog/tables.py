@@ -277,7 +277,7 @@ def _stored_cache(spark: SparkSession, sf: str) -> str:
     every fifth entry is unreadable."""
     p = F.col("page_id")
     pages = view(spark, sf, "page_v").filter(p % 4 != 3)
-    entry = F.array(F.struct("title", F.coalesce("url", F.lit("")).alias("url"), F.lit("").alias("content")))
+    entry = F.array(F.struct("title", "url", F.lit("").alias("content")))
     older = pages.select(
         query_text().alias("query"), F.when(p % 5 != 0, entry).alias("results"), "page_id"
     )

@@ -193,7 +193,8 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def priority_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``priority_lists_v``: slices by price, so a huge customer splits too."""
     rows = view(spark, sf_dir, "priority_order_v")
-    order = [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")]
+    ties = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey")]
+    order = [F.desc("l_extendedprice"), *ties]
     slices = -F.floor(F.col("l_extendedprice") / 1024)
     numbered = number_rows(rows, ["entity_id", "list_idx"], order, slices, "pos")
     return numbered.select("entity_id", "list_idx", (F.col("pos") - 1).alias("pos"), "url")
