@@ -40,13 +40,18 @@ def number_rows(
     offsets = (
         sliced.groupBy(*keys)
         .agg(F.count("*").alias("_size"))
-        .select(*keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+        .select(
+            *[F.col(k).alias(f"_of_{i}") for i, k in enumerate(keys)],
+            F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
+        )
     )
+    # null keys form a group too
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{i}")) for i, k in enumerate(keys)]
     inside = Window.partitionBy(*keys).orderBy(*order)
     return (
-        sliced.join(offsets, keys)
+        sliced.join(offsets, same)
         .withColumn(out, F.col("_offset") + F.row_number().over(inside))
-        .drop("_slice", "_offset")
+        .select(*[c for c in df.columns if c != out], out)
     )
 
 
