@@ -36,3 +36,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waymark.llm.ngram_join import ngram_components
 
     return ngram_components(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
+@query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by models of the labelled ones outside fold 2."""
+    from waymark.llm.toxicity import fold, with_scores
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = with_scores(docs, table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id",
+        (fold(F.col("doc_id")) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
