@@ -51,3 +51,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query()
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier line resembles at 80 % of its words."""
+    from waymark.llm.line_dedup import without_repeated_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_repeated_lines(docs, removed="n_removed")
