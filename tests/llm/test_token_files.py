@@ -1,0 +1,58 @@
+"""Token files: exact round trip against the tokenizers library."""
+
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from waymark.llm.token_files import pack, parse, read_token_files, unpack, write_token_files
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+from tokenizers import Tokenizer  # noqa: E402
+
+WORD = public_tokenizers.path("word_bpe_49k.json")
+BYTE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=60))
+def test_codes_round_trip(ranks):
+    ranks = np.array(ranks, dtype=np.uint32)
+    control, data = pack(ranks)
+    back = unpack(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), len(ranks))
+    assert back.tolist() == ranks.tolist()
+    assert len(control) == -(-len(ranks) // 4)
+
+
+def test_damaged_file_is_noticed():
+    with pytest.raises(ValueError):
+        list(parse(b"WTF1" + bytes(20)))
+
+
+TEXTS = ["Hello, world's end\n\nNEW line", "", None, "a b\x1cc\td  e", "<|endoftext|>x <|startoftext|>", "é ́ e", "日本語 text 123", "  ", "don't " * 500]
+
+
+@pytest.mark.parametrize("path,by_word", [(WORD, True), (BYTE, False)])
+def test_files_hold_every_document(spark, tmp_path, monkeypatch, path, by_word):
+    monkeypatch.setattr("waymark.llm.token_files.RECORD_IDS", 50)
+    rows = [(100 - 3 * i, t, "x") for i, t in enumerate(TEXTS * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    write_token_files(df, path, str(tmp_path), end_id=1, by_word=by_word, files=3)
+    got = sorted((r["doc_id"], r["start"], bytes(r["ids"])) for r in read_token_files(spark, str(tmp_path)).collect())
+    tokenizer, want, start = Tokenizer.from_file(path), [], 0
+    for doc, text, _ in sorted(rows):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        want.append((doc, start, np.array(ids, dtype="<u4").tobytes()))
+        start += len(ids)
+    assert got == want
+    assert zlib.crc32(got[0][2]) >= 0
+
+
+def test_empty_table_and_null_ids(spark, tmp_path):
+    df = spark.createDataFrame([(None, "x")], "doc_id long, text string")
+    write_token_files(df.limit(0), WORD, str(tmp_path / "a"), by_word=True)
+    assert read_token_files(spark, str(tmp_path / "a")).count() == 0
+    with pytest.raises(ValueError, match="no doc_id"):
+        write_token_files(df, WORD, str(tmp_path / "b"))

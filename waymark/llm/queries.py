@@ -72,3 +72,23 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waymark.llm.exact_dedup import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, from the token files written of all."""
+    import public_tokenizers
+
+    from waymark.llm.token_files import read_token_files, write_token_files
+    from waymark.session import scratch_path
+
+    path = scratch_path(spark, "token-files")
+    write_token_files(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path, end_id=1, by_word=True
+    )
+    return read_token_files(spark, path).select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
