@@ -1,0 +1,89 @@
+"""The transducer against the sentencepiece library, and round trips."""
+
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from waymark.llm.piece_transducer import Transducer, encode_documents
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+sentencepiece = pytest.importorskip("sentencepiece")
+PATH = public_tokenizers.path("piece_bpe_32k.model")
+TEXTS = ["Hello world", "", " ", "  two  spaces ", "a\nb\n\nc\td", "Ünïcödé 日本語 🎉 ☃", "word " * 300, "x" * 200, "in_the middle▁of", "�"]
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+@pytest.fixture(scope="module")
+def model():
+    with open(PATH, "rb") as f:
+        return f.read()
+
+
+@pytest.fixture(scope="module")
+def lattice(model):
+    """The library on the same pieces and scores, told to search the lattice (model type 1)."""
+    from waymark.llm.piece_transducer import fields
+
+    out = b""
+    for number, value in fields(model):
+        if number == 2:
+            value = b"".join(
+                varint(k << 3) + varint(1 if k == 3 else v) if isinstance(v, int) else b""
+                for k, v in fields(value)
+            )
+        out += varint(number << 3 | 2) + varint(len(value)) + value
+    return sentencepiece.SentencePieceProcessor(model_proto=out)
+
+
+def same(model, lattice, texts):
+    got = [np.frombuffer(e, "<u4").tolist() for e in Transducer(model).encode(texts)]
+    for text, ids in zip(texts, got, strict=True):
+        want = lattice.encode(text)
+        if ids != want:  # paths of equal cost are equally short
+            cost = lambda x: sum(lattice.get_score(i) for i in x)
+            assert cost(ids) == pytest.approx(cost(want), rel=1e-6), text
+
+
+def test_equals_the_library_on_the_same_scores(model, lattice):
+    same(model, lattice, TEXTS)
+
+
+_one = {}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=60) | st.text(alphabet="ab é▁\n", max_size=40))
+def test_round_trip(text):
+    if not _one:
+        with open(PATH, "rb") as f:
+            _one["t"] = Transducer(f.read())
+    t = _one["t"]
+    assert t.decode(t.encode([text])[0]) == text.replace("▁", " ")
+
+
+def test_documents(spark, model):
+    rows = [(i, t, "x") for i, t in enumerate([*TEXTS, None])] + [(0, TEXTS[0], "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra string")
+    got = encode_documents(df, PATH, decoded="back")
+    assert got.columns == ["doc_id", "text", "extra", "ids", "back"]
+    found = got.collect()
+    assert len(found) == len(rows)
+    t = Transducer(model)
+    for r in found:
+        assert r["back"] == (r["text"] or "").replace("▁", " ")
+        assert r["ids"] == np.frombuffer(t.encode([r["text"]])[0], "<u4").tolist()
+    assert encode_documents(df.limit(0), PATH).count() == 0
+
+
+def test_pieces_over_a_boundary_are_refused():
+    piece = b"\x0a" + bytes([len("a▁b".encode())]) + "a▁b".encode()
+    with pytest.raises(ValueError, match="boundary"):
+        Transducer(b"\x0a" + bytes([len(piece)]) + piece)

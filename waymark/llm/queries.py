@@ -92,3 +92,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.crc32("ids").alias("ids_crc32"),
     )
+
+
+@query()
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and the text decoded from them."""
+    import public_tokenizers
+
+    from waymark.llm.piece_transducer import encode_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded="decoded")
+    return encoded.select("doc_id", "ids", "decoded")
