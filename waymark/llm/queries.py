@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.llm.mixing import QUERY_TARGETS, draw
+from waymark.llm.mixing import oracle_sql as mixing_sql
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -104,3 +107,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded="decoded")
     return encoded.select("doc_id", "ids", "decoded")
+
+
+@query(mixing_sql(QUERY_TARGETS))
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn so that sources, languages and kinds of text have their target shares."""
+    return draw(table(spark, sf_dir, "documents"), QUERY_TARGETS, details=True)
