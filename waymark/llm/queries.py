@@ -113,3 +113,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn so that sources, languages and kinds of text have their target shares."""
     return draw(table(spark, sf_dir, "documents"), QUERY_TARGETS, details=True)
+
+
+@query()
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from waymark.llm.html_extract import with_main_text
+
+    pages = with_main_text(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
