@@ -1,0 +1,42 @@
+"""Top-k search against brute force."""
+
+import math
+import random
+
+import pytest
+
+from waymark.llm.topk_search import top_k
+
+SCHEMA = "vec_id long, embedding array<double>, dim int, shard string, score double"
+
+
+def brute(rows, every, k, scale):
+    v = {}
+    for i, e in rows:
+        if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e):
+            v[i] = [math.floor(scale * x) for x in e]
+    out = []
+    for q in v:
+        if q % every:
+            continue
+        scores = [(-sum(a * b for a, b in zip(v[q], v[c], strict=True)), c) for c in v if c != q and len(v[c]) == len(v[q])]
+        out += [(q, r, c, max(-(2**63), min(2**63 - 1, -s))) for r, (s, c) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size,values", [(1, 3), (6, 1000)])
+def test_equals_brute_force(spark, monkeypatch, size, values):
+    monkeypatch.setattr("waymark.llm.topk_search.SHARD", 60)
+    monkeypatch.setattr("waymark.llm.topk_search.LEAF", 7)
+    monkeypatch.setattr("waymark.llm.topk_search.QUERY_BLOCK", 5)
+    rng = random.Random(size)
+    rows = [(i, [rng.randrange(-values, values) / 7 for _ in range(size)]) for i in range(300)]
+    rows += [(400, [1.0]), (401, [2.0]), (500, None), (550, [math.nan] * size), (600, [math.inf] * size), (None, [0.0] * size)]
+    rows += [(650, [1e200] + [0.0] * 8), (700, [3e300] + [1.0] * 8), (750, [None] * size), (800, []), (5, rows[5][1])]
+    df = spark.createDataFrame([(i, e, 1, "s", 0.5) for i, e in rows], SCHEMA)
+    got = sorted(map(tuple, top_k(df, every=10, k=4, scale=4.0).collect()))
+    limit = 2**63
+    want = brute([(i, e if e is None or i not in (650, 700) else [max(-limit, min(limit - 1, math.floor(4 * x))) / 4 for x in e]) for i, e in rows if i not in (650, 700)], 10, 4, 4.0)
+    assert [r for r in got if r[0] not in (650, 700)] == want
+    assert [r[:3] for r in got if r[0] in (650, 700)] == [(650, 1, 700), (700, 1, 650)]
+    assert top_k(df.limit(0)).count() == 0
