@@ -1,0 +1,56 @@
+"""ARC to WARC: parsing, revisits, round trip of every payload."""
+
+import hashlib
+
+import pytest
+
+from waymark.llm.warc import arc_head, arc_record, archive, parse_arc, parse_warc, safe_url, warc_date
+
+PAGES = [
+    (1, "http://a/x y", "<p>é</p>\r\n\r\nWARC/1.1\n" * 100),
+    (2, "http://b/", "<p>é</p>\r\n\r\nWARC/1.1\n" * 100),
+    (3, None, "short"),
+    (4, "http://b/", "short"),
+    (5, "", None),
+    (6, "http://c/", "z" * 1000),
+    (6, "http://c/2", "z" * 1000),
+    (7, "http://d/", "z" * 1000),
+    (None, "http://e/", "q" * 2000),
+]
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_versions(version):
+    name = "x.arc"
+    records = [arc_record(safe_url(u, i), i, (h or "").encode(), version, name, 0) for i, u, h in PAGES]
+    content = b"\n".join([arc_head(name, version, "20000101000000"), *records]) + b"\n"
+    got = list(parse_arc(content))
+    assert [b.partition(b"\r\n\r\n")[2].decode() for _, b in got] == [h or "" for _, _, h in PAGES]
+    assert [f["URL"] for f, _ in got][:3] == ["http://a/x%20y", "http://b/", "urn:page:3"]
+    assert ("Checksum" in got[0][0]) == (version == 2)
+    with pytest.raises(ValueError, match="cut off"):
+        list(parse_arc(content[:-20]))
+
+
+def test_dates_and_damage():
+    assert warc_date("20010203040506") == "2001-02-03T04:05:06Z"
+    assert warc_date("200102030405") == "2001-02-03T04:05:00Z"
+    with pytest.raises(ValueError):
+        list(parse_warc(b"HTTP/1.1 200 OK\r\n\r\n"))
+
+
+def test_round_trip(spark, monkeypatch):
+    monkeypatch.setattr("waymark.llm.warc.FILE_BYTES", 2000)
+    df = spark.createDataFrame([(*p, "x") for p in PAGES], "page_id long, url string, html string, payload string")
+    rows = archive(df).collect()
+    assert len(rows) == len(PAGES)
+    assert all(
+        hashlib.sha1(bytes(r["payload"])).hexdigest() == r["payload_digest"] for r in rows if r["record_type"] == "response"
+    )
+    got = sorted((str(r["page_id"]), r["record_type"], r["refers_to"], r["payload_bytes"]) for r in rows)
+    size = len(PAGES[0][2].encode())
+    want = [("1", "revisit", 2, size), ("2", "response", None, size), ("3", "response", None, 5), ("4", "response", None, 5)]
+    want += [("5", "response", None, 0), ("6", "revisit", 7, 1000), ("6", "revisit", 7, 1000), ("7", "response", None, 1000)]
+    assert got == sorted([*want, ("None", "response", None, 2000)])
+    assert len({r["record_id"] for r in rows}) == len(PAGES)
+    assert archive(df.limit(0)).count() == 0

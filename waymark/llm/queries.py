@@ -140,3 +140,20 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waymark.llm.topk_search import top_k
 
     return top_k(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256.0)
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY s, n) AS last FROM d)
+SELECT page_id, n AS payload_bytes, s AS payload_digest,
+ CASE WHEN n >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN n >= 1000 AND last <> page_id THEN last END AS refers_to FROM m
+""")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the archives written of all pages."""
+    from waymark.llm.warc import archive
+
+    return archive(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
