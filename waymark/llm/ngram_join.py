@@ -31,7 +31,7 @@ BAND_RATIO = 1.35
 #: Members of a tile that one task compares with as many others.
 BLOCK = 2048
 #: Followers of one leader that one task verifies.
-FOLLOWERS = 512
+FOLLOWERS = 128
 
 
 class Rule:
@@ -97,11 +97,12 @@ class Rule:
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """A bitmap with two bits or more per shingle (a power of two of 64-bit words)."""
+    """Two bits or more per shingle (a power of two of 64-bit words); a bit tells whether
+    an odd number of the shingles hash to it."""
     words = max(1, 1 << max(0, int(2 * len(hashes) - 1).bit_length() - 6))
     bits = hashes & np.uint64(words * 64 - 1)
     out = np.zeros(words, dtype=np.uint64)
-    np.bitwise_or.at(out, (bits >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bits & np.uint64(63)))
+    np.bitwise_xor.at(out, (bits >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bits & np.uint64(63)))
     return out
 
 
@@ -109,16 +110,15 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     """The bitmap as if it had been made with fewer words."""
     while bits.shape[-1] > words:
         half = bits.shape[-1] // 2
-        bits = bits[..., :half] | bits[..., half:]
+        bits = bits[..., :half] ^ bits[..., half:]
     return bits
 
 
 def overlap_bound(a: np.ndarray, na: int, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Upper bound of the overlap of one set with each of many: a bit set on one side only
-    stands for at least one shingle that the other side lacks."""
-    only_a = np.bitwise_count(a & ~b).sum(axis=-1, dtype=np.int64)
-    only_b = np.bitwise_count(b & ~a).sum(axis=-1, dtype=np.int64)
-    return np.minimum(na - only_a, nb - only_b)
+    """Upper bound of the overlap of one set with each of many: common shingles cancel out,
+    so each bit that differs stands for at least one shingle of one side only."""
+    differ = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    return (na + nb - differ) // 2
 
 
 def _longs(column: pa.Array) -> Iterator[np.ndarray]:
