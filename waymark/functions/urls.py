@@ -22,6 +22,22 @@ def _compat_delimiters() -> str:
     )
 
 
+_H16 = "[0-9a-f]{1,4}"
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_LS32 = rf"({_H16}:{_H16}|{_OCTET}(\.{_OCTET}){{3}})"
+
+
+def _ipv6() -> str:
+    """IPv6 addresses as RFC 3986 writes them: eight groups, of which "::" stands for one run."""
+    forms = [f"({_H16}:){{6}}{_LS32}"]
+    for before in range(8):
+        lead = "" if before == 0 else f"(({_H16}:){{0,{before - 1}}}{_H16})?"
+        after = {6: _H16, 7: ""}.get(before, f"({_H16}:){{{5 - before}}}{_LS32}")
+        forms.append(f"{lead}::{after}")
+    return f"({'|'.join(forms)})"
+
+
+_BRACKETED = rf"^\[({_ipv6()}(%[^%\]\[]+)?|v[0-9a-f]+\.[^\]\[]+)\](:[^\]\[]*)?$"
 _HIDDEN_DELIMITER = f"[{_compat_delimiters()}]"
 
 
@@ -30,7 +46,8 @@ def sanitize_url(c: Column | str) -> Column:
 
     Scheme and authority are lowercased, an empty path becomes ``/``, the
     query stays, the fragment and a bare ``?`` go.  Malformed authorities
-    (unbalanced or misplaced brackets, look-alike delimiters) give null.
+    (unbalanced or misplaced brackets, no IPv6 address in them, look-alike
+    delimiters) give null.
     """
     stripped = strip(c)
     url = F.regexp_replace(stripped, r"[\t\r\n]", "")
@@ -38,9 +55,7 @@ def sanitize_url(c: Column | str) -> Column:
     host = F.regexp_replace(authority, r"^.*@", "")
     path = F.regexp_extract(url, _PARTS, 3)
     query = F.regexp_extract(url, _PARTS, 4)
-    brackets_ok = ~authority.rlike(r"[\[\]]") | host.rlike(
-        r"^\[([0-9a-f.]*:[0-9a-f:.]*(%[^\]\[]+)?|v[0-9a-f]+\.[^\]\[]+)\](:[^\]\[]*)?$"
-    )
+    brackets_ok = ~authority.rlike(r"[\[\]]") | host.rlike(_BRACKETED)
     valid = stripped.rlike(r"(?i)^https?://") & brackets_ok & ~authority.rlike(_HIDDEN_DELIMITER)
     return F.when(
         valid,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from waymark.headers import by_position
 
 
-def build_session(app: str = "waymark", master: str | None = None, **conf: str) -> SparkSession:
+def build_session(
+    app: str = "waymark", master: str | None = None, shared: str | None = None, **conf: str
+) -> SparkSession:
     """A session with adaptive execution on; ``conf`` wins over the defaults.
 
+    ``shared`` names the folder for intermediate tables, which all executors must reach.
+
     Leave ``master`` unset under spark-submit.  Shuffle partitions start high
     and adaptive execution coalesces them, so the same setting serves both a
     laptop and a cluster.
@@ -22,6 +27,7 @@ def build_session(app: str = "waymark", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        **({"spark.checkpoint.dir": shared} if shared else {}),
         **conf,
     }
     builder = SparkSession.builder.appName(app)
@@ -35,12 +41,15 @@ def build_session(app: str = "waymark", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (local runs and tests) a temporary
-    folder is made, once, and set as the checkpoint folder.
+    Only where the session names none and runs on one machine (``local`` masters) a
+    temporary folder is made, once, and set as the checkpoint folder.  On a cluster a missing
+    setting raises: executors would write to their own disks.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="waymark-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
