@@ -94,3 +94,39 @@ def test_plan_never_shuffles_text(spark):
     assert "NestedLoopJoin" not in plan
     with pytest.raises(ValueError):
         retrieve(q, d, 0)
+
+
+@pytest.mark.parametrize("limit", [1 << 24, 0])
+def test_list_page_grows_with_its_names(spark, limit):
+    """A page naming all entities: nothing is compared pairwise, and the result is exact."""
+    def case(n):
+        names = [f"school {i} of town{i % 7}" for i in range(n)]
+        docs = [(1, "All schools", ", ".join(names)), (2, None, names[0])]
+        return [(i, name, [], [f"town{i % 7}"]) for i, name in enumerate(names)], docs
+
+    queries, docs = case(60)
+    assert found(spark, queries, docs, 3, broadcast_bytes=limit) == brute_force(queries, docs, 3)
+    from waymark.operators.retrieval import phrase_hits, query_content
+
+    sizes = []
+    for n in (100, 200):
+        queries, docs = case(n)
+        specs = query_content(spark.createDataFrame(queries, SCHEMA))
+        d = spark.createDataFrame(docs, "doc_id int, title string, text string")
+        hits = phrase_hits(d, specs, "doc_id", "title", ("text",), limit)
+        row = hits.where("doc = 1").selectExpr("size(musts) as m", "size(hits) as h").first()
+        sizes.append((row.m, row.h))
+    assert sizes == [(100, 7), (200, 7)]
+
+
+def test_large_dictionary_never_shuffles_text(spark):
+    q = spark.createDataFrame([(1, "oak high", [], ["tx"])], SCHEMA)
+    d = spark.createDataFrame([(1, "a", "oak high tx")], "doc_id int, title string, text string")
+    from waymark.operators.retrieval import phrase_hits, query_content
+
+    hits = phrase_hits(d, query_content(q), "doc_id", "title", ("text",), 0)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join"):].splitlines()
+    sides = [line for line in join if "Project [doc" in line]
+    assert sides and "text" not in sides[0] and "tokens" not in sides[0]
+    assert {tuple(r.musts) for r in hits.collect()} == {("oak high",)}

@@ -9,10 +9,11 @@ the title.  The ``top_n`` pages by (score desc, id asc) are kept per query.
 How it runs
 -----------
 The corpus is read once and only narrow (page, phrase) hits leave the scan.
-All phrases of all queries form one dictionary; a page's word windows meet it
-in an equi-join on the first words of the phrase, so nothing is compared that
-does not share them.  A dictionary measured to be small is broadcast; a larger
-one is joined by shuffle, after positions whose word begins no phrase are gone.
+All phrases of all queries form one dictionary.  A word that begins phrases is
+known with their lengths, so the page's words of each such length are looked up
+as one whole phrase: one equi-join on a unique key.  A dictionary measured to be
+small is broadcast; a larger one is joined by shuffle on hashes of the phrases, after
+a filter of fixed size has dropped nearly all that is no phrase.
 
 Queries are then grouped before they meet pages.  Queries with the same
 content are one *spec*; specs with the same match condition (must, any) are
@@ -34,7 +35,8 @@ from waymark import fixed_values as V
 from waymark.functions.text import phrase_form
 from waymark.session import materialize
 
-_ANCHOR_WORDS = 3
+# Bits of the filter that stands in front of a dictionary too large to broadcast.
+_FILTER_BITS = 22
 _FIELD_BREAK = "|"  # never part of a phrase form
 BROADCAST_BYTES = 256 * 1024 * 1024
 
@@ -73,7 +75,7 @@ def query_content(queries: DataFrame) -> DataFrame:
 
 
 def _dictionary(specs: DataFrame) -> DataFrame:
-    """Distinct phrases: is it a must-phrase, word count, first word, anchor (first few words)."""
+    """Distinct phrases: word count, first word, is it a must-phrase, is it another."""
     others = F.explode(F.array_union("any", "should"))
     phrases = specs.select(F.col("must").alias("phrase"), F.lit(True).alias("is_must")).unionByName(
         specs.select(others.alias("phrase"), F.lit(False).alias("is_must"))
@@ -81,14 +83,13 @@ def _dictionary(specs: DataFrame) -> DataFrame:
     n_words = F.size(F.split("phrase", " "))
     return (
         phrases.groupBy("phrase")
-        .agg(F.max("is_must").alias("is_must"))
+        .agg(F.max("is_must").alias("is_must"), (~F.min("is_must")).alias("is_other"))
         .select(
             "phrase",
             "is_must",
+            "is_other",
             n_words.alias("n_words"),
-            F.least(n_words, F.lit(_ANCHOR_WORDS)).alias("take"),
             F.substring_index("phrase", " ", 1).alias("word"),
-            F.substring_index("phrase", " ", _ANCHOR_WORDS).alias("anchor"),
         )
     )
 
@@ -121,15 +122,30 @@ def _positions(
     )
 
 
-def _next_words(n: int) -> Column:
-    return F.concat_ws(" ", *[F.get("tokens", F.col("i") + k) for k in range(n)])
-
-
 def _stored_bytes(phrase: str) -> Column:
     """Generous size of a broadcast row that holds the text up to three times."""
     return 3 * F.octet_length(phrase) + 96
 
 
+def _filter_bytes(dictionary: DataFrame) -> bytes:
+    """A bit for the hash of every phrase: ``2 ** _FILTER_BITS`` bits for any dictionary."""
+    place = F.xxhash64("phrase").bitwiseAND((1 << _FILTER_BITS) - 1)
+    set_bits = dictionary.select(F.shiftright(place, 3).alias("byte"), place.bitwiseAND(7).alias("bit"))
+    found = set_bits.groupBy("byte").agg(F.expr("bit_or(1 << int(bit))").alias("bits"))
+    every = dictionary.sparkSession.range(1 << (_FILTER_BITS - 3)).withColumnRenamed("id", "byte")
+    cell = F.struct("byte", F.lpad(F.hex(F.coalesce("bits", F.lit(0))), 2, "0").alias("hex"))
+    cells = every.join(materialize(found, "filter"), "byte", "left").select(cell.alias("c"))
+    text = F.expr("array_join(transform(sort_array(collect_list(c)), c -> c.hex), '')")
+    return bytes.fromhex(cells.agg(text).first()[0])
+
+
+def _in_filter(bits: bytes, gram: Column) -> Column:
+    place = F.xxhash64(gram).bitwiseAND((1 << _FILTER_BITS) - 1)
+    byte = F.substring(F.lit(bits), F.shiftright(place, 3).cast("int") + 1, 1)
+    value = F.conv(F.hex(byte), 16, 10).cast("int")
+    return F.getbit(value, place.bitwiseAND(7).cast("int")) == 1
+
+
 def phrase_hits(
     corpus: DataFrame,
     specs: DataFrame,
@@ -140,52 +156,43 @@ def phrase_hits(
 ) -> DataFrame:
     """(doc, musts, hits, title_hits): the dictionary phrases each page contains.
 
-    A position is first looked up by its word alone (the heads: which words
-    begin a phrase, how many words its anchors take, how far its phrases
-    reach), then by its anchor; only phrases longer than the anchor are
-    compared word for word.  All of that runs in the scan's own stage, so the
-    token array is never copied.  If the dictionary is too large to broadcast,
-    the surviving positions leave the scan as narrow rows and meet it in a
-    shuffle.
+    ``musts`` and ``title_hits`` hold must-phrases, ``hits`` alternatives and
+    should-terms only: a list page full of names stays as long as its text.  All lookups run
+    in the scan's own stage, so the token array is never copied; if the dictionary
+    is too large to broadcast, hashes of the phrases leave the scan, never text.
     """
     dictionary = _dictionary(specs)
-    heads = dictionary.groupBy("word", "take").agg(F.max("n_words").alias("reach"))
+    heads = dictionary.groupBy("word").agg(F.collect_set("n_words").alias("lengths"))
     # One row of measurements decides the join strategy.
-    sizes = dictionary.groupBy("word", "take").agg(
-        F.max("n_words").alias("width"), F.sum(_stored_bytes("phrase")).alias("phrases")
-    )
-    size = sizes.agg(
-        F.coalesce(F.max("width"), F.lit(1)).alias("width"),
-        F.coalesce(F.sum("phrases"), F.lit(0)).alias("phrases"),
+    size = dictionary.agg(
+        F.coalesce(F.sum(_stored_bytes("phrase")), F.lit(0)).alias("phrases"),
         F.coalesce(F.sum(_stored_bytes("word")), F.lit(0)).alias("heads"),
+        F.array_sort(F.collect_set("n_words")).alias("lengths"),
     ).first()
     positions = _positions(corpus, doc_id, title, fields)
     if size["heads"] <= broadcast_bytes:
         headed = positions.join(F.broadcast(heads), "word")
     else:
-        takes = F.array(*[F.lit(n) for n in range(1, _ANCHOR_WORDS + 1)])
-        headed = positions.select(
-            "*", F.explode(takes).alias("take"), F.lit(size["width"]).alias("reach")
-        )
-    anchor = F.col("word")
-    for n in range(2, _ANCHOR_WORDS + 1):
-        anchor = F.when(F.col("take") == n, _next_words(n)).otherwise(anchor)
-    narrow = headed.select(
+        headed = positions.withColumn("lengths", F.array(*[F.lit(n) for n in size["lengths"]]))
+    in_title = (F.col("i") < F.col("title_words")).alias("in_title")
+    grams = headed.select("doc", "tokens", "i", in_title, F.explode("lengths").alias("n_words")).select(
         "doc",
-        (F.col("i") < F.col("title_words")).alias("in_title"),
-        anchor.alias("anchor"),
-        F.when(F.col("reach") > _ANCHOR_WORDS, _next_words(size["width"])).alias("window"),
+        "in_title",
+        F.array_join(F.slice("tokens", F.col("i") + 1, F.col("n_words")), " ").alias("phrase"),
     )
-    lookup = dictionary.select("anchor", "phrase", "is_must", "n_words")
+    lookup = dictionary.select("phrase", "is_must", "is_other")
     if size["phrases"] <= broadcast_bytes:
-        lookup = F.broadcast(lookup)
-    begins = F.concat("window", F.lit(" ")).startswith(F.concat("phrase", F.lit(" ")))
-    found = narrow.join(lookup, "anchor").filter((F.col("n_words") <= _ANCHOR_WORDS) | begins)
+        found = grams.join(F.broadcast(lookup), "phrase")
+    else:
+        names = [F.xxhash64("phrase").alias("h1"), F.xxhash64("phrase", F.lit(7)).alias("h2")]
+        likely = grams.where(_in_filter(_filter_bytes(dictionary), F.col("phrase")))
+        hashed = likely.select("doc", "in_title", *names)
+        found = hashed.join(lookup.select("*", *names), ["h1", "h2"])
     phrase = F.col("phrase")
     return found.groupBy("doc").agg(
         F.collect_set(F.when(F.col("is_must"), phrase)).alias("musts"),
-        F.collect_set(phrase).alias("hits"),
-        F.collect_set(F.when(F.col("in_title"), phrase)).alias("title_hits"),
+        F.collect_set(F.when(F.col("is_other"), phrase)).alias("hits"),
+        F.collect_set(F.when(F.col("in_title") & F.col("is_must"), phrase)).alias("title_hits"),
     )
 
 
@@ -238,15 +245,13 @@ def retrieve_specs(
         )
     )
     # Which of its class's should-terms each page contains.
-    wanted = terms.select("class_id", "term").distinct().withColumn("wanted", F.lit(True))
-    profiles = (
-        members.select("class_id", "doc", "bonus", F.explode("hits").alias("term"))
-        .join(wanted, ["class_id", "term"], "left")
-        .groupBy("class_id", "doc")
-        .agg(
-            F.max("bonus").alias("bonus"),
-            F.array_sort(F.collect_set(F.when(F.col("wanted"), F.col("term")))).alias("profile"),
-        )
+    wanted = terms.groupBy("class_id").agg(F.collect_set("term").alias("wanted"))
+    contained = F.array_sort(F.array_intersect("hits", "wanted"))
+    profiles = members.join(wanted, "class_id", "left").select(
+        "class_id",
+        "doc",
+        "bonus",
+        F.coalesce(contained, F.array().cast("array<string>")).alias("profile"),
     )
     doc_first = [F.col("doc")]
     alike = _top(profiles, ["class_id", "profile", "bonus"], doc_first, top_n)
