@@ -8,26 +8,30 @@ itself.  Only DataFrame and SQL functions are used.
 2. Equal lines are joined by partial aggregation, so a line that many documents repeat is one row per task.
    The first ``n - ceil(n * num / den) + 1`` words of each distinct line, rarest first, are its prefix;
    similar lines share a prefix word.
-3. Lines meet at a prefix word.  First each is held against the earliest line there, which settles groups of
-   many variants in one comparison each; what stays is joined with all earlier lines of the word under
-   length and positional filters.
+3. Lines meet at a prefix word.  First each is held against the earliest line that shares the commonest words of
+   its prefix, which settles groups of many variants in a few comparisons each; what stays open is
+   joined with all earlier lines of each prefix word.  Length and positional filters, and the differing bits of two
+   64-bit parities of the word sets, are part of the join, so only likely pairs leave it.
 4. Pairs that pass are verified on all words of both lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import semi_join
+from waymark.llm.common import BROADCAST_BYTES, semi_join
 from waymark.session import materialize
 
 #: Counters of word rarity: a fixed size, whatever the vocabulary.
 RARITY_BITS = 20
 #: Lines of fewer words are never compared: "Yes." in two documents is no copy.
 MIN_WORDS = 3
+#: Words at the end of a prefix at which a line is held against the earliest one first.
+LEADING = 2
 
-_WORDS = r"filter(split(line, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+_WORDS = r"array_remove(split(line, '[\\x20\\x09-\\x0D]+'), '')"
+_HASHES = f"array_distinct(transform({_WORDS}, w -> xxhash64(w)))"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -36,105 +40,108 @@ def _lines(docs: DataFrame) -> DataFrame:
     return known.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
-def _rarity(docs: DataFrame) -> bytes:
-    """Rarity classes (log2 of the count) by hashed counter, one letter each.
+def _rarity(docs: DataFrame) -> Column:
+    """Rarity classes (log2 of the count) by hashed counter, as a constant array.
 
-    ``2 ** RARITY_BITS`` bytes for any corpus: they go through the driver into the next plan.
+    ``2 ** RARITY_BITS`` small numbers for any corpus: they go through the driver into the next plan.
     """
     size = 1 << RARITY_BITS
-    words = _lines(docs).selectExpr(f"explode({_WORDS}) as w").selectExpr(f"xxhash64(w) & {size - 1} as counter")
-    counts = materialize(words.groupBy("counter").count(), "rarity")
+    words = docs.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
+    counts = words.selectExpr(f"xxhash64(w) & {size - 1} as counter").groupBy("counter").count()
     all_counters = docs.sparkSession.range(size).withColumnRenamed("id", "counter")
-    letters = all_counters.join(counts, "counter", "left").selectExpr(
-        "struct(counter, char(65 + cast(floor(log2(coalesce(count, 0) + 1)) as int)) as class) as c"
+    classes = all_counters.join(materialize(counts, "rarity"), "counter", "left").selectExpr(
+        "struct(counter, string(cast(floor(log2(coalesce(count, 0) + 1)) as int)) as class) as c"
     )
-    table = letters.agg(F.expr("array_join(transform(sort_array(collect_list(c)), c -> c.class), '')"))
-    return table.first()[0].encode()
+    table = classes.agg(F.expr("array_join(transform(sort_array(collect_list(c)), c -> c.class), ',')"))
+    return F.split(F.lit(table.first()[0]), ",").cast("array<tinyint>")
 
 
-def _tokens(df: DataFrame, rarity: bytes) -> DataFrame:
-    """Adds ``tokens``: distinct words as longs that sort rarest first."""
-    size = len(rarity)
-
-    def named(h):
-        counter = h.bitwiseAND(size - 1).cast("int")
-        letter = F.substring(F.lit(rarity), counter + 1, 1).cast("string")
-        return F.shiftleft(F.ascii(letter).cast("long") - 65, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
-
-    hashed = df.withColumn("hashes", F.expr(f"array_distinct(transform({_WORDS}, w -> xxhash64(w)))"))
-    return hashed.withColumn("tokens", F.sort_array(F.transform("hashes", named))).drop("hashes")
+def _described(docs: DataFrame, rarity: Column, num: int, den: int, min_words: int) -> DataFrame:
+    """Distinct lines: t1, t2 (hashes of the line), first place, copies, n words, parity, prefix."""
+    mask = (1 << RARITY_BITS) - 1
 
+    def named(h: Column) -> Column:
+        """A word as a long that sorts by rarity first."""
+        return F.shiftleft(F.get(rarity, h.bitwiseAND(mask).cast("int")).cast("long"), 57).bitwiseOR(
+            F.shiftrightunsigned(h, 7)
+        )
 
-def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, pos (from 0) of every line that goes."""
-    if not 0 < num <= den:
-        raise ValueError("the threshold is a fraction above 0")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rarity = _rarity(docs)
-
-    # Distinct lines with their first place and their prefix.
-    lines = _tokens(_lines(docs), rarity).where(F.size("tokens") >= min_words)
-    need = f"cast(ceil(size(tokens) * {num} / {den}) as int)"
-    distinct = (
-        lines.selectExpr(
-            "xxhash64(line) as t1", "xxhash64(line, 7) as t2", "struct(doc_id, pos) as place",
-            "cast(size(tokens) as int) as n", f"slice(tokens, 1, size(tokens) - {need} + 1) as prefix",
+    need = f"cast(ceil(n * {num} / {den}) as int)"
+    return (
+        _lines(docs)
+        .withColumn("hashes", F.expr(_HASHES))
+        .withColumn("n", F.size("hashes"))
+        .where(F.col("n") >= min_words)
+        .withColumn("tokens", F.sort_array(F.transform("hashes", named)))
+        .selectExpr(
+            "xxhash64(line) as t1",
+            "xxhash64(line, 7) as t2",
+            "struct(doc_id, pos) as place",
+            "n",
+            "aggregate(hashes, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63 as int))) as parity",
+            f"slice(tokens, 1, n - {need} + 1) as prefix",
         )
         .groupBy("t1", "t2")
-        .agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    )
-    by_word = "over (partition by token)"
-    meeting = materialize(
-        distinct.select("place", "n", F.posexplode("prefix").alias("i", "token"))
-        .select(
-            "place", "n", "i", "token",
-            F.expr(f"count(*) {by_word}").alias("members"),
-            F.expr(f"min(struct(place, n, i)) {by_word}").alias("first"),
+        .agg(
+            F.min("place").alias("place"), F.count("*").alias("copies"),
+            F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"),
         )
-        .where("members > 1"),
-        "prefix-words",
     )
 
-    # An overlap of ceil((a + b) * num / (num + den)) is needed; behind places i and j so many can follow.
-    def passes(a: str, b: str) -> str:
-        most = f"(1 + least({a}.n - {a}.i, {b}.n - {b}.i) - 1)"
-        return (
-            f"{a}.n * {den} >= {b}.n * {num} and {b}.n * {den} >= {a}.n * {num} "
-            f"and {most} * {num + den} >= ({a}.n + {b}.n) * {num}"
-        )
 
-    with_first = meeting.alias("b").where("first.place < place").where(passes("b.first", "b"))
-    settled = _verified(
-        docs, with_first.select(F.col("first.place").alias("a"), F.col("place").alias("b")), num, den
+def _passes(num: int, den: int, a: str, b: str) -> str:
+    """Condition on two lines that share the prefix words at a.i and b.i.
+
+    Length: the larger is at most den / num times the smaller.  Position: from the shared
+    words on, enough words must follow for an overlap of (a.n + b.n) * num / (num + den).  Parity: each
+    bit in which two parities differ stands for a word of one side only.
+    """
+    return (
+        f"{a}.n * {den} >= {b}.n * {num} and {b}.n * {den} >= {a}.n * {num}"
+        f" and least({a}.n - {a}.i, {b}.n - {b}.i) * {num + den} >= ({a}.n + {b}.n) * {num}"
+        f" and bit_count({a}.parity ^ {b}.parity) * {num + den} <= ({a}.n + {b}.n) * {den - num}"
     )
-    settled = materialize(settled, "settled")
-    open_rows = materialize(
-        meeting.join(settled, meeting.place == settled.b, "left_anti").select("place", "n", "i", "token"), "open"
+
+
+def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, pos (from 0) of every line that goes."""
+    if not 0 < num <= den:
+        raise ValueError("the threshold is a fraction above 0")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    distinct = materialize(_described(docs, _rarity(docs), num, den, min_words), "distinct-lines")
+    prefix = distinct.select("place", "n", "parity", F.posexplode("prefix").alias("i", "token"), F.size("prefix").alias("p"))
+
+    # The earliest line at each of the last words of a prefix, which variants of one line share.
+    first = F.expr("min(struct(place, n, parity, i)) over (partition by token)").alias("a")
+    common = prefix.where(f"i >= p - {LEADING}").select(first, F.struct("place", "n", "parity", "i").alias("b"))
+    likely = common.where("a.place < b.place").where(_passes(num, den, "a", "b"))
+    settled = materialize(_verified(docs, likely.selectExpr("a.place as a", "b.place as b"), num, den), "settled")
+
+    # What is settled looks for no more; its place is still one that later lines can match.
+    rows = distinct.join(settled.withColumnRenamed("b", "place"), "place", "left_semi").select("place")
+    rows = rows.withColumn("settled", F.lit(True))
+    marked = distinct.join(materialize(rows, "marks"), "place", "left")
+    until = F.when(F.col("settled").isNull(), F.col("place")).alias("until")
+    marked = marked.select("place", until, "n", "parity", F.posexplode("prefix").alias("i", "token"))
+    pairs = marked.alias("a").join(
+        marked.alias("b"), F.expr(f"a.token = b.token and a.place < b.until and {_passes(num, den, 'a', 'b')}")
     )
-    later, earlier = open_rows.alias("b"), meeting.select("place", "n", "i", "token").alias("a")
-    pairs = later.join(earlier, F.expr(f"a.token = b.token and a.place < b.place and {passes('a', 'b')}"))
     found = _verified(docs, pairs.select(F.col("a.place").alias("a"), F.col("b.place").alias("b")), num, den)
     near = settled.unionByName(materialize(found, "found")).select("b.doc_id", "b.pos")
 
     # Copies of a line other than its first.
-    raw = _lines(docs).selectExpr("doc_id", "pos", "xxhash64(line) as t1", "xxhash64(line, 7) as t2", f"size(array_distinct({_WORDS})) as words")
-    raw = raw.where(F.col("words") >= min_words).drop("words")
-    firsts = raw.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("copies"))
-    firsts = materialize(firsts.where("copies > 1").drop("copies"), "repeated-lines")
-    copies = raw.join(firsts, ["t1", "t2"]).where("struct(doc_id, pos) > first").select("doc_id", "pos")
+    raw = _lines(docs).selectExpr("doc_id", "pos", "xxhash64(line) as t1", "xxhash64(line, 7) as t2")
+    firsts = materialize(distinct.where("copies > 1").select("t1", "t2", "place"), "repeated-lines")
+    copies = raw.join(firsts, ["t1", "t2"]).where("struct(doc_id, pos) > place").select("doc_id", "pos")
     return near.unionByName(copies)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """The later places b for which one pair (a, b) of places holds on all words."""
     pairs = materialize(pairs.distinct(), "line-pairs")
-    places = pairs.select(F.col("a").alias("place")).union(pairs.select("b")).distinct()
-    places = materialize(places, "places")
-    ids = materialize(places.selectExpr("place.doc_id").distinct(), "line-docs")
-    lines = _lines(semi_join(docs, ids, "doc_id")).withColumn("place", F.struct("doc_id", "pos"))
-    sets = lines.join(places, "place", "left_semi").select(
-        "place", F.expr(f"array_distinct(transform({_WORDS}, w -> xxhash64(w)))").alias("tokens")
-    )
+    places = materialize(pairs.select(F.col("a").alias("place")).union(pairs.select("b")).distinct(), "places")
+    lines = _lines(docs).withColumn("place", F.struct("doc_id", "pos"))
+    sets = semi_join(lines, places, "place").select("place", F.expr(_HASHES).alias("tokens"))
     sets = materialize(sets, "line-sets")
     left = sets.select(F.col("place").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("place").alias("b"), F.col("tokens").alias("tb"))
@@ -149,14 +156,16 @@ def without_repeated_lines(
     """The documents with their repeated lines taken out of ``text``; no row goes.
 
     Lines end at a line feed.  Those of fewer than ``min_words`` distinct words
-    stay.  Null and empty texts, and rows with a null doc_id, stay as they are; of rows that repeat a doc_id
-    the lines with one number count as equally early, and go together.  Other columns pass through; ``removed`` names a column to add,
-    the number of lines taken out.  A text that loses all lines is empty.
+    stay.  Null and empty texts, and rows with a null doc_id, stay as they are; of rows that repeat a
+    doc_id, the lines with one number count as equally early, and go together.  Other columns pass
+    through; ``removed`` names a column to add, the number of lines taken out.  A text that loses all lines is empty.
     """
     gone = removed_lines(docs, num, den, min_words)
-    by_doc = gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
-    by_doc = materialize(by_doc, "gone-lines").withColumnsRenamed({"doc_id": "__doc", "gone": "__gone"})
-    joined = docs.join(by_doc, docs.doc_id.cast("long") == by_doc["__doc"], "left")
+    by_doc = materialize(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone")), "gone-lines")
+    by_doc = by_doc.withColumnsRenamed({"doc_id": "__doc", "gone": "__gone"})
+    size = by_doc.agg(F.sum(F.size("__gone") * 4 + 32)).first()[0] or 0
+    small = F.broadcast(by_doc) if size <= BROADCAST_BYTES else by_doc
+    joined = docs.join(small, docs.doc_id.cast("long") == small["__doc"], "left")
     kept = "array_join(filter(split(text, '\\n'), (line, i) -> not array_contains(__gone, i)), '\\n')"
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.expr(kept)).alias("text")
     columns = [text if c == "text" else F.col(f"`{c}`") for c in docs.columns]
