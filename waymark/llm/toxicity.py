@@ -15,8 +15,9 @@ training folds, gathered by Spark; only these fixed tables reach the driver.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -96,25 +97,28 @@ def names(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     )
 
 
-@dataclass
 class Model:
     """Log-likelihood ratios of letters, and the curve that makes a score of them."""
 
-    counts: list[dict[str, np.ndarray]]
-    curve: np.ndarray | None = None
-    tables: list[tuple[np.ndarray, ...]] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
-        short = sum(c["short"] for c in self.counts)
-        after = sum(c["after"] for c in self.counts)
-        for c in self.counts:
+    def __init__(self, counts: list[dict[str, np.ndarray]]) -> None:
+        self.curve: np.ndarray | None = None
+        self.tables: list[tuple[np.ndarray, ...]] = []
+        short = sum(c["short"] for c in counts)
+        after = sum(c["after"] for c in counts)
+        for c in counts:
             cut = discounts(c["seen"][1:])
-            c = {k: v.astype(np.float64) for k, v in c.items()}
             weight = cut[1] * c["once"] + cut[2] * c["twice"] + cut[3] * c["often"]
             weight = np.where(c["total"] > 0, weight / np.maximum(c["total"], 1), 1.0)
             tables = c["runs"], c["total"], weight, c["short"], c["after"], short, after
             self.tables.append((cut, *(t.astype(np.float32) for t in tables)))
 
+    def __getstate__(self) -> tuple[np.ndarray | None, bytes]:
+        """Most places of the tables are empty, so they travel compressed."""
+        return self.curve, zlib.compress(pickle.dumps(self.tables, protocol=5), 1)
+
+    def __setstate__(self, state: tuple[np.ndarray | None, bytes]) -> None:
+        self.curve, self.tables = state[0], pickle.loads(zlib.decompress(state[1]))
+
     def ratios(self, runs: np.ndarray) -> np.ndarray:
         """Toxic minus ordinary log-likelihood of every letter."""
         run, before, brief, two = names(runs)
