@@ -89,7 +89,7 @@ def test_shortlist_is_ordered_and_bounded(spark):
 def test_number_rows(spark):
     group = F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g")
     df = spark.range(5000).select(group, F.col("id").alias("v"))
-    out = number_rows(df, ["g"], [F.desc("v")], -F.floor(F.col("v") / 100), "n")
+    out = number_rows(df, ["g"], [F.desc("v")], "n")
     rows = sorted(out.collect(), key=lambda r: (r.g or 0, r.n))
     assert len(rows) == 5000
     for g in (None, 1, 2):
@@ -114,3 +114,27 @@ def test_bad_limits(spark):
     df = as_table(spark, [[["a"]]])
     with pytest.raises(ValueError):
         fuse_ranked_lists(df, limit=0)
+
+
+def test_rank_has_one_type_and_follows_the_session_limit(spark):
+    df = spark.createDataFrame([("e", 0, i, f"u{i}") for i in range(5)], "entity_id string, list_idx int, pos int, url string")
+    types = {n: dict(fuse_ranked_lists(df, limit=n).dtypes)["rank"] for n in (10, 1000, 1001, None)}
+    assert set(types.values()) == {"int"}
+
+
+def test_an_entity_of_many_short_lists_spreads_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from waymark.operators.fusion import number_rows
+
+    rows = spark.range(20000).selectExpr("'e' as entity_id", "id as list_idx", "0 as pos", "concat('u', id) as url")
+    flag = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(flag, "false")
+    try:
+        numbered = number_rows(rows, ["entity_id"], [F.col("pos"), F.col("list_idx")], "n")
+        spread = numbered.withColumn("task", F.spark_partition_id()).select("task").distinct().count()
+    finally:
+        spark.conf.unset(flag)
+    assert spread > 1
+    got = numbered.selectExpr("min(n)", "max(n)", "count(distinct n)", "count_if(n = list_idx + 1)").first()
+    assert tuple(got) == (1, 20000, 20000, 20000)

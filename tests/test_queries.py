@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from waymark.plans.catalog import ORACLES, QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 DATA = Path("/root/testdata/sf0.001")
@@ -28,15 +29,27 @@ def canonical(rows, order):
     return sorted(cells, key=lambda row: [(c is not None, str(c)) for c in row])
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+def kinds(rows, order):
+    """Python types of each column's cells; widths of numbers do not show in them."""
+    return [{type(r[i]) for r in rows} - {type(None)} for i in order]
+
+
+def test_entry_registers_the_catalog():
+    assert entry.queries().items() >= QUERIES.items()
+    assert entry.oracle_sql().items() >= ORACLES.items()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_oracle(spark, duck, name):
-    df = entry.queries()[name](spark, str(DATA))
+    df = QUERIES[name](spark, str(DATA))
     got = df.collect()
-    cursor = duck.execute(entry.oracle_sql()[name])
+    cursor = duck.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == sorted(df.columns)
     names = sorted(columns)
-    want = canonical(cursor.fetchall(), [columns.index(c) for c in names])
+    rows = cursor.fetchall()
+    want = canonical(rows, [columns.index(c) for c in names])
+    assert kinds(got, [df.columns.index(c) for c in names]) == kinds(rows, [columns.index(c) for c in names])
     assert canonical(got, [df.columns.index(c) for c in names]) == want
 
 

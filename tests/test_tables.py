@@ -202,3 +202,14 @@ def test_normalize(spark):
     assert sorted(tuple(r) for r in normalize_candidates(df).collect()) == [
         ("", "u", "d"), ("t", "", "c"),
     ]
+
+
+def test_merge_with_headers_that_differ_in_case(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "id int, confidence string")
+    from waymark.operators.entities import ensure_output_columns
+
+    wide, _ = ensure_output_columns(table)
+    prior, _ = ensure_output_columns(spark.createDataFrame([(1, "x"), (1, "x")], "id int, confidence string"))
+    merged = load_for_run(wide, prior, mode="merge", key="id")
+    assert merged.columns == wide.columns
+    assert sorted(tuple(r)[:2] for r in merged.collect()) == [(1, "x"), (2, "b")]

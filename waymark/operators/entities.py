@@ -29,9 +29,17 @@ def canonicalize_entities(
 
     Headers match case-insensitively; of headers that differ only in case the
     last one counts.  Columns are addressed by position so that such headers
-    stay usable, and keep their names in the result.
+    stay usable, and keep their names in the result - a header ``entity`` too, so
+    the struct is then best addressed by position.
     """
     positional, names = by_position(df)
+    return positional.withColumn("_entity", entity_struct(names, aliases)).toDF(*df.columns, "entity")
+
+
+def entity_struct(
+    names: Mapping[str, str], aliases: Mapping[str, Sequence[str]] = V.ENTITY_ALIASES
+) -> Column:
+    """The canonical fields over a table by position; ``names`` maps headers to its columns."""
     position = {header.lower(): c for header, c in names.items()}
     fields = [
         F.coalesce(*[non_blank(position[a]) for a in accepted if a in position], F.lit("")).alias(
@@ -39,7 +47,17 @@ def canonicalize_entities(
         )
         for field, accepted in aliases.items()
     ]
-    return positional.withColumn("entity", F.struct(*fields)).toDF(*df.columns, "entity")
+    return F.struct(*fields)
+
+
+def entity_rows(
+    df: DataFrame, key: str, aliases: Mapping[str, Sequence[str]] = V.ENTITY_ALIASES
+) -> DataFrame:
+    """(key, entity) of every row; other columns, whatever their names, are left behind."""
+    positional, names = by_position(df)
+    return positional.select(
+        F.col(names[key]).alias(key), entity_struct(names, aliases).alias("entity")
+    )
 
 
 def ensure_output_columns(

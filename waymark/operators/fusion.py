@@ -11,30 +11,29 @@ from pyspark.sql.window import Window
 
 from waymark import fixed_values as V
 from waymark.functions.urls import url_key
+from waymark.session import materialize
 
-# Above this limit Spark no longer cuts a top-k window before its shuffle
-# (default of spark.sql.window.group.limit.threshold).
-_PUSHED_LIMIT = 1000
-_ROUNDS_PER_SLICE = 4096
+# Above this limit Spark no longer cuts a top-k window before its shuffle.
+_PUSHED_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def number_rows(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[Column],
-    slice_of: Column,
     out: str,
 ) -> DataFrame:
     """Exact ``row_number`` (from 1) per group without one task per group.
 
-    ``slice_of`` must not decrease along ``order``; it cuts a group into
-    consecutive slices.  Slice sizes are counted with partial aggregation and
-    summed up to offsets, then rows are numbered inside their own slice.  The
-    shuffle key is (group, slice), so one huge group spreads over many tasks.
+    Rows are dealt to partitions by range of (group, order) and stored with their
+    partition, so a huge group spreads over many, whatever its values look like.  Its
+    rows in each partition are counted with partial aggregation and summed up to offsets;
+    then rows are numbered inside their own partition's share.
     """
-    keys = [*group, "_slice"]
-    sliced = df.withColumn("_slice", slice_of)
-    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(
+    keys = [*group, "_part"]
+    ranged = df.repartitionByRange(*[F.col(g) for g in group], *order)
+    sliced = materialize(ranged.withColumn("_part", F.spark_partition_id()), "ranged")
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = (
@@ -85,16 +84,15 @@ def fuse_ranked_lists(
         .drop("_copy")
     )
     order = [*visit, F.col("_key")]
-    if limit is not None and limit <= _PUSHED_LIMIT:
+    if limit is not None and limit <= int(df.sparkSession.conf.get(_PUSHED_LIMIT, "1000")):
         ranked = distinct.withColumn(
             "rank", F.row_number().over(Window.partitionBy(entity).orderBy(*order))
         ).filter(F.col("rank") <= limit)
     else:
-        rounds = F.floor(F.col(pos) / _ROUNDS_PER_SLICE)
-        ranked = number_rows(distinct, [entity], order, rounds, "rank")
+        ranked = number_rows(distinct, [entity], order, "rank")
         if limit is not None:
             ranked = ranked.filter(F.col("rank") <= limit)
-    return ranked.drop("_key")
+    return ranked.withColumn("rank", F.col("rank").cast("int")).drop("_key")
 
 
 def union_ranked(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark import fixed_values as V
+from waymark.functions.text import truncate_content
 from waymark.functions.urls import url_host
 from waymark.operators.fusion import collect_shortlist, fuse_ranked_lists, union_ranked
 from waymark.operators.retrieval import retrieve
@@ -48,6 +49,16 @@ def rank_fusion_orders(spark: SparkSession, sf: str) -> DataFrame:
     return fuse_ranked_lists(view(spark, sf, "order_lists_v")).select("entity_id", "rank", "url")
 
 
+@query(
+    f""", {fusion_sql('order_lists_v')}
+ SELECT entity_id, CAST(rk AS INTEGER) AS rank, url FROM fused""",
+    "order_lists_v",
+)
+def rank_fusion_all_orders(spark: SparkSession, sf: str) -> DataFrame:
+    fused = fuse_ranked_lists(view(spark, sf, "order_lists_v"), limit=None)
+    return fused.select("entity_id", "rank", "url")
+
+
 @query(
     f""", {fusion_sql('candidates_v')}
  SELECT regexp_extract(lower(trim(url)), '^https?://([^/?#]*)', 1) AS host, count(*) AS n_pages,
@@ -64,7 +75,7 @@ def shortlisted_pages_per_host(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f""", {fusion_sql('candidates_v')}
- SELECT entity_id, list_idx, pos, rk AS rank, url FROM fused""",
+ SELECT entity_id, list_idx, pos, CAST(rk AS INTEGER) AS rank, url FROM fused""",
     "candidates_v",
 )
 def ranked_union(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,7 +115,7 @@ def shortlists(spark: SparkSession, sf: str) -> DataFrame:
 )
 def payload_fields(spark: SparkSession, sf: str) -> DataFrame:
     fused = fuse_ranked_lists(view(spark, sf, "candidates_v"))
-    opening = F.substring("content", 1, 501).alias("content")  # enough to see that there is more
+    opening = truncate_content("content").alias("content")
     texts = view(spark, sf, "page_v").select("page_id", opening)
     lists = collect_shortlist(fused.join(texts, "page_id"))
     entity = F.struct(
@@ -202,3 +213,33 @@ def best_pages(spark: SparkSession, sf: str) -> DataFrame:
     contacts = contact_columns(pages).select("page_id", "emails", "phones")
     fused = fuse_ranked_lists(view(spark, sf, "candidates_v")).join(contacts, "page_id")
     return select_best(fused.join(entities, "entity_id"), content=None)
+
+
+@query(
+    f"""WITH lists AS (SELECT c_nationkey AS doc_id,
+  concat(string_agg(c_name, ', '), ' - ', min(n_name)) AS names
+  FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY c_nationkey),
+ docs AS (SELECT doc_id, {norm_sql('names')} AS body FROM lists)
+ SELECT c_custkey AS query_id, CAST(doc_id AS BIGINT) AS doc_id,
+  CAST(contains(body, {norm_sql('n_name')}) AS BIGINT) AS score, CAST(1 AS INTEGER) AS rank
+ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN docs ON c_nationkey = doc_id
+ WHERE contains(body, {norm_sql('c_name')})"""
+)
+def list_page_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+    """One page per nation names all its customers; every customer is searched for."""
+    customers = table(spark, sf, "customer").join(
+        table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
+    )
+    pages = customers.groupBy(F.col("c_nationkey").alias("doc_id")).agg(
+        F.array_join(F.collect_list("c_name"), ", ").alias("names"), F.min("n_name").alias("nation")
+    )
+    pages = pages.select("doc_id", F.concat_ws(" - ", "names", "nation").alias("text"))
+    asked = customers.select(
+        F.col("c_custkey").alias("query_id"),
+        F.col("c_name").alias("must_phrase"),
+        F.array().cast("array<string>").alias("any_phrases"),
+        F.array("n_name").alias("should_terms"),
+    )
+    return retrieve(asked, pages).select(
+        "query_id", F.col("doc_id").cast("long").alias("doc_id"), "score", "rank"
+    )

@@ -184,17 +184,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``candidates_v``: a host may hold any share of the pages."""
     rows = view(spark, sf_dir, "candidate_order_v")
-    numbered = number_rows(
-        rows, ["entity_id", "list_idx"], [F.col("place")], F.floor(F.col("place") / 4096), "pos"
-    )
+    numbered = number_rows(rows, ["entity_id", "list_idx"], [F.col("place")], "pos")
     return numbered.withColumn("pos", F.col("pos") - 1).drop("place")
 
 
 def priority_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``priority_lists_v``: slices by price, so a huge customer splits too."""
+    """``priority_lists_v``: a huge customer is numbered by several tasks."""
     rows = view(spark, sf_dir, "priority_order_v")
     ties = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey")]
     order = [F.desc("l_extendedprice"), *ties]
-    slices = -F.floor(F.col("l_extendedprice") / 1024)
-    numbered = number_rows(rows, ["entity_id", "list_idx"], order, slices, "pos")
+    numbered = number_rows(rows, ["entity_id", "list_idx"], order, "pos")
     return numbered.select("entity_id", "list_idx", (F.col("pos") - 1).alias("pos"), "url")
