@@ -23,9 +23,11 @@ rank order, ``starts`` the number of ids in front of each file.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,10 @@ HEAD, HEAD_SIZE = "<4sIII", 16
 RECORD_IDS = 1 << 16
 #: Text bytes of a file, about.
 FILE_BYTES = 32 << 20
-#: Encoded words a worker remembers; a full memory is emptied.
-REMEMBERED = 400_000
+#: Encoded words a worker remembers.  A full memory keeps its older half: common words come early.
+REMEMBERED = 800_000
+#: Words that the tokenizer gets as one text.
+TOGETHER = 200
 
 # By control byte: length of each of its four ranks, and of all four.
 _CONTROL = np.arange(256, dtype=np.uint8)
@@ -76,33 +80,49 @@ class Encoder:
     """
 
     def __init__(self, path: str, end_id: int, by_word: bool) -> None:
+        # Spark runs as many tasks as there are cores; threads of the library's own only get in their way.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.end = np.array([end_id], dtype="<u4").tobytes()
         self.by_word = by_word
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words: those of letters only in texts of many, cut where a piece ends a word."""
+        alone = [w for w in words if not w.isalpha()]
+        plain = [w for w in words if w.isalpha()]
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups]), strict=True):
+            cuts = 4 * (np.flatnonzero(self.ends_word[np.frombuffer(ids, "<u4")]) + 1)
+            if len(cuts) != len(group) or len(ids) != (cuts[-1] if len(cuts) else 0):
+                alone += group
+                continue
+            ends = cuts.tolist()
+            self.known.update(zip(group, (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        self.known.update(zip(alone, self._ids(alone), strict=True))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers, end id included."""
         texts = [t or "" for t in texts]
         if not self.by_word:
             return [ids + self.end for ids in self._ids(texts)]
-        out = []
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            new = [w for w in dict.fromkeys(words) if w not in self.known]
-            if new:
-                if len(self.known) + len(new) > REMEMBERED:
-                    self.known.clear()
-                    new = list(dict.fromkeys(words))
-                self.known.update(zip(new, self._ids(new), strict=True))
-            out.append(b"".join([self.known[w] for w in words]) + self.end)
-        return out
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
+        new = dict.fromkeys(w for words in split for w in words if w not in self.known)
+        if new:
+            self._learn(list(new))
+        known = self.known
+        return [b"".join([known[w] for w in words]) + self.end for words in split]
 
 
 _encoders: dict[tuple, Encoder] = {}
