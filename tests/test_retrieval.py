@@ -130,3 +130,13 @@ def test_large_dictionary_never_shuffles_text(spark):
     sides = [line for line in join if "Project [doc" in line]
     assert sides and "text" not in sides[0] and "tokens" not in sides[0]
     assert {tuple(r.musts) for r in hits.collect()} == {("oak high",)}
+
+
+def test_hot_class_of_many_specs_meets_only_sets_of_terms(spark):
+    """One name in many towns, and list pages that each have terms of their own."""
+    rng = random.Random(8)
+    towns = [f"town{i}" for i in range(30)]
+    docs = [(i, None, "central school " + " ".join(rng.sample(towns, 12)) + (" tx" if i % 2 else "")) for i in range(60)]
+    queries = [(i, "Central School", [], [t, "tx"]) for i, t in enumerate(towns)]
+    queries += [(90, "Central School", [], towns[:7]), (91, "Central School", [], [])]
+    assert found(spark, queries, docs, 3) == brute_force(queries, docs, 3)

@@ -19,7 +19,8 @@ Queries are then grouped before they meet pages.  Queries with the same
 content are one *spec*; specs with the same match condition (must, any) are
 one *class*.  Pages of a class that contain the same should-terms score alike
 for every spec, so only the first ``top_n`` ids of each such set are carried
-on - an exact cut, applied before the shuffle.  A name shared by a third of the
+on - an exact cut, applied before the shuffle.  A second exact cut keeps ``top_n`` pages for each
+set of terms that specs share (``_by_subset``).  A name shared by a third of the
 queries and found in a third of the pages therefore never yields its product.
 """
 
@@ -39,6 +40,8 @@ from waymark.session import materialize
 _FILTER_BITS = 22
 _FIELD_BREAK = "|"  # never part of a phrase form
 BROADCAST_BYTES = 256 * 1024 * 1024
+# Specs of more should-terms are scored term by term.
+_SUBSET_TERMS = 5
 
 
 def _top(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -254,21 +257,59 @@ def retrieve_specs(
         F.coalesce(contained, F.array().cast("array<string>")).alias("profile"),
     )
     doc_first = [F.col("doc")]
-    alike = _top(profiles, ["class_id", "profile", "bonus"], doc_first, top_n)
+    alike = _top(profiles, ["class_id", "profile", "bonus"], doc_first, top_n).drop("rank")
+    few = specs.filter(F.size("should") <= _SUBSET_TERMS)
+    many = specs.filter(F.size("should") > _SUBSET_TERMS).select(
+        "class_id", "spec_id", F.explode("should").alias("term")
+    )
     by_term = (
         alike.select("class_id", "doc", "bonus", F.explode("profile").alias("term"))
-        .join(terms, ["class_id", "term"])
-        .select("spec_id", "doc", "bonus", F.lit(1).alias("found"))
+        .join(many, ["class_id", "term"])
+        .groupBy("spec_id", "doc")
+        .agg(F.max("bonus").alias("bonus"), F.count("*").alias("found"))
     )
     # Pages without any should-term can only place by the title bonus.
-    plain = _top(alike.drop("rank"), ["class_id"], [F.desc("bonus"), *doc_first], top_n)
+    by_bonus = [F.desc("bonus"), *doc_first]
+    plain = _top(alike, ["class_id"], by_bonus, top_n)
     by_class = plain.join(specs.select("class_id", "spec_id"), "class_id").select(
-        "spec_id", "doc", "bonus", F.lit(0).alias("found")
+        "spec_id", "doc", "bonus", F.lit(0).cast("long").alias("found")
     )
     scored = (
-        by_term.unionByName(by_class)
+        by_term.unionByName(_by_subset(few, alike, by_bonus, top_n))
+        .unionByName(by_class)
         .groupBy("spec_id", "doc")
-        .agg((F.max("bonus") + F.sum("found")).alias("score"))
+        .agg((F.max("bonus") + F.max("found")).alias("score"))
     )
     best = _top(scored, ["spec_id"], [F.desc("score"), *doc_first], top_n)
     return best.select("spec_id", F.col("doc").alias(doc_id), "score", "rank")
+
+
+def _by_subset(
+    specs: DataFrame, pages: DataFrame, order: Sequence[Column], top_n: int
+) -> DataFrame:
+    """(spec_id, doc, bonus, found) of pages that can place for specs of few should-terms.
+
+    A page that has exactly the terms M of a spec's should-terms ranks behind the first
+    ``top_n`` pages, by bonus and id, that have all of M.  So those are kept for each set of terms that is part of some
+    spec of the class, and meet the specs afterwards: a class of many specs never yields
+    pages times specs.  A set is looked up by the term that the fewest sets of its class have.
+    """
+    parts = "filter(should, (t, i) -> (shiftright(m, i) & 1) = 1)"
+    every = F.expr(f"transform(sequence(1, shiftleft(1, size(should)) - 1), m -> {parts})")
+    sets = specs.filter(F.size("should") > 0).select(
+        "class_id", "spec_id", F.explode(every).alias("subset")
+    )
+    distinct = sets.select("class_id", "subset").distinct()
+    terms = distinct.select("class_id", "subset", F.explode("subset").alias("term"))
+    uses = terms.groupBy("class_id", "term").agg(F.count("*").alias("uses"))
+    rarest = F.min_by("term", F.struct("uses", "term")).alias("term")
+    leads = terms.join(uses, ["class_id", "term"]).groupBy("class_id", "subset").agg(rarest)
+    have = (
+        pages.select("class_id", "doc", "bonus", "profile", F.explode("profile").alias("term"))
+        .join(leads, ["class_id", "term"])
+        .filter(F.size(F.array_except("subset", "profile")) == 0)
+        .select("class_id", "subset", "doc", "bonus")
+    )
+    first = _top(have, ["class_id", "subset"], order, top_n)
+    found = F.size("subset").cast("long").alias("found")
+    return first.join(sets, ["class_id", "subset"]).select("spec_id", "doc", "bonus", found)
