@@ -376,9 +376,17 @@ def _between_components(rule: Rule, labelled: DataFrame, mixed: DataFrame, sets:
 def without_near_copies(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """One row of each component, the smallest doc_id; texts without words all stay.
 
-    Of rows that repeat a doc_id one stays, the smallest by its other columns'
-    values.  Rows with a null doc_id stay.
+    Of rows that repeat a doc_id one stays, the smallest by its columns in their
+    order.  Rows with a null doc_id stay.
     """
     kept = ngram_components(docs, size, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(materialize(kept, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null"))
+    stay = semi_join(docs, materialize(kept, "kept"), "doc_id")
+    nameless = docs.where("doc_id is null")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = materialize(repeated.select("doc_id"), "repeated-ids")
+    if repeated.isEmpty():
+        return stay.unionByName(nameless)
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = stay.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(columns).alias("row"))
+    one = one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return stay.join(repeated, "doc_id", "left_anti").unionByName(one).unionByName(nameless)
