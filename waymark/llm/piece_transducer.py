@@ -27,7 +27,7 @@ from waymark.llm.common import batches
 #: Extra cost of leaving the pieces, above the dearest of them, as SentencePiece sets it.
 FALLBACK_PENALTY = 10.0
 #: Paths a worker remembers.  A full memory keeps its older half: common chunks come early.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 #: Characters composed at once.
 COMPOSED = 1 << 17
 BOUNDARY = "▁"
@@ -120,10 +120,18 @@ class Transducer:
             text = " " + text
         return text.replace(" ", BOUNDARY) if self.escape else text
 
+    def chunks(self, text: str) -> list[str]:
+        """Parts of the normalised text between which no piece reaches."""
+        if self.dummy_prefix and self.escape and not self.squeeze and text and BOUNDARY not in text and "  " not in text:
+            if text[0] != " " and text[-1] != " ":
+                return (BOUNDARY + text.replace(" ", f" {BOUNDARY}")).split(" ")
+        return _CHUNKS.findall(self.normalise(text))[:-1]
+
     def shortest_paths(self, chunks: list[str]) -> list[bytes]:
         """Ids (little-endian 32-bit) of the cheapest path of each chunk."""
         if not chunks:
             return []
+        chunks = list(chunks)
         letters = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
         sizes = np.array([len(c) for c in chunks])
         ends = np.cumsum(sizes)
@@ -199,19 +207,20 @@ class Transducer:
         path_end, path_label, path_start = path_end[order], path_label[order], path_start[order]
         ids = path_label.astype("<u4")
         cuts = np.searchsorted(path_end, np.concatenate([[0], ends]), side="right")
-        out, text = [], ids.tobytes()
         plain = path_label >= 0
-        for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if plain[lo:hi].all():
-                out.append(text[4 * lo : 4 * hi])
-                continue
+        spelt = np.concatenate([[0], np.cumsum(~plain)])
+        spelt = np.flatnonzero(spelt[cuts[1:]] > spelt[cuts[:-1]]).tolist()
+        text, bounds = ids.tobytes(), (4 * cuts).tolist()
+        out = [text[lo:hi] for lo, hi in zip(bounds, bounds[1:], strict=False)]
+        for i in spelt:
             chunk, base, parts = chunks[i], int(ends[i] - sizes[i]), []
+            lo, hi = bounds[i] // 4, bounds[i + 1] // 4
             for j in range(lo, hi):
                 if plain[j]:
                     parts.append(text[4 * j : 4 * j + 4])
                 else:
                     parts.append(self._fallback(chunk[path_start[j] - base]))
-            out.append(b"".join(parts) if self.has_bytes else self._merged(parts))
+            out[i] = b"".join(parts) if self.has_bytes else self._merged(parts)
         return out
 
     def _fallback(self, letter: str) -> bytes:
@@ -226,7 +235,7 @@ class Transducer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts; null counts as empty."""
-        split = [_CHUNKS.findall(self.normalise(t or ""))[:-1] for t in texts]
+        split = [self.chunks(t or "") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = dict(islice(self.known.items(), REMEMBERED // 2))
         new = list(dict.fromkeys(c for chunks in split for c in chunks if c not in self.known))
