@@ -67,6 +67,8 @@ def _described(docs: DataFrame, rarity: Column, num: int, den: int, min_words: i
         )
 
     need = f"cast(ceil(n * {num} / {den}) as int)"
+    # In the join a word is 31 bits of its hash: two words that share them make a pair more to verify.
+    short = "t -> cast(t & 2147483647 as int)"
     return (
         _lines(docs)
         .withColumn("hashes", F.expr(_HASHES))
@@ -79,7 +81,7 @@ def _described(docs: DataFrame, rarity: Column, num: int, den: int, min_words: i
             "struct(doc_id, pos) as place",
             "n",
             "aggregate(hashes, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63 as int))) as parity",
-            f"slice(tokens, 1, n - {need} + 1) as prefix",
+            f"transform(slice(tokens, 1, n - {need} + 1), {short}) as prefix",
         )
         .groupBy("t1", "t2")
         .agg(
@@ -118,15 +120,23 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int =
     settled = materialize(_verified(docs, likely.selectExpr("a.place as a", "b.place as b"), num, den), "settled")
 
     # What is settled looks for no more; its place is still one that later lines can match.
-    rows = distinct.join(settled.withColumnRenamed("b", "place"), "place", "left_semi").select("place")
-    rows = rows.withColumn("settled", F.lit(True))
-    marked = distinct.join(materialize(rows, "marks"), "place", "left")
-    until = F.when(F.col("settled").isNull(), F.col("place")).alias("until")
-    marked = marked.select("place", until, "n", "parity", F.posexplode("prefix").alias("i", "token"))
-    pairs = marked.alias("a").join(
-        marked.alias("b"), F.expr(f"a.token = b.token and a.place < b.until and {_passes(num, den, 'a', 'b')}")
+    done = settled.select(F.col("b").alias("place"), F.lit(1).alias("done"))
+    small = settled.count() * 64 <= BROADCAST_BYTES
+    marked = distinct.join(F.broadcast(done) if small else done, "place", "left").select(
+        "place.doc_id",
+        "place.pos",
+        F.coalesce("done", F.lit(0)).alias("done"),
+        "n",
+        "parity",
+        F.posexplode("prefix").alias("i", "token"),
     )
-    found = _verified(docs, pairs.select(F.col("a.place").alias("a"), F.col("b.place").alias("b")), num, den)
+    # Both sides are one table, shuffled once.  That b is open is said together with a.i (never
+    # negative): on its own it would be pushed below the shuffle of b, which would then be a second one.
+    earlier = "(a.doc_id < b.doc_id or a.doc_id = b.doc_id and a.pos < b.pos) and b.done <= least(a.i, 0)"
+    on = f"a.token = b.token and {earlier} and {_passes(num, den, 'a', 'b')}"
+    pairs = marked.alias("a").join(marked.alias("b"), F.expr(on))
+    place = "struct({0}.doc_id, {0}.pos) as {0}"
+    found = _verified(docs, pairs.selectExpr(place.format("a"), place.format("b")), num, den)
     near = settled.unionByName(materialize(found, "found")).select("b.doc_id", "b.pos")
 
     # Copies of a line other than its first.
