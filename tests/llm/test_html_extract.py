@@ -57,3 +57,29 @@ def test_pages_table(spark):
     assert got.columns == [*df.columns, "text"]
     assert [r["text"] for r in got.orderBy("page_id").collect()] == ["", main_text(PAGE), main_text(PAGE), ""]
     assert with_main_text(df.limit(0)).count() == 0
+
+
+def test_class_names_that_speak_of_the_text():
+    inner = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
+    want = f"Title\n{LONG}\n{LONG}"
+    for page in (
+        f'<body><article class="post tag-city tag-2020 tag-top">{inner}</article></body>',
+        f'<body><article class="comments sidebar" id="more">{inner}</article></body>',
+        f'<body class="single no-sidebar sidebar">{inner}</body>',
+        f'<body><div class="content has-comments">{inner}</div></body>',
+        f'<body><div class="layout with-sidebar">{inner}</div></body>',
+        f'<body><div class="overlay"><article>{inner}</article></div></body>',
+        f'<body><nav><ul><li><a href="/">Home</a></ul><main class="skip">{inner}</main></body>',
+        f'<body><div class="sidebar"><div role="main">{inner}</div></div></body>',
+        f'<body><div data-hidden="false" title="the hidden valley" data-class="sidebar">{inner}</div></body>',
+        f"<body><div title='class=\"ad\" hidden' data-x=a/hidden>{inner}</div></body>",
+    ):
+        assert main_text(page) == want, page
+
+
+def test_class_names_of_what_stands_beside():
+    for name in ("sidebar", "cookie-notice", "site-footer", "comment-list", "post-comments", "relatedPosts", "ad-300", "widget_area", "tag-cloud"):
+        assert main_text(f'<article><p>{LONG}</p></article><div class="x {name}"><p>{LONG}</p></div>') == LONG, name
+    comment = f'<ol class="comment-list"><li class="comment"><article class="comment-body"><p>{LONG} No.</p></article></ol>'
+    assert main_text(f"<article><p>{LONG}</p></article>{comment}") == LONG
+    assert main_text(f"<article><p>{LONG}</p></article><div hidden><p>{LONG}</p></div>") == LONG

@@ -38,6 +38,14 @@ AGAINST = frozenset(
     " reply replies respond responses disqus discussion disclaimer legal sitemap byline hidden contentinfo dialog toc teaser".split()
 )
 FOR = frozenset("article main content story post entry body text maincontent articlebody prose page".split())
+#: Words that leave the sense of a class name as it is, and those that only say of what something is the menu, tags or comments.
+PLAIN = frozenset(
+    "site global primary secondary left right top bottom upper lower inner outer wrap wrapper container box block bar area section list links"
+    " link item items group row col column panel unit slot posts articles stories news button buttons icons cloud the and".split()
+)
+OF = frozenset("main page post entry article".split())
+#: Marks that an article inside does not lift: there it is a reader's comment.
+COMMENTS = frozenset("comment comments commentlist reply replies respond responses disqus discussion".split())
 
 #: Costs in thousandths: what each sign adds to the cost of a label.
 AGAINST_COST, FOR_COST, LINK_COST, HIDDEN_COST = 6000, 1500, 3500, 12000
@@ -46,8 +54,9 @@ LENGTH_COST, HEADING_COST, LIST_COST, BASE_COST = 1200, 500, 700, 800
 SIBLING_ARC, NEIGHBOUR_ARC, FAMILY_ARC = 900, 150, 500
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
-_ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_NAME = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
+_NAME = re.compile(r"[^\W\d_]+|\d+")
+_CAMEL = re.compile(r"([a-z])([A-Z])")
 _HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -69,25 +78,48 @@ class Element:
     against: bool
     speaks_for: bool
     hidden: bool
+    comments: bool = False
+
+
+def _against(words: list[str]) -> bool:
+    """Whether a whole class name, given by its words, is that of something beside the text.
+
+    "cookie-notice" and "site-footer" are; "no-sidebar", "has-comments" and "tag-city" say something about the text.
+    """
+    if words[0] == "tag" and len(words) > 1:
+        return words[1:] in (["cloud"], ["list"], ["links"])
+    if len(words) == 2 and words[0] in OF and words[1] in AGAINST:
+        return words[1] != "header"  # of an entry or article: its title
+    return not AGAINST.isdisjoint(words) and all(w in AGAINST or w in PLAIN or w.isdigit() for w in words)
 
 
 def _element(tag: str, attributes: str, number: int, parent: Element) -> Element:
-    words, hidden = set(), parent.hidden
+    names, hidden = [[tag]], parent.hidden
+    central = tag in ("article", "main")
     if attributes:
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id", "role"):
-                # camelCase and joined names: a name counts by its words.
-                words |= set(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+                # camelCase and joined names: a name counts as a whole, made of its words.
+                names += [_NAME.findall(_CAMEL.sub(r"\1 \2", n).lower()) for n in value.split()]
+                central |= name == "role" and value.strip().lower() in ("article", "main")
             elif name == "style":
                 hidden |= bool(_HIDDEN.search(value))
-            else:
+            elif name in ("hidden", "aria-hidden"):
                 hidden |= name == "hidden" or value.lower() == "true"
-    names = words | {tag}
-    inside = parent.speaks_for and tag == "header"  # the header of an article holds its title
-    against = parent.against or (bool(names & AGAINST) and not inside and not (tag in ("article", "main", "body", "html") and not words & AGAINST))
-    speaks_for = parent.speaks_for or bool(names & FOR) and tag not in ("body", "html")
-    return Element(tag, number, against, speaks_for and not against, hidden)
+    names = [words for words in names if words]
+    speaks_for = parent.speaks_for or tag not in ("body", "html") and any(
+        not FOR.isdisjoint(words) and AGAINST.isdisjoint(words) for words in names
+    )
+    against, comments = parent.against, parent.comments
+    if central:
+        # The page's text or an article of it: inherited marks end here, except among comments.
+        against = comments = comments and tag != "main"
+    elif tag not in ("body", "html") and not (parent.speaks_for and tag == "header"):  # the header of an article holds its title
+        found = [words for words in names if _against(words)]
+        against |= bool(found)
+        comments |= any(not COMMENTS.isdisjoint(words) for words in found)
+    return Element(tag, number, against, speaks_for and not against, hidden, comments)
 
 
 def blocks_of(html: str) -> list[Block]:
