@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from waymark.llm.html_extract import main_text, minimum_cut, with_main_text
+from waymark.llm.html_extract import blocks_of, main_text, minimum_cut, with_main_text
 
 
 def test_cut_is_the_cheapest_labelling():
@@ -83,3 +83,34 @@ def test_class_names_of_what_stands_beside():
     comment = f'<ol class="comment-list"><li class="comment"><article class="comment-body"><p>{LONG} No.</p></article></ol>'
     assert main_text(f"<article><p>{LONG}</p></article>{comment}") == LONG
     assert main_text(f"<article><p>{LONG}</p></article><div hidden><p>{LONG}</p></div>") == LONG
+
+
+def test_elements_without_end_tags():
+    article = f"<article><h1>Title</h1><p>{LONG}</p></article>"
+    want = f"Title\n{LONG}"
+    lists = "<datalist id=x><option value=a><option value=b>B</datalist>", "<select><option>A<optgroup><option>B</select>", "<select><option>A"
+    media = "<button>", "<object data=x>", "<video src=x>", "<canvas>", "<noscript>", "<iframe src=x>", "<button/>", "<option>A"
+    for before in (*lists, *media):
+        assert main_text(f"<body>{before}{article}") == want, before
+        assert main_text(f"<body>{article.replace('<p>', before + '<p>')}") == want, before
+    assert main_text(f"<body><video><p>{LONG} No.</p>{article}<video><p>{LONG} No.</p></video>").endswith(want)
+    assert main_text(f"<body><object><div><p>{LONG} No.</div></object><select><option>{LONG}</option></select>{article}") == want
+    assert main_text(f"<div><button><b>{LONG} No.</b></div></button>{article}") == want
+
+
+def test_text_around_embedded_elements_is_one_block():
+    math = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x^{2}</annotation></semantics></math>"
+    page = f"<article><p>{LONG} <svg><g><path/><text>no</text></g></svg><a href='/'><button>b</button>link</a> and {math} hold.</p><p>{LONG}</p></article>"
+    assert main_text(page) == f"{LONG} link and x=2 hold.\n{LONG}"
+
+
+def test_implied_ends():
+    page = f"<article><table><tr><td>{LONG}<td><p>{LONG}<tr><th>{LONG}</table><dl><dt>{LONG}<dd>{LONG}<dt>{LONG}</dl></article>"
+    blocks = blocks_of(page)
+    assert [b.tag for b in blocks] == ["td", "p", "th", "dt", "dd", "dt"]
+    assert blocks[0].text == LONG and main_text(page).count(LONG) == 6
+
+
+def test_deep_elements_have_their_own_labels():
+    page = "<div>" * 600 + f"<article><p>{LONG}</p><nav><p>{LONG} No.</p></nav><p>{LONG}</p></article>"
+    assert main_text(page) == f"{LONG}\n{LONG}"

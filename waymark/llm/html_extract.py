@@ -9,7 +9,7 @@ whole page; blocks on the content side are the text.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass
 from html import unescape
 
@@ -19,15 +19,32 @@ from pyspark.sql import functions as F
 
 # Fixed values of HTML: kinds of elements by what they mean for blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe object svg math canvas select option button audio video noframes".split())
+RAW = frozenset("script style title textarea".split())
+#: Their text, if any, is not the page's.  Without an end tag they count as empty: what follows is no part of them.
+EMBEDDED = frozenset("noscript template iframe object svg canvas select datalist button audio video noframes annotation annotation-xml".split())
+#: End tags may be left out; the next option, any block and the end of the list end them.
+OPTIONS = frozenset("option optgroup".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rp rt ruby s samp small span strike"
-    " strong sub sup time tt u var wbr img input".split()
+    " strong sub sup time tt u var wbr img input"
+    " math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle"
+    " msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_PARAGRAPH = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
+#: Open elements that the start of one ends, its end tags being left out.
+CLOSES = {
+    "li": frozenset(("p", "li")),
+    "dt": frozenset(("p", "dt", "dd")),
+    "dd": frozenset(("p", "dt", "dd")),
+    "td": frozenset(("p", "td", "th")),
+    "th": frozenset(("p", "td", "th")),
+    "tr": frozenset(("p", "td", "th", "tr")),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), frozenset(("p", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"))),
+    **dict.fromkeys(CLOSES_PARAGRAPH, frozenset(("p",))),
+}
 
 #: Words in an element's name, class, id or role that speak against its text (or, below, for it).
 AGAINST = frozenset(
@@ -79,6 +96,8 @@ class Element:
     speaks_for: bool
     hidden: bool
     comments: bool = False
+    #: Inside an embedded element: text is left out.
+    dropped: bool = False
 
 
 def _against(words: list[str]) -> bool:
@@ -111,40 +130,69 @@ def _element(tag: str, attributes: str, number: int, parent: Element) -> Element
     speaks_for = parent.speaks_for or tag not in ("body", "html") and any(
         not FOR.isdisjoint(words) and AGAINST.isdisjoint(words) for words in names
     )
-    against, comments = parent.against, parent.comments
+    against, comments, dropped = parent.against, parent.comments, parent.dropped or tag in EMBEDDED or tag in OPTIONS
     if central:
         # The page's text or an article of it: inherited marks end here, except among comments.
         against = comments = comments and tag != "main"
+        dropped = False
     elif tag not in ("body", "html") and not (parent.speaks_for and tag == "header"):  # the header of an article holds its title
         found = [words for words in names if _against(words)]
         against |= bool(found)
         comments |= any(not COMMENTS.isdisjoint(words) for words in found)
-    return Element(tag, number, against, speaks_for and not against, hidden, comments)
+    return Element(tag, number, against, speaks_for and not against, hidden, comments, dropped)
+
+
+def _ended(html: str, name: str) -> set[int]:
+    """Places of the start tags of an element that have an end tag."""
+    found, starts = set(), []
+    for tag in re.finditer(f"(?i)<(/?){re.escape(name)}(?=[\\s/>])", html):
+        if not tag[1]:
+            starts.append(tag.start())
+        elif starts:
+            found.add(starts.pop())
+    return found
 
 
 def blocks_of(html: str) -> list[Block]:
     """Text blocks in page order; scripts, styles, forms' parts, comments and markup give none."""
     out: list[Block] = []
     stack = [Element("", 0, False, False, False)]
+    opened: Counter[str] = Counter()
+    ended: dict[str, set[int]] = {}
     parts: list[str] = []
     linked, links, numbers, at, end = 0, 0, 0, 0, len(html)
+    outside = [stack[0]]  # the open elements whose text counts
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                top = stack[-1]
+                top = outside[-1]
                 out.append(Block(text, top.tag, top.number, min(linked, len(text)), top.against, top.speaks_for, top.hidden))
             parts.clear()
         linked = 0
 
     def push(text: str) -> None:
         nonlocal linked
+        if stack[-1].dropped:
+            return
         parts.append(text)
         if links:
             linked += len(text.strip())
 
+    def enter(element: Element) -> None:
+        stack.append(element)
+        opened[element.tag] += 1
+        if not element.dropped:
+            outside.append(element)
+
+    def leave() -> None:
+        element = stack.pop()
+        opened[element.tag] -= 1
+        if not element.dropped:
+            outside.pop()
+
     while at < end:
         lt = html.find("<", at)
         if lt < 0:
@@ -169,34 +217,64 @@ def blocks_of(html: str) -> list[Block]:
         at, closing, name = tag.end(), bool(tag[1]), tag[2].lower()
         if name in RAW:
             if not closing and not tag[3].endswith("/"):
-                close = re.compile(f"(?i)</{re.escape(name)}\\s*>").search(html, at)
+                close = re.compile(f"(?i)</{re.escape(name)}(?=[\\s/>])[^>]*>").search(html, at)
                 at = close.end() if close else end
             push(" ")
             continue
-        if name == "a":
+        if closing and name in OPTIONS and not opened[name]:
+            continue
+        if not closing and name in OPTIONS:
+            while stack[-1].tag == "option" or name == "optgroup" and stack[-1].tag == "optgroup":
+                leave()
+            push(" ")
+            enter(_element(name, tag[3], 0, stack[-1]))
+            continue
+        if name in EMBEDDED and not closing:
+            push(" ")
+            if name not in ended:
+                ended[name] = _ended(html, name)
+            if lt in ended[name] and not tag[3].endswith("/"):
+                enter(_element(name, tag[3], 0, stack[-1]))
+            continue
+        if name in EMBEDDED and not opened[name]:
+            push(" ")
+            continue
+        if not closing and name in CLOSES_PARAGRAPH:
+            while stack[-1].tag in OPTIONS:
+                leave()
+        if stack[-1].dropped and not closing and name not in INLINE and name not in VOID:
+            # Only an article or the main element in here has text again.
+            inner = _element(name, tag[3], numbers + 1, stack[-1])
+            if inner.dropped:
+                enter(inner)
+                continue
+        elif name == "a" and not stack[-1].dropped:
             links = 0 if closing else 1
         if name in INLINE:
             continue
         if name == "br":
             push("\n")
             continue
+        if closing and opened[name]:
+            depth = len(stack) - 1
+            while stack[depth].tag != name:
+                depth -= 1
+            if not all(e.dropped for e in stack[depth:]):
+                flush()
+                links = 0
+            while len(stack) > depth:
+                leave()
+            continue
+        if stack[-1].dropped and (closing or name in VOID):
+            continue
         flush()
         links = 0
-        if name in VOID:
+        if closing or name in VOID:
             continue
-        if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == name:
-                    del stack[depth:]
-                    break
-        else:
-            if name in CLOSES_PARAGRAPH and stack[-1].tag == "p":
-                stack.pop()
-            if name == "li" and stack[-1].tag == "li":
-                stack.pop()
-            if len(stack) < 500:
-                numbers += 1
-                stack.append(_element(name, tag[3], numbers, stack[-1]))
+        while stack[-1].tag in CLOSES.get(name, ()):
+            leave()
+        numbers += 1
+        enter(_element(name, tag[3], numbers, stack[-1]))
     flush()
     # A block's parent is the element around it; of paragraphs and the like, the one around that.
     return out
