@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from waymark.llm.toxicity import discounts, fit_curve, fold, letter_runs, with_scores, without_toxic
+from waymark.llm.toxicity import Keys, Model, discounts, fit_curve, fold, letter_runs, with_scores, without_toxic
 
 SCHEMA = "doc_id long, text string, toxic string, score string"
 
@@ -69,3 +69,25 @@ def test_curve_and_discounts():
     assert p[1] < 0.3 < p[2]
     assert discounts(np.array([0, 0, 0, 0.0])).tolist() == [0, 0.75, 0.75, 0.75]
     assert (np.diff(discounts(np.array([100.0, 40, 20, 10]))) >= 0).all()
+
+
+def test_keys_are_exact():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 1 << 12):
+        have = rng.integers(0, 1 << 48, n, dtype=np.uint64)
+        keys, other = Keys(have), rng.integers(1 << 48, 1 << 49, 500, dtype=np.uint64)
+        assert len(keys) == len(np.unique(have)) == len(np.unique(keys.find(have)))
+        assert (keys.find(other) == len(keys)).all()
+        assert keys.sums(have).tolist() == [*[1.0] * len(keys), 0.0]
+
+
+def test_what_models_keep_grows_with_the_runs():
+    # More distinct runs than any fixed table of the earlier form had places.
+    letters = np.arange(1 << 21, dtype=np.uint64)
+    runs = np.uint64(0x20) << np.uint64(40) | letters << np.uint64(8) | np.uint64(97)
+    n = np.ones(len(runs), dtype=np.int64)
+    model = Model([(runs, n), (runs[:10], n[:10] * 3)])
+    assert [len(k) for k in model.keys[:2]] == [1 << 21, 1 << 21]
+    for of_class, want in zip(model.tables, (n, np.r_[n[:10] * 3, 0 * n[10:]]), strict=True):
+        assert (of_class[1][model.keys[0].find(runs)] == want).all()
+        assert (of_class[2][model.keys[1].find(runs >> np.uint64(8))] == want).all()

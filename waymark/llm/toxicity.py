@@ -8,15 +8,13 @@ units because insults are compounded and inflected.  A text's evidence is its le
 ratio, over all its words and over its most toxic window; a logistic curve turns the two
 numbers into a score.
 
-Letter runs are counted under hashed names, so the tables of a model have a fixed size however large the
-corpus is; runs whose names meet share a counter.  Counts come from all labelled rows of the
-training folds, gathered by Spark; only these fixed tables reach the driver.
+Letter runs are counted exactly, each under its own key, so what a model knows grows with the distinct
+runs of the labelled texts.  Counts come from all labelled rows of the training folds, summed by Spark; one row
+for each class and distinct run reaches the driver.
 """
 
 from __future__ import annotations
 
-import pickle
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +27,6 @@ from waymark.session import materialize
 
 #: Letters (bytes) before the predicted one, at most.
 BEFORE = 5
-#: Bits of the hashed names: whole runs, what stands before, continuations after two letters.
-RUN_BITS, BEFORE_BITS, SHORT_BITS = 20, 18, 18
 #: Words of a window.
 WINDOW = 2
 #: The logistic curve is fitted on at most so many labelled rows that the models have not seen.
@@ -42,17 +38,6 @@ SEND_LETTERS = 4_000_000
 _LETTERS = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
-#: The tables of a class: name -> size.
-_SIZES = {
-    "runs": 1 << RUN_BITS,
-    "total": 1 << BEFORE_BITS,
-    "once": 1 << BEFORE_BITS,
-    "twice": 1 << BEFORE_BITS,
-    "often": 1 << BEFORE_BITS,
-    "short": 1 << SHORT_BITS,
-    "after": 1 << 16,
-    "seen": 5,
-}
 
 
 def letter_runs(text: str | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -82,46 +67,64 @@ def letter_runs(text: str | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield runs, starts
 
 
-def _name(values: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(values) >> np.uint64(64 - bits)).astype(np.int64)
+class Keys:
+    """Distinct keys and their numbers from 0; whatever is not among them has the number after the last."""
 
+    def __init__(self, values: np.ndarray) -> None:
+        # mix() maps keys one to one, evenly: the first bits of a mixed key tell about where it stands.
+        mixed = np.sort(mix(np.unique(values)))
+        bits = max(1, len(mixed).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(mixed, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.mixed = np.append(mixed, np.uint64(2**64 - 1))
 
-def names(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of runs in the tables: the run, what stands before, the short run, its two letters before."""
-    short = runs & np.uint64(0xFFFFFF)
-    return (
-        _name(runs, RUN_BITS),
-        _name(runs >> np.uint64(8), BEFORE_BITS),
-        _name(short, SHORT_BITS),
-        (short >> np.uint64(8)).astype(np.int64),
-    )
+    def __len__(self) -> int:
+        return len(self.mixed) - 1
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        wanted = mix(values)
+        at = self.first[wanted >> self.shift]
+        found = self.mixed[at]
+        low = np.flatnonzero(found < wanted)
+        while len(low):
+            at[low] += 1
+            found[low] = self.mixed[at[low]]
+            low = low[found[low] < wanted[low]]
+        return np.where(found == wanted, at, len(self))
+
+    def sums(self, values: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
+        """How often (or with what sum of ``n``) each key is in the values; the last number is of all others."""
+        return np.bincount(self.find(values), weights=n, minlength=len(self) + 1)
 
 
 class Model:
     """Log-likelihood ratios of letters, and the curve that makes a score of them."""
 
-    def __init__(self, counts: list[dict[str, np.ndarray]]) -> None:
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """``counts``: the distinct runs of ordinary and of toxic texts, and how often each occurs."""
         self.curve: np.ndarray | None = None
         self.tables: list[tuple[np.ndarray, ...]] = []
-        short = sum(c["short"] for c in counts)
-        after = sum(c["after"] for c in counts)
-        for c in counts:
-            cut = discounts(c["seen"][1:])
-            weight = cut[1] * c["once"] + cut[2] * c["twice"] + cut[3] * c["often"]
-            weight = np.where(c["total"] > 0, weight / np.maximum(c["total"], 1), 1.0)
-            tables = c["runs"], c["total"], weight, c["short"], c["after"], short, after
-            self.tables.append((cut, *(t.astype(np.float32) for t in tables)))
-
-    def __getstate__(self) -> tuple[np.ndarray | None, bytes]:
-        """Most places of the tables are empty, so they travel compressed."""
-        return self.curve, zlib.compress(pickle.dumps(self.tables, protocol=5), 1)
-
-    def __setstate__(self, state: tuple[np.ndarray | None, bytes]) -> None:
-        self.curve, self.tables = state[0], pickle.loads(zlib.decompress(state[1]))
+        runs = np.concatenate([r for r, _ in counts])
+        self.keys = Keys(runs), Keys(runs >> np.uint64(8)), Keys(runs & np.uint64(0xFFFFFF))
+        of_class = []
+        for run, n in counts:
+            before, brief = run >> np.uint64(8), run & np.uint64(0xFFFFFF)
+            cut = discounts(np.bincount(n[n < 5], minlength=5)[1:])
+            total = self.keys[1].sums(before, n)
+            weight = self.keys[1].sums(before, cut[np.minimum(n, 3)])
+            weight = np.where(total > 0, weight / np.maximum(total, 1), 1.0)
+            short = self.keys[2].sums(brief)
+            after = np.bincount((brief >> np.uint64(8)).astype(np.int64), minlength=1 << 16)
+            of_class.append((cut, self.keys[0].sums(run, n), total, weight, short, after))
+        shared = [sum(c[k] for c in of_class) for k in (4, 5)]
+        for tables in of_class:
+            self.tables.append(tuple(t.astype(np.float32) for t in (*tables, *shared)))
 
     def ratios(self, runs: np.ndarray) -> np.ndarray:
         """Toxic minus ordinary log-likelihood of every letter."""
-        run, before, brief, two = names(runs)
+        brief = runs & np.uint64(0xFFFFFF)
+        two = (brief >> np.uint64(8)).astype(np.int64)
+        run, before, brief = (k.find(x) for k, x in zip(self.keys, (runs, runs >> np.uint64(8), brief), strict=True))
         shared = (self.tables[0][6][brief] + np.float32(0.5)) / (self.tables[0][7][two] + np.float32(32))
         logs = []
         for cut, seen, total, weight, short, after, _, _ in self.tables:
@@ -213,35 +216,6 @@ def _count_runs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from send()
 
 
-def _fill_tables(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, run, n) -> (toxic, table, place, n), summed in each task: no more rows than the tables have."""
-    sums = [{k: np.zeros(size, dtype=np.int64) for k, size in _SIZES.items()} for _ in range(2)]
-    for batch in rows:
-        labels, n = batch.column("toxic").to_numpy(), batch.column("n").to_numpy()
-        places = names(batch.column("run").to_numpy().view(np.uint64))
-        for label, of in enumerate(sums):
-            mine = labels == label
-            run, before, short, two = (p[mine] for p in places)
-            times = n[mine]
-            np.add.at(of["runs"], run, times)
-            np.add.at(of["total"], before, times)
-            for table, match in (("once", times == 1), ("twice", times == 2), ("often", times > 2)):
-                np.add.at(of[table], before[match], 1)
-            np.add.at(of["short"], short, 1)
-            np.add.at(of["after"], two, 1)
-            of["seen"] += np.bincount(times[times < 5], minlength=5)
-    for label, of in enumerate(sums):
-        for number, values in enumerate(of.values()):
-            place = np.flatnonzero(values)
-            for at in range(0, len(place), 1 << 16):
-                part = place[at : at + (1 << 16)]
-                fixed = (pa.array(np.full(len(part), x, np.int32)) for x in (label, number))
-                yield pa.RecordBatch.from_arrays(
-                    [*fixed, pa.array(part.astype(np.int32)), pa.array(values[part])],
-                    names=["toxic", "number", "place", "n"],
-                )
-
-
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Models and curve from the labelled rows outside the held-out fold.
 
@@ -268,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         .agg(F.sum("n").alias("n")),
         "runs",
     )
-    model = Model(_tables(runs))
+    model = Model(_counts(runs))
 
     curve_ids = known.where("fold = 3").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
     curve_ids = materialize(curve_ids.select("doc_id", "toxic"), "curve")
@@ -280,18 +254,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def _tables(runs: DataFrame) -> list[dict[str, np.ndarray]]:
-    """The fixed-size tables of both classes."""
-    filled = runs.mapInArrow(_fill_tables, "toxic int, number int, place int, n long")
-    got = filled.groupBy("toxic", "number", "place").agg(F.sum("n").alias("n")).toArrow()
-    label, number, place, n = (got.column(c).to_numpy() for c in ("toxic", "number", "place", "n"))
+def _counts(runs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct runs and their counts, of each class."""
     counts = []
-    for c in range(2):
-        counts.append({})
-        for i, (name, size) in enumerate(_SIZES.items()):
-            mine = (label == c) & (number == i)
-            counts[c][name] = np.zeros(size)
-            counts[c][name][place[mine]] = n[mine]
+    for label in range(2):
+        got = runs.where(F.col("toxic") == label).select("run", "n").toArrow()
+        counts.append((got.column("run").to_numpy().view(np.uint64), got.column("n").to_numpy()))
     return counts
 
 
