@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from waymark.llm.toxicity import Keys, Model, discounts, fit_curve, fold, letter_runs, with_scores, without_toxic
+from waymark.llm.toxicity import Keys, Model, discounts, fit_curve, fold, letter_runs, train, with_scores, without_toxic
 
 SCHEMA = "doc_id long, text string, toxic string, score string"
 
@@ -91,3 +91,16 @@ def test_what_models_keep_grows_with_the_runs():
     for of_class, want in zip(model.tables, (n, np.r_[n[:10] * 3, 0 * n[10:]]), strict=True):
         assert (of_class[1][model.keys[0].find(runs)] == want).all()
         assert (of_class[2][model.keys[1].find(runs >> np.uint64(8))] == want).all()
+
+
+def test_all_labels_outside_fold_2_are_counted_but_those_of_the_curve(spark):
+    # A word of its own in each document: the models know those of three quarters of the allowed ones, of fold 3 too.
+    rows = [(i, f"q{i}z", "t", "s") for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    folds = {r[0]: r[1] for r in df.select("doc_id", fold(df.doc_id)).collect()}
+    model = train(df, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int"))
+    known = {i: all((model.keys[0].find(r) < len(model.keys[0])).all() for r, _ in letter_runs(f"q{i}z")) for i in folds}
+    allowed = [i for i in folds if folds[i] != 2]
+    assert sum(known[i] for i in allowed) == len(allowed) - len(allowed) // 4
+    assert not any(known[i] for i in folds if folds[i] == 2)
+    assert sum(known[i] for i in allowed if folds[i] == 3) > 50

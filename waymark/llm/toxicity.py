@@ -29,8 +29,8 @@ from waymark.session import materialize
 BEFORE = 5
 #: Words of a window.
 WINDOW = 2
-#: The logistic curve is fitted on at most so many labelled rows that the models have not seen.
-CURVE_ROWS = 20_000
+#: The logistic curve is fitted on at most so many labelled rows, and at most this share of them, that the models have not seen.
+CURVE_ROWS, CURVE_SHARE = 20_000, 0.25
 #: Letters counted before a task sends what it has.
 SEND_LETTERS = 4_000_000
 
@@ -219,7 +219,7 @@ def _count_runs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Models and curve from the labelled rows outside the held-out fold.
 
-    Folds 0 and 1 give the counts, fold 3 the curve.  A doc_id labelled more
+    The first rows by a hash of the id give the curve, all others the counts.  A doc_id labelled more
     than once is toxic if one label says so; null labels do not count.
     """
     known = materialize(
@@ -231,9 +231,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         .where("fold <> 2"),
         "labels",
     )
-    small = known.count() * 32 <= BROADCAST_BYTES
+    n_known = known.count()
+    small = n_known * 32 <= BROADCAST_BYTES
+    n_curve = min(CURVE_ROWS, int(n_known * CURVE_SHARE))
+    curve_ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_curve).select("doc_id", "toxic")
+    curve_ids = materialize(curve_ids, "curve")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted_labels = known.where("fold < 2").select("doc_id", "toxic")
+    counted_labels = known.join(F.broadcast(curve_ids), "doc_id", "left_anti").select("doc_id", "toxic")
     labelled = texts.join(F.broadcast(counted_labels) if small else counted_labels, "doc_id")
     runs = materialize(
         labelled.select("text", "toxic")
@@ -244,8 +248,6 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     )
     model = Model(_counts(runs))
 
-    curve_ids = known.where("fold = 3").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
-    curve_ids = materialize(curve_ids.select("doc_id", "toxic"), "curve")
     seen = texts.join(F.broadcast(curve_ids), "doc_id")
     measured = seen.select("toxic", evidence(model, seen)("text").alias("e")).select("toxic", "e.whole", "e.window").toArrow()
     if measured.num_rows:
