@@ -103,3 +103,12 @@ def test_one_row_of_each_component_stays(spark, corpus):
     got = without_near_copies(df)
     assert got.columns == df.columns
     assert {r[0] for r in got.collect()} == want
+
+
+def test_links_through_a_repeated_id(spark):
+    t1, t2, t3 = (" ".join(f"{c}{i}" for i in range(12)) for c in "abc")
+    rows = [(5, t1), (5, t2), (3, t1), (7, t2), (9, t3), (8, t3), (9, t2)]
+    for extra in ([], [(1, t3)]):
+        df = spark.createDataFrame(rows + extra, "doc_id long, text string")
+        got = {r["component_id"] for r in ngram_components(df).collect()}
+        assert got == {1 if extra else 3}

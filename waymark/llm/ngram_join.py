@@ -315,6 +315,12 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     arrays = semi_join(texts, ids, "doc_id").mapInArrow(_arrays(rule), "doc_id long, hashes binary, bits binary")
     sets = materialize(arrays, "hash-arrays")
     links = materialize(_verified(rule, first, sets), "links")
+    # An id with several texts joins the classes of all of them.
+    repeated = materialize(known.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if not repeated.isEmpty():
+        several = semi_join(known.select("doc_id", "f1", "f2", "n_shingles"), repeated, "doc_id").distinct()
+        through = several.join(classes, ["f1", "f2", "n_shingles"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+        links = links.unionByName(materialize(through, "links-through-ids"))
     labels = materialize(components(links), "labels")
 
     # Tiles whose members are not yet in one component are compared pairwise.
