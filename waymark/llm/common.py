@@ -95,6 +95,12 @@ def batches(rows: Iterator[pa.RecordBatch], at_most: int = 512) -> Iterator[pa.R
             yield batch.slice(start, at_most)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, or with a number behind it where a column has that name already (whatever its case)."""
+    used = {c.lower() for c in taken}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(used) + 2))) if n.lower() not in used)
+
+
 def semi_join(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key is in ``keys`` (a stored one-column table).
 

@@ -157,3 +157,45 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query()
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every vector on the first four components."""
+    from waymark.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256.0)
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where a tenth of the documents (by crc32 of the id) repeat a stretch of words up to their end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.expr(r"case when h % 10 = 0 then filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '') end")
+    rows = docs.select("doc_id", "text", h.alias("h")).withColumn("w", words).withColumn("g", F.expr("h div 10"))
+    rows = rows.withColumn("a", F.expr("if(size(w) > 0, int(g % size(w)), null)"))
+    rows = rows.withColumn("p", F.expr("int(1 + (size(w) - a) div (3 + g % 8))"))
+    again = "flatten(array_repeat(slice(w, a + 1, p), int((size(w) - a + p - 1) div p)))"
+    planted = F.expr(f"array_join(concat(slice(w, 1, a), slice({again}, 1, size(w) - a)), ' ')")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of four periods and six words in every document, a tenth of which have a planted one."""
+    from waymark.llm.period_runs import with_runs
+
+    found = with_runs(with_planted_periods(table(spark, sf_dir, "documents")), exponent=4, shortest=6)
+    # Runs come by start, then period, so a later one must be longer in periods to win.
+    best = "aggregate(runs, cast(null as struct<start: bigint, length: bigint, period: bigint>), (b, r) -> "
+    best += "if(b is null or r.length * b.period > b.length * r.period, r, b))"
+    lines = "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"
+    return found.withColumn("best", F.expr(best)).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.expr(lines), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
