@@ -199,3 +199,18 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.expr(lines), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query()
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: those of the base patterns, and random strings."""
+    from waymark.llm.secret_scan import secret_spans
+
+    found = secret_spans(table(spark, sf_dir, "documents"), fdr=0.01)
+    joined = "array_join(transform({0}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')"
+    return found.select(
+        "doc_id",
+        *[F.expr(f"bigint(size(filter(secrets, x -> x.kind = '{k}')))").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(F.expr(joined.format("filter(secrets, x -> x.kind <> 'random')")), 256).alias("base_sha256"),
+        F.expr(joined.format("secrets")).alias("spans"),
+    )
