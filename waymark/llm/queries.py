@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.mixing import QUERY_TARGETS, draw
 from waymark.llm.mixing import oracle_sql as mixing_sql
+from waymark.llm.secret_scan import oracle_sql as secrets_sql
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -201,7 +202,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(secrets_sql(fdr=0.01))
 def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: those of the base patterns, and random strings."""
     from waymark.llm.secret_scan import secret_spans

@@ -248,3 +248,43 @@ def secret_spans(docs: DataFrame, fdr: float = 0.01) -> DataFrame:
     return spans.join(added, "row", "left").select(
         "doc_id", F.expr(f"transform({every}, x -> struct({named} as kind, x.start as start, x.end as end))").alias("secrets")
     )
+
+
+def oracle_sql(fdr: float = 0.01) -> str:
+    """The query of this operator for DuckDB: spans by ranks and running sums, the battery by the same formulas."""
+    quoted = {k: "'" + p.replace("'", "''") + "'" for k, p in PATTERNS.items()}
+    found = " UNION ALL ".join(
+        f"SELECT row, {rank} AS kind, unnest(m) AS found, unnest(g) AS held, unnest(s) AS before, generate_subscripts(m, 1) AS i FROM ("
+        f"SELECT row, regexp_extract_all(text, {p}) AS m, regexp_extract_all(text, {p}, {2 if k == 'assign' else 0}) AS g, "
+        f"string_split_regex(text, {p})[1:len(regexp_extract_all(text, {p}))] AS s FROM t WHERE regexp_matches(text, {p})) AS x{rank}"
+        for rank, (k, p) in enumerate(quoted.items())
+    )
+    levels, last = [], "cand"
+    for i, level in enumerate(battery("duckdb")):
+        columns = ", ".join(f"{sql} AS {name}" for name, sql in level.items())
+        levels.append(f"l{i} AS (SELECT *, {columns} FROM {last})")
+        last = f"l{i}"
+    names = " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS))
+    label = f"CASE kind {names} END || ':' || start || ':' || stop"
+    joined = f"coalesce(string_agg({label}, ',' ORDER BY start, kind)"
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({found}),
+e AS (SELECT *, sum(length(before) + length(found)) OVER (PARTITION BY row, kind ORDER BY i) AS stop FROM f),
+spans AS (SELECT row, kind, CAST(stop - length(found) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, found, length(held) AS wide FROM e),
+base AS (SELECT row, kind, start, stop FROM spans WHERE kind IN (1, 2) OR (kind = 0 AND wide >= {ASSIGNED})),
+cand AS (SELECT row, start, stop, found FROM spans AS s WHERE kind = 3
+ AND NOT EXISTS (SELECT 1 FROM base AS b WHERE b.row = s.row AND b.start <= s.start AND s.stop <= b.stop)),
+{", ".join(levels)},
+tested AS (SELECT row, start, stop, encoding, size_class, bin FROM {last} WHERE encoding IS NOT NULL AND n >= {SHORTEST}),
+counts AS (SELECT encoding, size_class, bin, count(*) AS c FROM tested GROUP BY ALL),
+ranked AS (SELECT *, sum(c) OVER (PARTITION BY encoding, size_class ORDER BY bin DESC) AS at_most,
+ sum(c) OVER (PARTITION BY encoding, size_class) AS tested FROM counts),
+least_bin AS (SELECT encoding, size_class, min(bin) AS least FROM ranked
+ WHERE bin > 0 AND pow(10.0, -bin / {STEPS}.0) <= {fdr!r} * at_most / tested GROUP BY ALL),
+every AS (SELECT * FROM base UNION ALL
+ SELECT row, 3 AS kind, start, stop FROM tested JOIN least_bin USING (encoding, size_class) WHERE bin >= least)
+SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+ sha256({joined} FILTER (kind < 3), '')) AS base_sha256, {joined}, '') AS spans
+FROM t LEFT JOIN every USING (row) GROUP BY row, doc_id
+""".strip()
