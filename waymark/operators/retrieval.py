@@ -13,11 +13,13 @@ All phrases of all queries form one dictionary.  A word that begins phrases is
 known with their lengths, so the page's words of each such length are looked up
 as one whole phrase: one equi-join on a unique key.  A dictionary measured to be
 small is broadcast; a larger one is joined by shuffle on hashes of the phrases, after
-a filter of fixed size has dropped nearly all that is no phrase.
+a filter sized by the counted dictionary has dropped nearly all that is no phrase
+(``phrase_filter``).  ``sources.page_index`` answers the same question from a stored index.
 
 Queries are then grouped before they meet pages.  Queries with the same
 content are one *spec*; specs with the same match condition (must, any) are
-one *class*.  Pages of a class that contain the same should-terms score alike
+one *class*.  Hits stay rows of (page, phrase); which terms of its class a page contains is an
+equi-join that starts from the rarer side (``_contained``).  Pages of a class that contain the same should-terms score alike
 for every spec, so only the first ``top_n`` ids of each such set are carried
 on - an exact cut, applied before the shuffle.  A second exact cut keeps ``top_n`` pages for each
 set of terms that specs share (``_by_subset``).  A name shared by a third of the
@@ -34,12 +36,13 @@ from pyspark.sql.window import Window
 
 from waymark import fixed_values as V
 from waymark.functions.text import phrase_form
+from waymark.operators import phrase_filter
 from waymark.session import materialize
 
-# Bits of the filter that stands in front of a dictionary too large to broadcast.
-_FILTER_BITS = 22
-_FIELD_BREAK = "|"  # never part of a phrase form
+FIELD_BREAK = "|"  # never part of a phrase form
 BROADCAST_BYTES = 256 * 1024 * 1024
+# A filter in front of a large dictionary may take this much even where less may be broadcast.
+FILTER_BYTES = 64 * 1024 * 1024
 # Specs of more should-terms are scored term by term.
 _SUBSET_TERMS = 5
 
@@ -77,7 +80,7 @@ def query_content(queries: DataFrame) -> DataFrame:
     )
 
 
-def _dictionary(specs: DataFrame) -> DataFrame:
+def phrase_dictionary(specs: DataFrame) -> DataFrame:
     """Distinct phrases: word count, first word, is it a must-phrase, is it another."""
     others = F.explode(F.array_union("any", "should"))
     phrases = specs.select(F.col("must").alias("phrase"), F.lit(True).alias("is_must")).unionByName(
@@ -97,7 +100,7 @@ def _dictionary(specs: DataFrame) -> DataFrame:
     )
 
 
-def _positions(
+def page_positions(
     corpus: DataFrame, doc_id: str, title: str | None, fields: Sequence[str]
 ) -> DataFrame:
     """(doc, tokens, in_title, i, word) for every word position of a page.
@@ -112,7 +115,7 @@ def _positions(
     names = [title, *fields] if title else list(fields)
     parts = [field_words(names[0])]
     for name in names[1:]:
-        parts += [F.array(F.lit(_FIELD_BREAK)), field_words(name)]
+        parts += [F.array(F.lit(FIELD_BREAK)), field_words(name)]
     return corpus.select(
         F.col(doc_id).alias("doc"),
         (F.concat(*parts) if len(parts) > 1 else parts[0]).alias("tokens"),
@@ -130,25 +133,6 @@ def _stored_bytes(phrase: str) -> Column:
     return 3 * F.octet_length(phrase) + 96
 
 
-def _filter_bytes(dictionary: DataFrame) -> bytes:
-    """A bit for the hash of every phrase: ``2 ** _FILTER_BITS`` bits for any dictionary."""
-    place = F.xxhash64("phrase").bitwiseAND((1 << _FILTER_BITS) - 1)
-    set_bits = dictionary.select(F.shiftright(place, 3).alias("byte"), place.bitwiseAND(7).alias("bit"))
-    found = set_bits.groupBy("byte").agg(F.expr("bit_or(1 << int(bit))").alias("bits"))
-    every = dictionary.sparkSession.range(1 << (_FILTER_BITS - 3)).withColumnRenamed("id", "byte")
-    cell = F.struct("byte", F.lpad(F.hex(F.coalesce("bits", F.lit(0))), 2, "0").alias("hex"))
-    cells = every.join(materialize(found, "filter"), "byte", "left").select(cell.alias("c"))
-    text = F.expr("array_join(transform(sort_array(collect_list(c)), c -> c.hex), '')")
-    return bytes.fromhex(cells.agg(text).first()[0])
-
-
-def _in_filter(bits: bytes, gram: Column) -> Column:
-    place = F.xxhash64(gram).bitwiseAND((1 << _FILTER_BITS) - 1)
-    byte = F.substring(F.lit(bits), F.shiftright(place, 3).cast("int") + 1, 1)
-    value = F.conv(F.hex(byte), 16, 10).cast("int")
-    return F.getbit(value, place.bitwiseAND(7).cast("int")) == 1
-
-
 def phrase_hits(
     corpus: DataFrame,
     specs: DataFrame,
@@ -157,22 +141,21 @@ def phrase_hits(
     fields: Sequence[str],
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """(doc, musts, hits, title_hits): the dictionary phrases each page contains.
+    """(doc, phrase, is_must, is_other, in_title): each dictionary phrase a page contains, once.
 
-    ``musts`` and ``title_hits`` hold must-phrases, ``hits`` alternatives and
-    should-terms only: a list page full of names stays as long as its text.  All lookups run
-    in the scan's own stage, so the token array is never copied; if the dictionary
+    All lookups run in the scan's own stage, so the token array is never copied; if the dictionary
     is too large to broadcast, hashes of the phrases leave the scan, never text.
     """
-    dictionary = _dictionary(specs)
+    dictionary = phrase_dictionary(specs)
     heads = dictionary.groupBy("word").agg(F.collect_set("n_words").alias("lengths"))
     # One row of measurements decides the join strategy.
     size = dictionary.agg(
+        F.count("*").alias("n"),
         F.coalesce(F.sum(_stored_bytes("phrase")), F.lit(0)).alias("phrases"),
         F.coalesce(F.sum(_stored_bytes("word")), F.lit(0)).alias("heads"),
         F.array_sort(F.collect_set("n_words")).alias("lengths"),
     ).first()
-    positions = _positions(corpus, doc_id, title, fields)
+    positions = page_positions(corpus, doc_id, title, fields)
     if size["heads"] <= broadcast_bytes:
         headed = positions.join(F.broadcast(heads), "word")
     else:
@@ -187,16 +170,20 @@ def phrase_hits(
     if size["phrases"] <= broadcast_bytes:
         found = grams.join(F.broadcast(lookup), "phrase")
     else:
+        blocks = phrase_filter.block_count(size["n"])
+        if blocks * phrase_filter.BLOCK_BYTES <= max(broadcast_bytes, FILTER_BYTES):
+            bloom = materialize(phrase_filter.build(dictionary, blocks), "phrase-filter")
+            grams = phrase_filter.likely(grams, bloom, blocks)
         names = [F.xxhash64("phrase").alias("h1"), F.xxhash64("phrase", F.lit(7)).alias("h2")]
-        likely = grams.where(_in_filter(_filter_bytes(dictionary), F.col("phrase")))
-        hashed = likely.select("doc", "in_title", *names)
+        hashed = grams.select("doc", "in_title", *names)
         found = hashed.join(lookup.select("*", *names), ["h1", "h2"])
-    phrase = F.col("phrase")
-    return found.groupBy("doc").agg(
-        F.collect_set(F.when(F.col("is_must"), phrase)).alias("musts"),
-        F.collect_set(F.when(F.col("is_other"), phrase)).alias("hits"),
-        F.collect_set(F.when(F.col("in_title") & F.col("is_must"), phrase)).alias("title_hits"),
-    )
+    return distinct_hits(found)
+
+
+def distinct_hits(found: DataFrame) -> DataFrame:
+    """Occurrences of phrases in pages, each phrase once a page."""
+    flags = [F.max(c).alias(c) for c in ("is_must", "is_other", "in_title")]
+    return found.groupBy("doc", "phrase").agg(*flags)
 
 
 def retrieve(
@@ -228,33 +215,36 @@ def retrieve_specs(
 ) -> DataFrame:
     """(spec_id, doc_id, score, rank) for distinct query specs.
 
-    The specs are written once: seven steps below read them, and as a stored
+    The specs are written once: several steps below read them, and as a stored
     table they have a known size for Spark's own choice of join.
     """
     specs = materialize(specs, "query-specs")
     hits = phrase_hits(corpus, specs, doc_id, title, fields, broadcast_bytes)
-    classes = specs.select("class_id", "must", "any").distinct()
-    terms = specs.select("class_id", "spec_id", F.explode("should").alias("term"))
+    return rank_hits(specs, hits, top_n, doc_id)
 
-    members = (
-        hits.select("doc", "hits", "title_hits", F.explode("musts").alias("must"))
-        .join(classes, "must")
-        .filter((F.size("any") == 0) | F.arrays_overlap("any", "hits"))
-        .select(
-            "class_id",
-            "doc",
-            F.array_contains("title_hits", F.col("must")).cast("int").alias("bonus"),
-            "hits",
-        )
+
+def rank_hits(specs: DataFrame, hits: DataFrame, top_n: int, doc_id: str) -> DataFrame:
+    """(spec_id, doc_id, score, rank) from stored specs and the phrases that pages contain."""
+    hits = materialize(hits, "page-hits")
+    classes = specs.select("class_id", "must", "any").distinct()
+    members = hits.where("is_must").join(classes, hits["phrase"] == classes["must"]).select(
+        "class_id", "doc", F.col("in_title").cast("int").alias("bonus"), (F.size("any") > 0).alias("chooses")
+    )
+    members = materialize(members, "class-pages")
+    pairs = (
+        classes.select("class_id", F.explode("any").alias("term"), F.lit(True).alias("is_any"), F.lit(False).alias("is_should"))
+        .unionByName(specs.select("class_id", F.explode("should").alias("term"), F.lit(False).alias("is_any"), F.lit(True).alias("is_should")))
+        .groupBy("class_id", "term")
+        .agg(F.max("is_any").alias("is_any"), F.max("is_should").alias("is_should"))
     )
+    others = hits.where("is_other").select("doc", F.col("phrase").alias("term"))
+    profile = F.array_sort(F.collect_list(F.when(F.col("is_should"), F.col("term")))).alias("profile")
+    have = _contained(members, pairs, others).groupBy("class_id", "doc").agg(profile, F.max("is_any").alias("chosen"))
     # Which of its class's should-terms each page contains.
-    wanted = terms.groupBy("class_id").agg(F.collect_set("term").alias("wanted"))
-    contained = F.array_sort(F.array_intersect("hits", "wanted"))
-    profiles = members.join(wanted, "class_id", "left").select(
-        "class_id",
-        "doc",
-        "bonus",
-        F.coalesce(contained, F.array().cast("array<string>")).alias("profile"),
+    profiles = (
+        members.join(have, ["class_id", "doc"], "left")
+        .where(~F.col("chooses") | F.coalesce("chosen", F.lit(False)))
+        .select("class_id", "doc", "bonus", F.coalesce("profile", F.array().cast("array<string>")).alias("profile"))
     )
     doc_first = [F.col("doc")]
     alike = _top(profiles, ["class_id", "profile", "bonus"], doc_first, top_n).drop("rank")
@@ -284,6 +274,25 @@ def retrieve_specs(
     return best.select("spec_id", F.col("doc").alias(doc_id), "score", "rank")
 
 
+def _contained(members: DataFrame, pairs: DataFrame, others: DataFrame) -> DataFrame:
+    """(class_id, doc, term, is_any, is_should): the terms of a class that its member pages contain.
+
+    Each pair of class and term starts from whichever is rarer, the pages of the class or the pages with the term, and the
+    other side is looked up by a key that is unique there.  So a page that names many entities, or a name that many
+    pages hold, costs the smaller of the two and never the product of a page's names and terms.
+    """
+    per_class = members.groupBy("class_id").agg(F.count("*").alias("of_class"))
+    per_term = others.groupBy("term").agg(F.count("*").alias("of_term"))
+    sized = materialize(pairs.join(per_class, "class_id").join(per_term, "term"), "class-terms")
+    columns = ["class_id", "doc", "term", "is_any", "is_should"]
+    rare_class = sized.where("of_class <= of_term").join(members.select("class_id", "doc"), "class_id")
+    rare_term = sized.where("of_class > of_term").join(others, "term")
+    return (
+        rare_class.select(columns).join(others, ["doc", "term"], "left_semi").select(columns)
+        .unionByName(rare_term.select(columns).join(members, ["class_id", "doc"], "left_semi").select(columns))
+    )
+
+
 def _by_subset(
     specs: DataFrame, pages: DataFrame, order: Sequence[Column], top_n: int
 ) -> DataFrame:

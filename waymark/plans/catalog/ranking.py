@@ -20,6 +20,8 @@ from waymark.plans.catalog.scalars import (
     staff_sql,
 )
 from waymark.plans.views import table, view
+from waymark.session import scratch_path
+from waymark.sources.page_index import build_index, retrieve_indexed
 
 
 def fusion_sql(source: str, name: str = "fused") -> str:
@@ -147,8 +149,17 @@ def norm_sql(c: str) -> str:
     return f"concat(' ', trim({words}), ' ')"
 
 
-@query(
-    f""", docs AS (SELECT doc_id, {norm_sql('text')} AS body FROM documents),
+def asked_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """The queries of ``phrase_queries_v`` in the form that retrieval takes."""
+    return view(spark, sf, "phrase_queries_v").select(
+        "query_id",
+        "must_phrase",
+        F.array().cast("array<string>").alias("any_phrases"),
+        F.array("term_a", "term_b").alias("should_terms"),
+    )
+
+
+_PHRASES_SQL = f""", docs AS (SELECT doc_id, {norm_sql('text')} AS body FROM documents),
  asked AS (SELECT query_id, {norm_sql('must_phrase')} AS must, {norm_sql('term_a')} AS a,
   {norm_sql('term_b')} AS b FROM phrase_queries_v),
  matched AS (SELECT query_id, doc_id,
@@ -158,20 +169,23 @@ def norm_sql(c: str) -> str:
  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
   FROM matched)
  SELECT query_id, doc_id, CAST(score AS BIGINT) AS score, CAST(rank AS INTEGER) AS rank
- FROM ranked WHERE rank <= 10""",
-    "phrase_queries_v",
-)
+ FROM ranked WHERE rank <= 10"""
+
+
+@query(_PHRASES_SQL, "phrase_queries_v")
 def phrase_retrieval(spark: SparkSession, sf: str) -> DataFrame:
-    asked = view(spark, sf, "phrase_queries_v").select(
-        "query_id",
-        "must_phrase",
-        F.array().cast("array<string>").alias("any_phrases"),
-        F.array("term_a", "term_b").alias("should_terms"),
-    )
-    found = retrieve(asked, table(spark, sf, "documents"))
+    found = retrieve(asked_phrases(spark, sf), table(spark, sf, "documents"))
     return found.select("query_id", "doc_id", "score", "rank")
 
 
+@query(_PHRASES_SQL, "phrase_queries_v")
+def indexed_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a stored index of the documents."""
+    path = scratch_path(spark, "page-index")
+    index = build_index(table(spark, sf, "documents"), path, title=None, url=None, content="text")
+    return retrieve_indexed(asked_phrases(spark, sf), index).select("query_id", "doc_id", "score", "rank")
+
+
 def best_sql(rows: str, name: str, district: str) -> str:
     """Oracle form of the selection rules over rows with ``rk``, title, url, emails, phones."""
     specific = f"{share_sql(name, 'title', 'url')} >= {V.SPECIFIC_SHARE}"
