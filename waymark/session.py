@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,9 +59,45 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+_scope: ContextVar[str] = ContextVar("scratch_scope", default="")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under :func:`shared_dir`."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path under :func:`shared_dir`, inside the current :func:`scratch_scope`."""
+    return f"{shared_dir(spark)}/{_scope.get()}{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, label: str) -> Iterator[None]:
+    """Intermediate tables made inside are removed at the end.
+
+    For work whose results are stored elsewhere by then, such as a micro-batch.  After an error the tables stay, for a look
+    at them; plans that read them must not be used after the end.
+    """
+    name = f"{_scope.get()}{label}-{uuid.uuid4().hex}/"
+    token = _scope.set(name)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+    remove(spark, f"{shared_dir(spark)}/{name}")
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path of any store Spark reaches; other failures are raised."""
+    system, place = _file_system(spark, path)
+    return system.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own."""
+    system, place = _file_system(spark, path)
+    system.delete(place, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
