@@ -7,10 +7,10 @@ import pytest
 
 from waymark.llm.line_dedup import without_repeated_lines
 
-SCHEMA = "doc_id long, text string, gone string, place string"
+SCHEMA = "doc_id long, text string, gone string, line_doc string"
 
 
-def brute(rows, num=4, den=5, least=3):
+def brute(rows, num=4, den=5, least=1):
     out, seen = {}, []
     for doc, text in sorted(rows):
         lines = text.split("\n")
@@ -52,7 +52,32 @@ def test_edge_rows(spark):
     rows = [(2, f"{line}\n\n{line} "), (2, f"{line}\nother words here now"), (None, line), (5, None), (6, ""), (7, f"{line}\n"), (1, "a b\na b")]
     df = spark.createDataFrame([(d, t, "g", "p") for d, t in rows], SCHEMA)
     got = sorted(((r["doc_id"], r["text"], r["gone"]) for r in without_repeated_lines(df).collect()), key=str)
-    want = [(2, f"{line}\n", "g"), (2, f"{line}\nother words here now", "g"), (None, line, "g"), (5, None, "g"), (6, "", "g"), (7, "", "g"), (1, "a b\na b", "g")]
+    want = [(2, f"{line}\n", "g"), (2, f"{line}\nother words here now", "g"), (None, line, "g"), (5, None, "g"), (6, "", "g"), (7, "", "g"), (1, "a b", "g")]
     assert got == sorted(want, key=str)
     assert without_repeated_lines(df.limit(0)).count() == 0
     assert without_repeated_lines(df).columns == df.columns
+
+
+def test_short_and_repetitive_lines(spark):
+    rows = [(1, "x y x y x y"), (2, "y  x"), (3, "x\ny\nx\t"), (4, " \n\t\n "), (5, "x y z")]
+    df = spark.createDataFrame([(d, t, "g", "p") for d, t in rows], SCHEMA)
+    for least in (1, 2, 3):
+        got = {r["doc_id"]: r["text"] for r in without_repeated_lines(df, min_words=least).collect()}
+        assert got == {d: t for d, (t, _) in brute(rows, least=least).items()}
+
+
+def test_very_long_line(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[5_000:])), (3, "z" * 500_000), (4, "z" * 500_000 + " y")]
+    df = spark.createDataFrame([(d, t, "g", "p") for d, t in rows], SCHEMA)
+    assert {r["doc_id"]: len(r["text"]) for r in without_repeated_lines(df).collect()} == {1: len(rows[0][1]), 2: 0, 3: 500_000, 4: 500_002}
+
+
+def test_rarity_stays_out_of_plans(spark):
+    from waymark.llm.line_dedup import _described, _rarity
+
+    docs = spark.createDataFrame([(1, "one two three"), (2, "two three four")], "doc_id long, text string")
+    plan = _described(docs, _rarity(docs), 4, 5, 1)._jdf.queryExecution().toString()
+    assert len(plan) < 50_000
+    # The row of classes is looked up inside the expression, never carried along as a column.
+    assert "lambdafunction((shiftleft(cast((ascii(cast(substring(Subquery" in plan

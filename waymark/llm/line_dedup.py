@@ -5,11 +5,12 @@ then line number) has Jaccard similarity of ``num / den`` or more with it, wheth
 itself.  Only DataFrame and SQL functions are used.
 
 1. Words are counted in ``2 ** RARITY_BITS`` hashed counters; the classes of the counters order words by rarity.
+   The classes are one stored row of bytes that stages read as a scalar subquery.
 2. Equal lines are joined by partial aggregation, so a line that many documents repeat is one row per task.
    The first ``n - ceil(n * num / den) + 1`` words of each distinct line, rarest first, are its prefix;
    similar lines share a prefix word.
 3. Lines meet at a prefix word.  First each is held against the earliest line that shares the commonest words of
-   its prefix, which settles groups of many variants in a few comparisons each; what stays open is
+   its prefix (found by partial aggregation), which settles groups of many variants in a few comparisons each; what stays open is
    joined with all earlier lines of each prefix word.  Length and positional filters, and the differing bits of two
    64-bit parities of the word sets, are part of the join, so only likely pairs leave it.
 4. Pairs that pass are verified on all words of both lines.
@@ -20,18 +21,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import BROADCAST_BYTES, semi_join
+from waymark.llm.common import BROADCAST_BYTES, free_name, semi_join
 from waymark.session import materialize
 
 #: Counters of word rarity: a fixed size, whatever the vocabulary.
-RARITY_BITS = 20
-#: Lines of fewer words are never compared: "Yes." in two documents is no copy.
-MIN_WORDS = 3
+RARITY_BITS = 22
+#: Counters whose classes one task puts in a row.
+_ROW_BITS = 12
+#: Lines of fewer distinct words are never compared; 1 leaves out lines without a word only.
+MIN_WORDS = 1
 #: Words at the end of a prefix at which a line is held against the earliest one first.
 LEADING = 2
 
-_WORDS = r"array_remove(split(line, '[\\x20\\x09-\\x0D]+'), '')"
-_HASHES = f"array_distinct(transform({_WORDS}, w -> xxhash64(w)))"
+# A split at one plain character needs no regular expression.
+_WORDS = "array_remove(split(translate({0}, '\\t\x0b\x0c\\r\\n', '     '), ' '), '')"
+_HASHES = f"array_distinct(transform({_WORDS.format('line')}, w -> xxhash64(w)))"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -41,31 +45,36 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """Rarity classes (log2 of the count) by hashed counter, as a constant array.
+    """Rarity classes (log2 of the count) by hashed counter: one byte each, as a scalar subquery on a stored row.
 
-    ``2 ** RARITY_BITS`` small numbers for any corpus: they go through the driver into the next plan.
+    ``2 ** RARITY_BITS`` bytes for any corpus.  No plan holds them: Spark fetches the row when the stage that uses it starts.
     """
-    size = 1 << RARITY_BITS
-    words = docs.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
+    size, row = 1 << RARITY_BITS, 1 << _ROW_BITS
+    words = docs.select(F.explode(F.expr(_WORDS.format("text"))).alias("w"))
     counts = words.selectExpr(f"xxhash64(w) & {size - 1} as counter").groupBy("counter").count()
-    all_counters = docs.sparkSession.range(size).withColumnRenamed("id", "counter")
-    classes = all_counters.join(materialize(counts, "rarity"), "counter", "left").selectExpr(
-        "struct(counter, string(cast(floor(log2(coalesce(count, 0) + 1)) as int)) as class) as c"
+    classes = counts.selectExpr(
+        f"counter div {row} as part",
+        f"struct(int(counter % {row}) as at, char(48 + int(floor(log2(count + 1)))) as class) as c",
     )
-    table = classes.agg(F.expr("array_join(transform(sort_array(collect_list(c)), c -> c.class), ',')"))
-    return F.split(F.lit(table.first()[0]), ",").cast("array<tinyint>")
+    # Empty counters are class 0; rows of counters are put together in many tasks, then the rows in one.
+    before = "if(i = 0, -1, get(held, i - 1).at)"
+    spelt = f"array_join(transform(held, (c, i) -> concat(repeat('0', c.at - {before} - 1), c.class)), '')"
+    spelt = classes.groupBy("part").agg(F.sort_array(F.collect_list("c")).alias("held")).selectExpr(
+        "part", f"rpad({spelt}, {row}, '0') as classes"
+    )
+    parts = docs.sparkSession.range(size // row).withColumnRenamed("id", "part")
+    every = parts.join(spelt, "part", "left").select(
+        F.struct("part", F.coalesce("classes", F.lit("0" * row)).alias("classes")).alias("c")
+    )
+    table = every.agg(F.expr("cast(array_join(transform(sort_array(collect_list(c)), c -> c.classes), '') as binary)"))
+    return materialize(table.toDF("classes"), "rarity").scalar()
 
 
 def _described(docs: DataFrame, rarity: Column, num: int, den: int, min_words: int) -> DataFrame:
     """Distinct lines: t1, t2 (hashes of the line), first place, copies, n words, parity, prefix."""
     mask = (1 << RARITY_BITS) - 1
-
-    def named(h: Column) -> Column:
-        """A word as a long that sorts by rarity first."""
-        return F.shiftleft(F.get(rarity, h.bitwiseAND(mask).cast("int")).cast("long"), 57).bitwiseOR(
-            F.shiftrightunsigned(h, 7)
-        )
-
+    # A word as a long that sorts by rarity first.
+    named = f"h -> shiftleft(bigint(ascii(string(substring(classes, int(h & {mask}) + 1, 1))) - 48), 57) | shiftrightunsigned(h, 7)"
     need = f"cast(ceil(n * {num} / {den}) as int)"
     # In the join a word is 31 bits of its hash: two words that share them make a pair more to verify.
     short = "t -> cast(t & 2147483647 as int)"
@@ -73,8 +82,8 @@ def _described(docs: DataFrame, rarity: Column, num: int, den: int, min_words: i
         _lines(docs)
         .withColumn("hashes", F.expr(_HASHES))
         .withColumn("n", F.size("hashes"))
-        .where(F.col("n") >= min_words)
-        .withColumn("tokens", F.sort_array(F.transform("hashes", named)))
+        .withColumn("classes", rarity)
+        .withColumn("tokens", F.expr(f"sort_array(transform(hashes, {named}))"))
         .selectExpr(
             "xxhash64(line) as t1",
             "xxhash64(line, 7) as t2",
@@ -88,6 +97,8 @@ def _described(docs: DataFrame, rarity: Column, num: int, den: int, min_words: i
             F.min("place").alias("place"), F.count("*").alias("copies"),
             F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"),
         )
+        # Asked before, it would make every word be hashed twice.
+        .where(F.col("n") >= max(min_words, 1))
     )
 
 
@@ -114,9 +125,9 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int =
     prefix = distinct.select("place", "n", "parity", F.posexplode("prefix").alias("i", "token"), F.size("prefix").alias("p"))
 
     # The earliest line at each of the last words of a prefix, which variants of one line share.
-    first = F.expr("min(struct(place, n, parity, i)) over (partition by token)").alias("a")
-    common = prefix.where(f"i >= p - {LEADING}").select(first, F.struct("place", "n", "parity", "i").alias("b"))
-    likely = common.where("a.place < b.place").where(_passes(num, den, "a", "b"))
+    common = prefix.where(f"i >= p - {LEADING}").select("token", F.struct("place", "n", "parity", "i").alias("b"))
+    first = common.groupBy("token").agg(F.min("b").alias("a"))
+    likely = common.join(first, "token").where("a.place < b.place").where(_passes(num, den, "a", "b"))
     settled = materialize(_verified(docs, likely.selectExpr("a.place as a", "b.place as b"), num, den), "settled")
 
     # What is settled looks for no more; its place is still one that later lines can match.
@@ -147,17 +158,28 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int =
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The later places b for which one pair (a, b) of places holds on all words."""
+    """The later places b for which one pair (a, b) of places holds on all words.
+
+    Each b is held against its earliest a first; all other pairs of what that leaves open come after.  So a
+    group of many variants of one line ships its words once a line, not once a pair.
+    """
     pairs = materialize(pairs.distinct(), "line-pairs")
     places = materialize(pairs.select(F.col("a").alias("place")).union(pairs.select("b")).distinct(), "places")
     lines = _lines(docs).withColumn("place", F.struct("doc_id", "pos"))
     sets = semi_join(lines, places, "place").select("place", F.expr(_HASHES).alias("tokens"))
     sets = materialize(sets, "line-sets")
-    left = sets.select(F.col("place").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("place").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = "size(array_intersect(ta, tb))"
-    return both.where(f"{common} * {num + den} >= (size(ta) + size(tb)) * {num}").select("b").distinct()
+
+    def holds(some: DataFrame) -> DataFrame:
+        left = sets.select(F.col("place").alias("a"), F.col("tokens").alias("ta"))
+        right = sets.select(F.col("place").alias("b"), F.col("tokens").alias("tb"))
+        common = "size(array_intersect(ta, tb))"
+        both = some.join(left, "a").join(right, "b")
+        return both.where(f"{common} * {num + den} >= (size(ta) + size(tb)) * {num}").select("b").distinct()
+
+    firsts = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")), "first-pairs")
+    settled = materialize(holds(firsts), "first-settled")
+    rest = materialize(pairs.join(settled, "b", "left_anti").join(firsts, ["a", "b"], "left_anti"), "open-pairs")
+    return settled if rest.isEmpty() else settled.unionByName(holds(rest))
 
 
 def without_repeated_lines(
@@ -165,20 +187,22 @@ def without_repeated_lines(
 ) -> DataFrame:
     """The documents with their repeated lines taken out of ``text``; no row goes.
 
-    Lines end at a line feed.  Those of fewer than ``min_words`` distinct words
+    Lines end at a line feed.  Those of fewer than ``min_words`` distinct words, by default those without any,
     stay.  Null and empty texts, and rows with a null doc_id, stay as they are; of rows that repeat a
     doc_id, the lines with one number count as equally early, and go together.  Other columns pass
     through; ``removed`` names a column to add, the number of lines taken out.  A text that loses all lines is empty.
     """
     gone = removed_lines(docs, num, den, min_words)
     by_doc = materialize(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone")), "gone-lines")
-    by_doc = by_doc.withColumnsRenamed({"doc_id": "__doc", "gone": "__gone"})
-    size = by_doc.agg(F.sum(F.size("__gone") * 4 + 32)).first()[0] or 0
+    size = by_doc.agg(F.sum(F.size("gone") * 4 + 32)).first()[0] or 0
+    key = free_name(docs.columns, "line_doc")
+    lost = free_name([*docs.columns, key], "gone_lines")
+    by_doc = by_doc.withColumnsRenamed({"doc_id": key, "gone": lost})
     small = F.broadcast(by_doc) if size <= BROADCAST_BYTES else by_doc
-    joined = docs.join(small, docs.doc_id.cast("long") == small["__doc"], "left")
-    kept = "array_join(filter(split(text, '\\n'), (line, i) -> not array_contains(__gone, i)), '\\n')"
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.expr(kept)).alias("text")
+    joined = docs.join(small, docs["doc_id"].cast("long") == by_doc[key], "left")
+    kept = f"array_join(filter(split(text, '\\n'), (line, i) -> not array_contains({lost}, i)), '\\n')"
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.expr(kept)).alias("text")
     columns = [text if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if removed:
-        columns.append(F.coalesce(F.size("__gone"), F.lit(0)).alias(removed))
+        columns.append(F.coalesce(F.size(lost), F.lit(0)).alias(removed))
     return joined.select(*columns)
