@@ -81,3 +81,19 @@ def test_rarity_stays_out_of_plans(spark):
     assert len(plan) < 50_000
     # The row of classes is looked up inside the expression, never carried along as a column.
     assert "lambdafunction((shiftleft(cast((ascii(cast(substring(Subquery" in plan
+
+
+def test_prefixes_are_shuffled_once(spark, monkeypatch):
+    from waymark.llm import line_dedup
+
+    plans, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda docs, pairs, *a: plans.append(pairs) or verified(docs, pairs, *a))
+    docs = spark.createDataFrame([(i, f"one two three four w{i}") for i in range(9)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        line_dedup.removed_lines(docs)
+        plan = plans[1]
+        plan.collect()
+        assert "ReusedExchange" in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -33,9 +33,20 @@ MIN_WORDS = 1
 #: Words at the end of a prefix at which a line is held against the earliest one first.
 LEADING = 2
 
-# A split at one plain character needs no regular expression.
-_WORDS = "array_remove(split(translate({0}, '\\t\x0b\x0c\\r\\n', '     '), ' '), '')"
-_HASHES = f"array_distinct(transform({_WORDS.format('line')}, w -> xxhash64(w)))"
+
+
+def _words(text: str) -> str:
+    """SQL: the words of a text column.
+
+    White space becomes spaces by plain replacement, which costs little where there is none, and a
+    split at one plain character needs no regular expression.
+    """
+    for blank in ("\\t", "\\n", "\\r", "\x0b", "\x0c"):
+        text = f"replace({text}, '{blank}', ' ')"
+    return f"array_remove(split({text}, ' '), '')"
+
+
+_HASHES = f"array_distinct(transform({_words('line')}, w -> xxhash64(w)))"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -50,7 +61,7 @@ def _rarity(docs: DataFrame) -> Column:
     ``2 ** RARITY_BITS`` bytes for any corpus.  No plan holds them: Spark fetches the row when the stage that uses it starts.
     """
     size, row = 1 << RARITY_BITS, 1 << _ROW_BITS
-    words = docs.select(F.explode(F.expr(_WORDS.format("text"))).alias("w"))
+    words = docs.select(F.explode(F.expr(_words("text"))).alias("w"))
     counts = words.selectExpr(f"xxhash64(w) & {size - 1} as counter").groupBy("counter").count()
     classes = counts.selectExpr(
         f"counter div {row} as part",
@@ -141,9 +152,10 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int =
         "parity",
         F.posexplode("prefix").alias("i", "token"),
     )
-    # Both sides are one table, shuffled once.  That b is open is said together with a.i (never
-    # negative): on its own it would be pushed below the shuffle of b, which would then be a second one.
-    earlier = "(a.doc_id < b.doc_id or a.doc_id = b.doc_id and a.pos < b.pos) and b.done <= least(a.i, 0)"
+    # Both sides are one table, shuffled once.  That b is open is said together with a.i and a.done (never
+    # negative): on its own it would be pushed below the shuffle of b, which would then be a second one, and so it
+    # would be if one side needed a column that the other doesn't.
+    earlier = "(a.doc_id < b.doc_id or a.doc_id = b.doc_id and a.pos < b.pos) and b.done <= least(a.i, a.done, 0)"
     on = f"a.token = b.token and {earlier} and {_passes(num, den, 'a', 'b')}"
     pairs = marked.alias("a").join(marked.alias("b"), F.expr(on))
     place = "struct({0}.doc_id, {0}.pos) as {0}"
