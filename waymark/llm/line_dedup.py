@@ -31,7 +31,7 @@ _ROW_BITS = 12
 #: Lines of fewer distinct words are never compared; 1 leaves out lines without a word only.
 MIN_WORDS = 1
 #: Words at the end of a prefix at which a line is held against the earliest one first.
-LEADING = 2
+LEADING = 5
 
 
 
