@@ -28,7 +28,7 @@ def test_codes_round_trip(ranks):
 
 def test_damaged_file_is_noticed():
     with pytest.raises(ValueError):
-        list(parse(b"WTF1" + bytes(20)))
+        list(parse(b"WTF2" + bytes(20)))
 
 
 TEXTS = ["Hello, world's end\n\nNEW line", "", None, "a b\x1cc\td  e", "<|endoftext|>x <|startoftext|>", "é ́ e", "日本語 text 123", "  ", "don't " * 500]
@@ -51,8 +51,30 @@ def test_files_hold_every_document(spark, tmp_path, monkeypatch, path, by_word):
 
 
 def test_empty_table_and_null_ids(spark, tmp_path):
-    df = spark.createDataFrame([(None, "x")], "doc_id long, text string")
+    rows = [(None, "x"), (5, "b"), (None, None), (5, "a"), (-(2**63), "low")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     write_token_files(df.limit(0), WORD, str(tmp_path / "a"), by_word=True)
     assert read_token_files(spark, str(tmp_path / "a")).count() == 0
-    with pytest.raises(ValueError, match="no doc_id"):
-        write_token_files(df, WORD, str(tmp_path / "b"))
+    write_token_files(df, WORD, str(tmp_path / "b"), by_word=True)
+    got = sorted(((r["start"], r["doc_id"], bytes(r["ids"])) for r in read_token_files(spark, str(tmp_path / "b")).collect()))
+    assert [d for _, d, _ in got] == [None, None, -(2**63), 5, 5]
+    tokenizer = Tokenizer.from_file(WORD)
+    want = [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for _, t in rows]
+    assert sorted(ids for _, _, ids in got) == sorted(want)
+    assert [s for s, _, _ in got] == np.cumsum([0] + [len(ids) // 4 for _, _, ids in got])[:-1].tolist()
+
+
+def test_long_text_without_a_space(spark, tmp_path):
+    """It is encoded whole and not remembered."""
+    from waymark.llm.token_files import REMEMBERED_CHARS, encoder
+
+    text = "".join(chr(97 + i * i % 23) for i in range(1_000_000))
+    rows = [(1, text), (2, "short words " + "y" * 300)]
+    write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), WORD, str(tmp_path), by_word=True)
+    got = {r["doc_id"]: bytes(r["ids"]) for r in read_token_files(spark, str(tmp_path)).collect()}
+    tokenizer = Tokenizer.from_file(WORD)
+    for doc, t in rows:
+        assert got[doc] == np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()
+    local = encoder(WORD, 1, True)
+    local.encode([t for _, t in rows])
+    assert max(map(len, local.known)) <= REMEMBERED_CHARS

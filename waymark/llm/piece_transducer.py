@@ -22,15 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import batches
+from waymark.llm.common import batches, free_name
 
 #: Extra cost of leaving the pieces, above the dearest of them, as SentencePiece sets it.
 FALLBACK_PENALTY = 10.0
 #: Paths a worker remembers.  A full memory keeps its older half: common chunks come early.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
+#: Characters of a chunk that is remembered, so that the memory has a bound in bytes: longer ones hardly come again.
+REMEMBERED_CHARS = 40
 #: Characters composed at once.
 COMPOSED = 1 << 17
 BOUNDARY = "▁"
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _CHUNKS = re.compile(f"{BOUNDARY}*[^{BOUNDARY}]*")
 
 
@@ -108,11 +111,45 @@ class Transducer:
                     final_cost.append(np.inf)
                 state = arcs[key]
             final_id[state], final_cost[state] = i, -score
-        self.keys = np.array(sorted(arcs), dtype=np.int64)
-        self.targets = np.array([arcs[k] for k in self.keys.tolist()], dtype=np.int64)
+        self._arc_table(np.array(sorted(arcs), dtype=np.int64), np.array([arcs[k] for k in sorted(arcs)], dtype=np.int64))
         self.final_id, self.final_cost = np.array(final_id), np.array(final_cost)
         self.known: dict[str, bytes] = {}
 
+    def _arc_table(self, keys: np.ndarray, targets: np.ndarray) -> None:
+        """The arcs as a hash table with open addressing, at most a quarter full."""
+        bits = max(4, int(len(keys)).bit_length() + 2)
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.full(1 << bits, -1, dtype=np.int64)
+        self.targets = np.zeros(1 << bits, dtype=np.int64)
+        place = self._place(keys)
+        while len(keys):
+            # Of the keys that want one free place, one gets it; the others try the next.
+            free = self.keys[place] < 0
+            chosen = np.zeros(len(keys), dtype=bool)
+            chosen[np.unique(np.where(free, place, -1), return_index=True)[1]] = True
+            chosen &= free
+            self.keys[place[chosen]], self.targets[place[chosen]] = keys[chosen], targets[chosen]
+            keys, targets, place = keys[~chosen], targets[~chosen], (place[~chosen] + 1) & (len(self.keys) - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _SPREAD) >> self.shift).astype(np.int64)
+
+    def _follow(self, keys: np.ndarray) -> np.ndarray:
+        """The state each arc leads to, -1 where there is none."""
+        place = self._place(keys)
+        held = self.keys[place]
+        out = np.where(held == keys, self.targets[place], -1)
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        place = place[open_]
+        while len(open_):
+            place = (place + 1) & (len(self.keys) - 1)
+            held = self.keys[place]
+            found = held == keys[open_]
+            out[open_[found]] = self.targets[place[found]]
+            go_on = ~found & (held >= 0)
+            open_, place = open_[go_on], place[go_on]
+        return out
+
     def normalise(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
@@ -142,11 +179,9 @@ class Transducer:
         at, state = np.arange(len(letters)), np.zeros(len(letters), dtype=np.int64)
         length = 0
         while len(at):
-            key = state << 21 | letters[at + length]
-            place = np.searchsorted(self.keys, key)
-            place[place == len(self.keys)] = 0
-            ok = self.keys[place] == key if len(self.keys) else np.zeros(len(key), bool)
-            at, state = at[ok], self.targets[place[ok]]
+            state = self._follow(state << 21 | letters[at + length])
+            ok = state >= 0
+            at, state = at[ok], state[ok]
             length += 1
             accepted = self.final_id[state] >= 0
             start.append(at[accepted])
@@ -157,18 +192,20 @@ class Transducer:
             at, state = at[go_on], state[go_on]
         # The fallback of one character, where no piece is that character.
         one = np.zeros(len(letters), dtype=bool)
-        one[start[0]] = True
+        if start:
+            one[start[0]] = True
         missing = np.flatnonzero(~one)
-        start.append(missing)
-        end.append(missing + 1)
-        label.append(np.full(len(missing), -1))
-        cost.append(np.full(len(missing), self.fallback_cost))
-        start, end, label, cost = (np.concatenate(x) for x in (start, end, label, cost))
+        start.insert(0, missing)
+        end.insert(0, missing + 1)
+        label.insert(0, np.full(len(missing), -1))
+        cost.insert(0, np.full(len(missing), self.fallback_cost))
+        # Longest arcs first: a stable sort then puts the earliest start first among arcs with one end.
+        start, end, label, cost = (np.concatenate(x[::-1]) for x in (start, end, label, cost))
 
         # Tropical shortest path: positions of all chunks in step, from their starts.
         first = np.repeat(ends - sizes, sizes)
         depth = end - first[start]
-        order = np.lexsort((start, end, depth))
+        order = np.argsort(depth * (len(letters) + 1) + end, kind="stable")
         start, end, label, cost, depth = (x[order] for x in (start, end, label, cost, depth))
         best = np.full(len(letters) + 1, np.inf)
         arc_in = np.full(len(letters) + 1, -1)
@@ -238,16 +275,22 @@ class Transducer:
         split = [self.chunks(t or "") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = dict(islice(self.known.items(), REMEMBERED // 2))
-        new = list(dict.fromkeys(c for chunks in split for c in chunks if c not in self.known))
-        held, size = [], 0
+        known = self.known
+        new = list(dict.fromkeys([c for chunks in split for c in chunks if c not in known]))
+        held, size, passing = [], 0, []
         for chunk in new:
             held.append(chunk)
             size += len(chunk)
+            if len(chunk) > REMEMBERED_CHARS:
+                passing.append(chunk)
             if size > COMPOSED:
-                self.known.update(zip(held, self.shortest_paths(held), strict=True))
+                known.update(zip(held, self.shortest_paths(held), strict=True))
                 held, size = [], 0
-        self.known.update(zip(held, self.shortest_paths(held), strict=True))
-        return [b"".join([self.known[c] for c in chunks]) for chunks in split]
+        known.update(zip(held, self.shortest_paths(held), strict=True))
+        encoded = [b"".join([known[c] for c in chunks]) for chunks in split]
+        for chunk in passing:
+            del known[chunk]
+        return encoded
 
     def decode(self, ids: bytes) -> str:
         """The text of some ids; bytes that are no UTF-8 become the replacement character."""
@@ -271,7 +314,7 @@ def encode_documents(docs: DataFrame, model_path: str, name: str = "ids", decode
 
     ``model_path`` names a SentencePiece model with the identity normaliser, read once by the driver.
     Whole texts are encoded; null and empty texts have no ids.  Other columns pass through, every
-    row stays.
+    row stays.  Where the table already has a column of a new name, the new one gets a number behind its name.
     """
     with open(model_path, "rb") as file:
         model = docs.sparkSession.sparkContext.broadcast(file.read())
@@ -293,5 +336,6 @@ def encode_documents(docs: DataFrame, model_path: str, name: str = "ids", decode
             [compiled(model.value).decode(flat[4 * a : 4 * b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string()
         )
 
+    name = free_name(docs.columns, name)
     encoded = docs.withColumn(name, encode("text"))
-    return encoded.withColumn(decoded, decode(name)) if decoded else encoded
+    return encoded.withColumn(free_name(encoded.columns, decoded), decode(name)) if decoded else encoded

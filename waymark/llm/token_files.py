@@ -7,8 +7,9 @@ four ranks to a control byte.  A decoder looks a control byte up in a table of
 
 A file is a sequence of records, each followed by a line feed:
 
-    magic       4 bytes  ``WTF1``
+    magic       4 bytes  ``WTF2``
     documents   u32      number of documents of the record
+    nulls       u32      how many of them, the first ones, have no doc_id
     ids         u32      number of ids
     data        u32      number of data bytes
     doc_id      i64 x documents
@@ -36,15 +37,18 @@ from pyspark.sql import functions as F
 
 from waymark.llm.binary_files import read_files, write_records
 from waymark.llm.common import batches
+from waymark.session import materialize
 
-MAGIC = b"WTF1"
-HEAD, HEAD_SIZE = "<4sIII", 16
+MAGIC = b"WTF2"
+HEAD, HEAD_SIZE = "<4sIIII", 20
 #: Ids after which a record ends (a document is never cut).
 RECORD_IDS = 1 << 16
-#: Text bytes of a file, about.
-FILE_BYTES = 32 << 20
+#: Ids of a file, about.
+FILE_IDS = 6 << 20
 #: Encoded words a worker remembers.  A full memory keeps its older half: common words come early.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
+#: Characters of a word that is remembered, so that the memory has a bound in bytes: longer ones hardly come again.
+REMEMBERED_CHARS = 40
 #: Words that the tokenizer gets as one text.
 TOGETHER = 200
 
@@ -89,6 +93,7 @@ class Encoder:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.end = np.array([end_id], dtype="<u4").tobytes()
+        self.width = "<u2" if max(end_id, *vocabulary.values()) < 1 << 16 else "<u4"
         self.by_word = by_word
         self.known: dict[str, bytes] = {}
 
@@ -122,7 +127,11 @@ class Encoder:
         if new:
             self._learn(list(new))
         known = self.known
-        return [b"".join([known[w] for w in words]) + self.end for words in split]
+        encoded = [b"".join([known[w] for w in words]) + self.end for words in split]
+        for word in new:
+            if len(word) > REMEMBERED_CHARS:
+                del known[word]
+        return encoded
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -135,11 +144,25 @@ def encoder(*key) -> Encoder:
     return _encoders[key]
 
 
-def _count_ids(key: tuple) -> Callable:
+def _encode(key: tuple) -> Callable:
+    """doc_id, text -> doc_id, n, ids (16-bit numbers where the vocabulary allows, else 32-bit)."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows, 256):
+            encoded = encoder(*key).encode(batch.column("text").to_pylist())
+            width = encoder(*key).width
+            cells = [np.frombuffer(e, "<u4").astype(width).tobytes() for e in encoded]
+            n = pa.array([len(e) // 4 for e in encoded], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array(cells, pa.binary())], names=["doc_id", "n", "ids"])
+
+    return run
+
+
+def _count_ids(width: str) -> Callable:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, dtype=np.int64)
         for batch in batches(rows, 256):
-            ids = np.frombuffer(b"".join(encoder(*key).encode(batch.column("text").to_pylist())), dtype="<u4")
+            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype=width)
             found = np.bincount(ids, minlength=len(counts))
             found[: len(counts)] += counts
             counts = found
@@ -149,8 +172,8 @@ def _count_ids(key: tuple) -> Callable:
     return run
 
 
-def _records(key: tuple, ranked: np.ndarray) -> Callable:
-    """Sorted (doc_id, text) -> records of the file format, with the number of ids of each."""
+def _records(width: str, ranked: np.ndarray) -> Callable:
+    """Sorted (doc_id, ids) -> records of the file format."""
     rank = np.zeros(int(ranked.max()) + 1 if len(ranked) else 0, dtype=np.uint32)
     rank[ranked] = np.arange(len(ranked), dtype=np.uint32)
 
@@ -158,23 +181,20 @@ def _records(key: tuple, ranked: np.ndarray) -> Callable:
         docs, sizes, held, size = [], [], [], 0
 
         def record() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), dtype="<u4")
+            ids = np.frombuffer(b"".join(held), dtype=width)
             control, data = pack(rank[ids])
-            head = struct.pack(HEAD, MAGIC, len(docs), len(ids), len(data))
-            body = head + np.array(docs, "<i8").tobytes() + np.array(sizes, "<u4").tobytes() + control + data
+            nulls = docs.count(None)
+            body = struct.pack(HEAD, MAGIC, len(docs), nulls, len(ids), len(data))
+            body += np.array([0] * nulls + docs[nulls:], "<i8").tobytes() + np.array(sizes, "<u4").tobytes() + control + data
             body += struct.pack("<I", zlib.crc32(body))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([body], pa.binary())], names=["record"]
-            )
+            return pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], names=["record"])
 
         for batch in batches(rows, 64):
-            for doc, ids in zip(
-                batch.column("doc_id").to_pylist(), encoder(*key).encode(batch.column("text").to_pylist()), strict=True
-            ):
+            for doc, n, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids")), strict=True):
                 docs.append(doc)
-                sizes.append(len(ids) // 4)
+                sizes.append(n)
                 held.append(ids)
-                size += len(ids) // 4
+                size += n
                 if size >= RECORD_IDS:
                     yield record()
                     docs, sizes, held, size = [], [], [], 0
@@ -184,17 +204,17 @@ def _records(key: tuple, ranked: np.ndarray) -> Callable:
     return run
 
 
-def parse(content: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_id, n_tokens, ranks) of each record of a file; a damaged one raises."""
+def parse(content: bytes) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """(doc_id, nulls, n_tokens, ranks) of each record of a file; a damaged one raises."""
     at, view = 0, memoryview(content)
     while at < len(view):
-        magic, docs, ids, data = struct.unpack_from(HEAD, view, at)
+        magic, docs, nulls, ids, data = struct.unpack_from(HEAD, view, at)
         ends = np.cumsum([HEAD_SIZE, 8 * docs, 4 * docs, -(-ids // 4), data])
         size = int(ends[-1])
         if magic != MAGIC or struct.unpack_from("<I", view, at + size)[0] != zlib.crc32(view[at : at + size]):
             raise ValueError(f"no whole record at byte {at}")
         parts = [np.frombuffer(view[at + a : at + b], dtype=np.uint8) for a, b in zip(ends, ends[1:], strict=False)]
-        yield parts[0].view("<i8"), parts[1].view("<u4"), unpack(parts[2], parts[3], ids)
+        yield parts[0].view("<i8"), nulls, parts[1].view("<u4"), unpack(parts[2], parts[3], ids)
         at += size + 5
 
 
@@ -204,24 +224,23 @@ def write_token_files(
     """Encode ``text`` of every row and write the files, in ascending doc_id order, under ``path``.
 
     ``tokenizer`` is the path of a file of the tokenizers library, readable on
-    every executor.  Null texts count as empty: they have the end id alone.  Rows that repeat a doc_id
-    all stay, in no fixed order among themselves if their texts differ in nothing else but length; rows with a null doc_id raise, as they have no
-    place in the order.  Other columns are ignored.
+    every executor.  Null texts count as empty: they have the end id alone.  Rows with a null doc_id come first and keep
+    it; rows that repeat a doc_id all stay, in order of their ids.  Other columns are ignored.  Texts are
+    encoded once: their ids are stored, counted, then dealt out by ranges of doc_id.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     key = (tokenizer, end_id, by_word)
-    counts = docs.select("text").mapInArrow(_count_ids(key), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    width = encoder(*key).width
+    stored = materialize(docs.mapInArrow(_encode(key), "doc_id long, n long, ids binary"), "encoded")
+    counts = stored.select("ids").mapInArrow(_count_ids(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # One row for each id of the vocabulary at most.
     found = counts.toArrow()
     ids, n = found.column("id").to_numpy(), found.column("n").to_numpy()
     ranked = ids[np.lexsort((ids, -n))]
 
-    size = docs.agg(F.sum(F.octet_length("text")), F.count_if(F.col("doc_id").isNull())).first()
-    if size[1]:
-        raise ValueError(f"{size[1]} rows have no doc_id")
-    n_files = files or max(1, -(-(size[0] or 0) // FILE_BYTES))
-    ordered = docs.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "text")
-    write_records(ordered.mapInArrow(_records(key, ranked), "record binary"), "record", f"{path}/files")
+    n_files = files or max(1, -(-int(n.sum()) // FILE_IDS))
+    ordered = stored.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "ids")
+    write_records(ordered.mapInArrow(_records(width, ranked), "record binary"), "record", f"{path}/files")
 
     spark = docs.sparkSession
     table = spark.createDataFrame([(ranked.astype("<u4").tobytes(),)], "record binary")
@@ -235,7 +254,7 @@ def write_token_files(
 
 def _file_sizes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
-        n = [sum(int(sizes.sum()) for _, sizes, _ in parse(c.as_py())) for c in batch.column("content")]
+        n = [sum(int(sizes.sum()) for _, _, sizes, _ in parse(c.as_py())) for c in batch.column("content")]
         yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(n, pa.int64())], names=["path", "n"])
 
 
@@ -247,14 +266,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for content, start in zip(batch.column("content"), batch.column("start").to_pylist(), strict=True):
-                for docs, sizes, ranks in parse(content.as_py()):
+                for docs, nulls, sizes, ranks in parse(content.as_py()):
                     ends = np.cumsum(sizes, dtype=np.int64)
                     starts = ends - sizes + start
                     start += int(ends[-1])
                     ids = ranked[ranks].tobytes()
                     cells = [ids[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(docs.astype(np.int64)), pa.array(starts.astype(np.int64)), pa.array(cells, pa.binary())],
+                        [pa.array(docs.astype(np.int64), mask=np.arange(len(docs)) < nulls), pa.array(starts.astype(np.int64)), pa.array(cells, pa.binary())],
                         names=["doc_id", "start", "ids"],
                     )
 
