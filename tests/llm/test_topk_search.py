@@ -40,3 +40,20 @@ def test_equals_brute_force(spark, monkeypatch, size, values):
     assert [r for r in got if r[0] not in (650, 700)] == want
     assert [r[:3] for r in got if r[0] in (650, 700)] == [(650, 1, 700), (700, 1, 650)]
     assert top_k(df.limit(0)).count() == 0
+
+
+def test_repeated_ids_equal_oracle(spark, monkeypatch):
+    """Every row of a repeated id is a candidate, and a query."""
+    duckdb = pytest.importorskip("duckdb")
+    from waymark.llm.queries import ORACLES
+
+    monkeypatch.setattr("waymark.llm.topk_search.SHARD", 40)
+    monkeypatch.setattr("waymark.llm.topk_search.LEAF", 5)
+    rng = random.Random(7)
+    rows = [(rng.choice([7, 50, 100, *range(60)]), [rng.uniform(-1, 1) for _ in range(4)]) for _ in range(300)]
+    rows += [(7, [9.0, 0.0, 0.0, 0.0]), (7, [1.0, 0.0, 0.0, 0.0]), (8, [2.0, 0.0, 0.0, 0.0]), (8, [2.0, 0.0, 0.0, 0.0]), (50, [1.0, 0.0, 0.0, 0.0])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50, k=5, scale=256.0)
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(ORACLES["op7_topk_search"]).fetchall())

@@ -1,10 +1,13 @@
 """ARC to WARC: parsing, revisits, round trip of every payload."""
 
+import gzip
 import hashlib
 
 import pytest
 
-from waymark.llm.warc import arc_head, arc_record, archive, parse_arc, parse_warc, safe_url, warc_date
+from waymark.llm.warc import (
+    arc_head, arc_record, archive, convert_arc, inflate, parse_arc, parse_warc, read_warc, safe_url, warc_date,
+)
 
 PAGES = [
     (1, "http://a/x y", "<p>é</p>\r\n\r\nWARC/1.1\n" * 100),
@@ -54,3 +57,28 @@ def test_round_trip(spark, monkeypatch):
     assert got == sorted([*want, ("None", "response", None, 2000)])
     assert len({r["record_id"] for r in rows}) == len(PAGES)
     assert archive(df.limit(0)).count() == 0
+
+
+def test_archives_of_others(spark, tmp_path):
+    """A gzip member per record, content types with spaces, answers without a length, headers in Latin-1."""
+    payload = ("ü" * 700).encode()
+    answers = [
+        b"HTTP/1.1 200 OK\r\nServer: caf\xe9\r\n\r\n" + payload,
+        b"HTTP/1.1 200 OK\r\nContent-Length: 99999\r\n\r\n" + payload,
+        b"HTTP/1.0 404 Not Found\r\n\r\ngone",
+    ]
+    lines = [f"http://a/{i} 10.0.0.1 20010203040506 text/html; charset=x {len(a)}\n".encode() for i, a in enumerate(answers)]
+    version = b"1 0 Archive\nURL IP-address Archive-date Content-type Archive-length\n"
+    head = f"filedesc://x.arc 0.0.0.0 20010203040506 text/plain {len(version)}\n".encode() + version
+    members = [head + b"\n", *(h + a + b"\n" for h, a in zip(lines, answers, strict=True))]
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "x.arc.gz").write_bytes(b"".join(map(gzip.compress, members)))
+    convert_arc(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
+    got = {r["url"]: r for r in read_warc(spark, f"{tmp_path}/warc").collect()}
+    assert {u: r["payload_bytes"] for u, r in got.items()} == {"http://a/0": 1400, "http://a/1": 1400, "http://a/2": 4}
+    assert sorted(r["record_type"] for r in got.values()) == ["response", "response", "revisit"]
+    assert {r["payload_digest"] for r in got.values()} == {hashlib.sha1(p).hexdigest() for p in (payload, b"gone")}
+    assert inflate(b"plain") == b"plain" and inflate(b"") == b""
+    for damaged in (gzip.compress(b"x" * 99)[:-9], gzip.compress(b"x") + b"rest"):
+        with pytest.raises(ValueError):
+            inflate(damaged)

@@ -1,6 +1,6 @@
 """Exact top-k search by inner product with one KD-tree per shard.
 
-Vectors are dealt to shards of bounded size by a hash of their id.  A task builds the tree
+Vectors are dealt to shards of bounded size by a hash of their row.  A task builds the tree
 of its shard, by median splits of the widest component down to leaves, with a tight box around every node,
 and answers blocks of queries.  A query visits nodes best first, by the largest inner product any
 vector of the box could have, and stops when that falls below its kth best score.  Every query first searches one shard;
@@ -171,16 +171,17 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0)
 
     ``vectors`` needs vec_id and embedding (array of numbers).  Components x count as floor(scale * x); queries are
     the rows whose vec_id is divisible by ``every``, candidates all vectors of the same length with another vec_id; ties go to the
-    smaller vec_id.  Null vectors, vectors with null or non-finite components, and rows without vec_id take no part.  Of
-    rows that repeat a vec_id the vector with the smallest bytes counts.  Scores beyond 64 bits stop at the ends of their range.
+    smaller vec_id.  Null vectors, vectors with null or non-finite components, and rows without vec_id take no part.  Rows
+    that repeat a vec_id all stay candidates; if they are queries, the k best are taken over all their rows.  Scores beyond 64 bits stop at the ends of their range.
     """
     whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"))
     integers = whole.mapInArrow(lambda rows: _integers(rows, scale), "vec_id long, dim int, v binary")
-    integers = materialize(integers.groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("x")).select("vec_id", "x.*"), "vectors")
+    integers = materialize(integers.withColumn("row", F.monotonically_increasing_id()), "vectors")
     # Number of shards by length: one row for each length of vectors.
     shards = integers.groupBy("dim").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
     placed = integers.join(F.broadcast(materialize(shards, "shards")), "dim")
-    home = F.expr("int(pmod(xxhash64(vec_id), shards))")
+    # Dealt by row, so that an id with many rows fills no shard.
+    home = F.expr("int(pmod(xxhash64(row), shards))")
     empty = F.lit(None).cast("long")
     stored = placed.select("dim", home.alias("shard"), F.lit(False).alias("is_query"), "vec_id", "v", empty.alias("kth"))
     queries = materialize(placed.where(F.col("vec_id") % every == 0).withColumn("home", home), "queries")

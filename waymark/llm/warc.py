@@ -110,9 +110,32 @@ def parse_arc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             layout = block.split(b"\n")[1].decode().split(" ") if block.count(b"\n") > 1 else []
             fields = layout or ARC_FIELDS[version].split(" ")
             continue
-        if len(values) != len(fields):
-            raise ValueError(f"{len(values)} header fields where the version has {len(fields)}")
-        yield dict(zip(fields, values, strict=True)), block
+        yield dict(zip(fields, header_values(values, fields), strict=True)), block
+
+
+def inflate(content: bytes) -> bytes:
+    """All members of a gzip file, one after the other; what is not gzip stays as it is."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    parts, rest = [], content
+    while rest[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        parts.append(member.decompress(rest))
+        if not member.eof:
+            raise ValueError("a gzip member is cut off")
+        rest = member.unused_data
+    if rest.strip(b"\0"):
+        raise ValueError("no gzip member where the last one ends")
+    return b"".join(parts)
+
+
+def header_values(values: list[str], fields: list[str]) -> list[str]:
+    """One value for each field: a content type may hold spaces, so what stands right of it counts from the end."""
+    at = next((i for i, f in enumerate(fields) if f.lower() == "content-type"), -1)
+    extra = len(values) - len(fields)
+    if extra < 0 or (extra and at < 0):
+        raise ValueError(f"{len(values)} header fields where the version has {len(fields)}")
+    return values if not extra else [*values[:at], " ".join(values[at : at + extra + 1]), *values[at + extra + 1 :]]
 
 
 def warc_date(date: str) -> str:
@@ -132,7 +155,7 @@ def _convert(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             name, out = path.rsplit("/", 1)[-1], []
-            for place, (fields, block) in enumerate(parse_arc(zlib.decompress(content.as_py(), 31))):
+            for place, (fields, block) in enumerate(parse_arc(inflate(content.as_py()))):
                 head, _, payload = block.partition(b"\r\n\r\n")
                 page = re.search(rb"(?i)^X-Page-Id: *(-?\d+)", head, re.M)
                 record_id = uuid.uuid5(_NAMESPACE, f"{name}#{place}")
@@ -156,6 +179,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=list(names))
 
 
+#: Extension header: revisits leave the payload out, and an answer need not tell its length.
+PAYLOAD_LENGTH = "X-Payload-Length"
+
+
 def digest(sha1: str) -> str:
     """A digest as WARC writes it."""
     return "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode()
@@ -179,6 +206,7 @@ def _to_warc(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ("WARC-Target-URI", r["url"]),
                 ("Content-Type", "application/http; msgtype=response"),
                 ("WARC-Payload-Digest", digest(r["sha1"])),
+                (PAYLOAD_LENGTH, str(r["payload_bytes"])),
             ]
             block = r["head"] + b"\r\n\r\n"
             if r["original"]:
@@ -195,7 +223,7 @@ def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while at < len(content):
         head_end = content.find(b"\r\n\r\n", at)
-        lines = content[at:head_end].decode("utf-8").split("\r\n")
+        lines = content[at:head_end].decode("utf-8", "replace").split("\r\n")
         if head_end < 0 or not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -207,15 +235,21 @@ def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4
 
 
+def _length(headers: dict[str, str], http: dict[str, str]) -> int | None:
+    """The payload length a revisit tells, if it does."""
+    told = headers.get(PAYLOAD_LENGTH.lower(), http.get("content-length", ""))
+    return int(told) if told.isdigit() else None
+
+
 def _from_warc(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["record_id", "page_id", "url", "date", "record_type", "refers_to_id", "payload_bytes", "payload_digest", "payload"]
     kinds = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string(), pa.binary()]
     for batch in rows:
         for content in batch.column("content"):
             out = []
-            for headers, block in parse_warc(zlib.decompress(content.as_py(), 31)):
+            for headers, block in parse_warc(inflate(content.as_py())):
                 head, _, payload = block.partition(b"\r\n\r\n")
-                http = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
+                http = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
                 sha1 = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:")).hex()
                 stored = headers["warc-type"] == "response"
                 if stored and hashlib.sha1(payload).hexdigest() != sha1:
@@ -224,7 +258,7 @@ def _from_warc(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append(
                     (
                         headers["warc-record-id"], None if page is None else int(page), headers["warc-target-uri"], headers["warc-date"],
-                        headers["warc-type"], headers.get("warc-refers-to"), int(http["content-length"]), sha1, payload if stored else None,
+                        headers["warc-type"], headers.get("warc-refers-to"), len(payload) if stored else _length(headers, http), sha1, payload if stored else None,
                     )
                 )
             if out:
@@ -260,7 +294,7 @@ def convert_arc(spark: SparkSession, arc: str, path: str) -> None:
         F.broadcast(originals) if small else originals, (F.col("sha1") == F.col("s")) & (F.col("payload_bytes") == F.col("size")), "left"
     )
     original = F.when(F.col("original") != F.col("record_id"), F.col("original")).alias("original")
-    columns = ["record_id", "url", "date", "head", "payload", "sha1", original]
+    columns = ["record_id", "url", "date", "head", "payload", "payload_bytes", "sha1", original]
     write_records(joined.select(*columns).mapInArrow(_to_warc, "record binary"), "record", path, compression="gzip")
 
 
