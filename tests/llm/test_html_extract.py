@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import pytest
+
 from waymark.llm.html_extract import blocks_of, main_text, minimum_cut, with_main_text
 
 
@@ -114,3 +116,27 @@ def test_implied_ends():
 def test_deep_elements_have_their_own_labels():
     page = "<div>" * 600 + f"<article><p>{LONG}</p><nav><p>{LONG} No.</p></nav><p>{LONG}</p></article>"
     assert main_text(page) == f"{LONG}\n{LONG}"
+
+
+STORY = "The council met on Monday and agreed on the plan for the new library, which will open in the spring of next year."
+
+
+@pytest.mark.parametrize(
+    "before,after",
+    [('<form id="aspnetForm" action="./">', "</form>"), ('<div class="more">', "</div>"), ('<div class="hidden lg:block">', "</div>"), ("<!--><!--->", "")],
+)
+def test_wrappers_do_not_empty_a_page(before, after):
+    page = f"<body>{before}<h1>News</h1><p>{STORY}</p><p>{STORY} Again.</p>{after}<div class='footer'>Imprint</div></body>"
+    assert main_text(page).endswith(f"{STORY}\n{STORY} Again.")
+
+
+def test_forms_beside_the_text_go():
+    form = "<form><p>Subscribe to our letter and get the news of the week by e-mail, every Friday, for free.</p><input></form>"
+    page = f"<body><h1>News</h1><p>{STORY}</p><p>{STORY} Again.</p>{form}</body>"
+    assert "Subscribe" not in main_text(page) and "Again" in main_text(page)
+    inside = f"<body><form id='aspnetForm'><div class='search-form'>Search this site</div><p>{STORY}</p><p>{STORY} Again.</p></form></body>"
+    assert main_text(inside) == f"{STORY}\n{STORY} Again."
+
+
+def test_comments_end_where_they_should():
+    assert main_text(f"<p>{STORY}</p><!--><p>{STORY} Two.</p>--><p>{STORY} Three.</p>").count(STORY) == 3

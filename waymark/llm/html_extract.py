@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.common import free_name
+
 # Fixed values of HTML: kinds of elements by what they mean for blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea".split())
@@ -74,6 +76,10 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
 _NAME = re.compile(r"[^\W\d_]+|\d+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
+#: Class names that show on wider screens what "hidden" hides on small ones.
+_SHOWN = re.compile(r"(?i)(?:^|\s)\w+:(?:block|flex|grid|inline|inline-block|table|contents)(?:\s|$)")
+#: A form is a wrapper of the page where it holds this share of its text, and a paragraph of so many characters.
+WRAPPER_SHARE, WRAPPER_PARAGRAPH = 0.5, 80
 _HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -86,6 +92,8 @@ class Block:
     against: bool
     speaks_for: bool
     hidden: bool
+    #: Number of the outermost form around it, 0 if none.
+    form: int = 0
 
 
 @dataclass
@@ -98,6 +106,7 @@ class Element:
     comments: bool = False
     #: Inside an embedded element: text is left out.
     dropped: bool = False
+    form: int = 0
 
 
 def _against(words: list[str]) -> bool:
@@ -105,6 +114,8 @@ def _against(words: list[str]) -> bool:
 
     "cookie-notice" and "site-footer" are; "no-sidebar", "has-comments" and "tag-city" say something about the text.
     """
+    if words == ["more"]:  # a wrapper as often as a link
+        return False
     if words[0] == "tag" and len(words) > 1:
         return words[1:] in (["cloud"], ["list"], ["links"])
     if len(words) == 2 and words[0] in OF and words[1] in AGAINST:
@@ -113,14 +124,17 @@ def _against(words: list[str]) -> bool:
 
 
 def _element(tag: str, attributes: str, number: int, parent: Element) -> Element:
-    names, hidden = [[tag]], parent.hidden
+    names, hidden = [] if tag == "form" else [[tag]], parent.hidden
     central = tag in ("article", "main")
     if attributes:
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id", "role"):
                 # camelCase and joined names: a name counts as a whole, made of its words.
-                names += [_NAME.findall(_CAMEL.sub(r"\1 \2", n).lower()) for n in value.split()]
+                shown = _SHOWN.search(value)
+                names += [
+                    _NAME.findall(_CAMEL.sub(r"\1 \2", n).lower()) for n in value.split() if not (shown and n.lower() == "hidden")
+                ]
                 central |= name == "role" and value.strip().lower() in ("article", "main")
             elif name == "style":
                 hidden |= bool(_HIDDEN.search(value))
@@ -139,7 +153,8 @@ def _element(tag: str, attributes: str, number: int, parent: Element) -> Element
         found = [words for words in names if _against(words)]
         against |= bool(found)
         comments |= any(not COMMENTS.isdisjoint(words) for words in found)
-    return Element(tag, number, against, speaks_for and not against, hidden, comments, dropped)
+    form = 0 if central else parent.form or (number if tag == "form" else 0)
+    return Element(tag, number, against, speaks_for and not against, hidden, comments, dropped, form)
 
 
 def _ended(html: str, name: str) -> set[int]:
@@ -169,7 +184,7 @@ def blocks_of(html: str) -> list[Block]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 top = outside[-1]
-                out.append(Block(text, top.tag, top.number, min(linked, len(text)), top.against, top.speaks_for, top.hidden))
+                out.append(Block(text, top.tag, top.number, min(linked, len(text)), top.against, top.speaks_for, top.hidden, top.form))
             parts.clear()
         linked = 0
 
@@ -201,7 +216,8 @@ def blocks_of(html: str) -> list[Block]:
         if lt > at:
             push(html[at:lt])
         if html.startswith("<!--", lt):
-            close = html.find("-->", lt + 4)
+            # "<!-->" and "<!--->" are whole comments.
+            close = html.find("-->", lt + 2)
             at = end if close < 0 else close + 3
             continue
         tag = _TAG.match(html, lt)
@@ -277,7 +293,26 @@ def blocks_of(html: str) -> list[Block]:
         enter(_element(name, tag[3], numbers, stack[-1]))
     flush()
     # A block's parent is the element around it; of paragraphs and the like, the one around that.
-    return out
+    return _forms_marked(out)
+
+
+def _forms_marked(blocks: list[Block]) -> list[Block]:
+    """Blocks of a form count against being content, unless the form is wrapped around the page itself."""
+    forms = {b.form for b in blocks if b.form}
+    if not forms:
+        return blocks
+    whole = sum(len(b.text) for b in blocks if not b.hidden)
+    for form in forms:
+        inside = [b for b in blocks if b.form == form and not b.hidden]
+        plain = [b for b in inside if not b.against]
+        wraps = sum(len(b.text) for b in inside) >= WRAPPER_SHARE * whole and any(
+            len(b.text) - b.linked >= WRAPPER_PARAGRAPH and b.tag != "form" for b in plain
+        )
+        if not wraps:
+            for b in blocks:
+                if b.form == form:
+                    b.against, b.speaks_for = True, False
+    return blocks
 
 
 def costs(block: Block) -> tuple[int, int]:
@@ -388,11 +423,12 @@ def with_main_text(pages: DataFrame, name: str = "text", html: str = "html") ->
     """The pages with a column of their main text.
 
     Whole pages are read; white space inside a block is one space, blocks are joined by line feeds.  Null and empty html
-    give an empty text.  Other columns pass through, every row stays.
+    give an empty text.  Other columns pass through, every row stays.  Where the table already has a column of the
+    new name, the new one gets a number behind its name.
     """
 
     @F.arrow_udf("string")
     def extract(column: pa.Array) -> pa.Array:
         return pa.array([main_text(page.as_py()) for page in column], pa.string())
 
-    return pages.withColumn(name, extract(html))
+    return pages.withColumn(free_name(pages.columns, name), extract(html))

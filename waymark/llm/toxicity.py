@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import BROADCAST_BYTES, PASS_BYTES, batches, mix
+from waymark.llm.common import BROADCAST_BYTES, PASS_BYTES, batches, free_name, mix
 from waymark.session import materialize
 
 #: Letters (bytes) before the predicted one, at most.
@@ -289,10 +289,11 @@ def with_scores(docs: DataFrame, labels: DataFrame, name: str = "score") -> Data
 
     ``docs`` needs doc_id and text, ``labels`` doc_id and toxic (0 or 1).  Every row is scored
     from its whole text alone; null counts as empty, and an empty text gets the score of no
-    evidence.  Without labelled rows all scores are 0.  Other columns pass through.
+    evidence.  Without labelled rows all scores are 0.  Other columns pass through; where the table already has a
+    column of the new name, the new one gets a number behind its name.
     """
     model = train(docs, labels)
-    return docs.withColumn(name, evidence(model, docs, scored=True)("text"))
+    return docs.withColumn(free_name(docs.columns, name), evidence(model, docs, scored=True)("text"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
