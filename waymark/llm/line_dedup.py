@@ -9,8 +9,8 @@ itself.  Only DataFrame and SQL functions are used.
 2. Equal lines are joined by partial aggregation, so a line that many documents repeat is one row per task.
    The first ``n - ceil(n * num / den) + 1`` words of each distinct line, rarest first, are its prefix;
    similar lines share a prefix word.
-3. Lines meet at a prefix word.  First each is held against the earliest line that shares the commonest words of
-   its prefix (found by partial aggregation), which settles groups of many variants in a few comparisons each; what stays open is
+3. Lines meet at a prefix word.  First each is held against the earliest line that shares leading words of
+   its prefix's commonest class (found by partial aggregation), which settles groups of many variants in a few comparisons each; what stays open is
    joined with all earlier lines of each prefix word.  Length and positional filters, and the differing bits of two
    64-bit parities of the word sets, are part of the join, so only likely pairs leave it.
 4. Pairs that pass are verified on all words of both lines.
@@ -30,7 +30,8 @@ RARITY_BITS = 22
 _ROW_BITS = 12
 #: Lines of fewer distinct words are never compared; 1 leaves out lines without a word only.
 MIN_WORDS = 1
-#: Words at the end of a prefix at which a line is held against the earliest one first.
+#: Words of a prefix at which a line is held against the earliest one first: the first ones of its commonest class, which
+#: variants of one line share however many rare words their edits have brought in.
 LEADING = 5
 
 
@@ -102,12 +103,14 @@ def _described(docs: DataFrame, rarity: Column, num: int, den: int, min_words: i
             "n",
             "aggregate(hashes, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63 as int))) as parity",
             f"transform(slice(tokens, 1, n - {need} + 1), {short}) as prefix",
+            f"size(filter(tokens, t -> shiftright(t, 57) < shiftright(get(tokens, n - {need}), 57))) as lead",
         )
         .groupBy("t1", "t2")
         .agg(
             F.min("place").alias("place"), F.count("*").alias("copies"),
             F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"),
-        )
+            F.first("lead").alias("lead"),
+        )
         # Asked before, it would make every word be hashed twice.
         .where(F.col("n") >= max(min_words, 1))
     )
@@ -133,10 +136,11 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int =
         raise ValueError("the threshold is a fraction above 0")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     distinct = materialize(_described(docs, _rarity(docs), num, den, min_words), "distinct-lines")
-    prefix = distinct.select("place", "n", "parity", F.posexplode("prefix").alias("i", "token"), F.size("prefix").alias("p"))
+    leading = F.posexplode(F.expr(f"slice(prefix, lead + 1, {LEADING})")).alias("j", "token")
+    prefix = distinct.select("place", "n", "parity", "lead", leading).withColumn("i", F.col("lead") + F.col("j"))
 
-    # The earliest line at each of the last words of a prefix, which variants of one line share.
-    common = prefix.where(f"i >= p - {LEADING}").select("token", F.struct("place", "n", "parity", "i").alias("b"))
+    # The earliest line at each of the leading words of a prefix.
+    common = prefix.select("token", F.struct("place", "n", "parity", "i").alias("b"))
     first = common.groupBy("token").agg(F.min("b").alias("a"))
     likely = common.join(first, "token").where("a.place < b.place").where(_passes(num, den, "a", "b"))
     settled = materialize(_verified(docs, likely.selectExpr("a.place as a", "b.place as b"), num, den), "settled")
