@@ -27,11 +27,11 @@ from waymark.llm.common import batches, free_name
 #: Extra cost of leaving the pieces, above the dearest of them, as SentencePiece sets it.
 FALLBACK_PENALTY = 10.0
 #: Paths a worker remembers.  A full memory keeps its older half: common chunks come early.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Characters of a chunk that is remembered, so that the memory has a bound in bytes: longer ones hardly come again.
 REMEMBERED_CHARS = 40
 #: Characters composed at once.
-COMPOSED = 1 << 17
+COMPOSED = 1 << 15
 BOUNDARY = "▁"
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _CHUNKS = re.compile(f"{BOUNDARY}*[^{BOUNDARY}]*")
