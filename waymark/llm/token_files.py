@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.binary_files import read_files, write_records
 from waymark.llm.common import batches
-from waymark.session import materialize
+from waymark.session import scratch_path
 
 MAGIC = b"WTF2"
 HEAD, HEAD_SIZE = "<4sIIII", 20
@@ -46,9 +46,11 @@ RECORD_IDS = 1 << 16
 #: Ids of a file, about.
 FILE_IDS = 6 << 20
 #: Encoded words a worker remembers.  A full memory keeps its older half: common words come early.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: Characters of a word that is remembered, so that the memory has a bound in bytes: longer ones hardly come again.
 REMEMBERED_CHARS = 40
+#: Bytes of a row group of the stored ids.
+ROW_GROUP = 16 << 20
 #: Words that the tokenizer gets as one text.
 TOGETHER = 200
 
@@ -231,7 +233,10 @@ def write_token_files(
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     key = (tokenizer, end_id, by_word)
     width = encoder(*key).width
-    stored = materialize(docs.mapInArrow(_encode(key), "doc_id long, n long, ids binary"), "encoded")
+    schema, encoded = "doc_id long, n long, ids binary", scratch_path(docs.sparkSession, "encoded")
+    # Small row groups: a task's writer holds one of them in memory.
+    docs.mapInArrow(_encode(key), schema).write.option("parquet.block.size", str(ROW_GROUP)).parquet(encoded)
+    stored = docs.sparkSession.read.schema(schema).parquet(encoded)
     counts = stored.select("ids").mapInArrow(_count_ids(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # One row for each id of the vocabulary at most.
     found = counts.toArrow()
