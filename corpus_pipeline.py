@@ -48,7 +48,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", pieces),
 ]
 
-#: The first and the last stage have no SQL form; the tests hold them against brute force.
+#: The first and the last stage have no SQL form: the tests hold the first to held-out accuracy, the last to brute force.
 ORACLE_SQL = None
 
 
