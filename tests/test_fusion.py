@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from waymark.operators.fusion import (
     collect_shortlist,
     fuse_ranked_lists,
+    hot_entities,
     number_rows,
     union_ranked,
 )
@@ -138,3 +139,37 @@ def test_an_entity_of_many_short_lists_spreads_over_tasks(spark):
     assert spread > 1
     got = numbered.selectExpr("min(n)", "max(n)", "count(distinct n)", "count_if(n = list_idx + 1)").first()
     assert tuple(got) == (1, 20000, 20000, 20000)
+
+
+def hot_and_cold(spark):
+    """Entity 7 and null hold a quarter of the rows each, 400 others the rest."""
+    entity = "CASE id % 4 WHEN 0 THEN 7 WHEN 1 THEN NULL ELSE id % 400 + 100 END AS entity_id"
+    url = "concat(' U', id * 37 % 900) AS url"
+    return spark.range(8000).selectExpr(entity, "id % 5 AS list_idx", "CAST(id / 5 AS INT) AS pos", url)
+
+
+def test_hot_entities_are_found_with_null(spark):
+    lists = hot_and_cold(spark)
+    assert sorted(hot_entities(lists, rows=1000), key=str) == [7, None]
+    assert hot_entities(lists, rows=5000) == []
+    assert hot_entities(lists.limit(0), rows=0) == []
+    texts = lists.selectExpr("concat('e', entity_id) AS entity_id")
+    assert hot_entities(texts, rows=1000) == ["e7", None]
+
+
+def test_routing_changes_no_row(spark):
+    lists = hot_and_cold(spark)
+    want = sorted(fuse_ranked_lists(lists).collect(), key=str)
+    assert len(want) == 2 * 10 + 200 * 9  # a cold entity has nine URLs
+    for hot in ((), [7], [None], [7, None], [12345]):
+        assert sorted(fuse_ranked_lists(lists, hot=hot).collect(), key=str) == want
+    everything = sorted(fuse_ranked_lists(lists, limit=None).collect(), key=str)
+    assert sorted(fuse_ranked_lists(lists, limit=None, hot=[7]).collect(), key=str) == everything
+
+
+def test_cold_entities_take_one_shuffle(spark):
+    lists = hot_and_cold(spark)
+    assert plan_of(fuse_ranked_lists(lists)).count("Exchange") == 2
+    assert plan_of(fuse_ranked_lists(lists, hot=())).count("Exchange") == 1
+    routed = plan_of(fuse_ranked_lists(lists, hot=[7, None]))
+    assert routed.count("Exchange") == 3 and routed.count(", Partial") == 2

@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from waymark import fixed_values as V
 from waymark.functions.text import truncate_content
 from waymark.functions.urls import url_host
-from waymark.operators.fusion import collect_shortlist, fuse_ranked_lists, union_ranked
+from waymark.operators.fusion import (
+    collect_shortlist,
+    fuse_ranked_lists,
+    hot_entities,
+    union_ranked,
+)
 from waymark.operators.retrieval import retrieve
-from waymark.operators.selection import build_payload, contact_columns, select_best
+from waymark.operators.selection import build_payload, contacts_of, select_by_tiers
 from waymark.plans.catalog.registry import query
 from waymark.plans.catalog.scalars import (
     class_sql,
@@ -48,7 +53,9 @@ def rank_fusion_priority_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f", {fusion_sql('order_lists_v')} {_FUSED}", "order_lists_v")
 def rank_fusion_orders(spark: SparkSession, sf: str) -> DataFrame:
-    return fuse_ranked_lists(view(spark, sf, "order_lists_v")).select("entity_id", "rank", "url")
+    lists = view(spark, sf, "order_lists_v")
+    fused = fuse_ranked_lists(lists, hot=hot_entities(lists))
+    return fused.select("entity_id", "rank", "url")
 
 
 @query(
@@ -224,9 +231,8 @@ def best_pages(spark: SparkSession, sf: str) -> DataFrame:
     entities = pages.groupBy(F.col("host").alias("entity_id")).agg(F.min("title").alias("name"))
     fields = F.struct("name", F.col("entity_id").alias("district"))
     entities = entities.select("entity_id", fields.alias("entity"))
-    contacts = contact_columns(pages).select("page_id", "emails", "phones")
-    fused = fuse_ranked_lists(view(spark, sf, "candidates_v")).join(contacts, "page_id")
-    return select_best(fused.join(entities, "entity_id"), content=None)
+    fused = fuse_ranked_lists(view(spark, sf, "candidates_v")).join(entities, "entity_id")
+    return select_by_tiers(fused, contacts_of(pages, "page_id"), "page_id")
 
 
 @query(
