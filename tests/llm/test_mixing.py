@@ -2,7 +2,7 @@
 
 import pytest
 
-from waymark.llm.mixing import OTHER, Targets, draw, fitted_cells
+from waymark.llm.mixing import OTHER, Targets, draw, fitted_cells, marginals
 
 SCHEMA = "doc_id long, text string, source string, lang string, w double, topic string, row int"
 
@@ -62,3 +62,59 @@ def test_edge_rows(spark):
     assert draw(df.limit(0), all_of).count() == 0
     with pytest.raises(ValueError):
         Targets({}, {}, {}, keep=0)
+
+
+def raked(tokens, targets):
+    """Plain loops: shares filled up to what there is, then raking with a cap for each cell."""
+    wants = []
+    for place, dimension in enumerate(("source", "lang", "topic")):
+        has, shares = {}, getattr(targets, dimension)
+        for cell, t in tokens.items():
+            has[cell[place]] = has.get(cell[place], 0) + t
+        free = {c: shares[c] for c in has if shares.get(c, 0) > 0}
+        left = targets.keep * sum(t for c, t in has.items() if c != OTHER)
+        want = {c: targets.keep * t if c == OTHER else 0 for c, t in has.items()}
+        while free:
+            level = left / sum(free.values())
+            short = [c for c in free if has[c] < level * free[c]]
+            for c in short or free:
+                want[c] = has[c] if short else level * free[c]
+            if not short:
+                break
+            for c in short:
+                left -= has[c]
+                del free[c]
+        wants.append(want)
+    w = {cell: targets.keep * t for cell, t in tokens.items()}
+    for _ in range(targets.sweeps):
+        for place, want in enumerate(wants):
+            total = {}
+            for cell, x in w.items():
+                total[cell[place]] = total.get(cell[place], 0) + x
+            w = {c: x * want[c[place]] / total[c[place]] if total[c[place]] else 0 for c, x in w.items()}
+            if place == 2:
+                w = {c: min(x, tokens[c]) for c, x in w.items()}
+    return wants, w
+
+
+def test_a_target_beyond_what_exists_equals_plain_loops_and_is_told(docs):
+    greedy = Targets({"a": 3, "b": 1, "c": 1}, {"en": 0.9, "de": 0.1}, {"prose": 0.3, "list": 0.7}, keep=0.6, sweeps=30)
+    cells = fitted_cells(docs, greedy).collect()
+    wants, w = raked({(r["source"], r["lang"], r["topic"]): r["t"] for r in cells}, greedy)
+    for r in cells:
+        assert r["w"] == pytest.approx(w[r["source"], r["lang"], r["topic"]], rel=1e-4, abs=1e-3)
+    told = {(r.dimension, r.category): r for r in marginals(docs, greedy).collect()}
+    for d, want in zip(("source", "lang", "topic"), wants, strict=True):
+        for c, tokens in want.items():
+            assert told[d, c].wanted == pytest.approx(tokens)
+    row = told["topic", "list"]
+    assert row.asked > row.has == row.wanted >= row.fitted and row.missed < -0.01
+    with pytest.warns(UserWarning, match="topic 'list' -"):
+        draw(docs, greedy)
+
+
+def test_sweeps_end_once_the_targets_hold(docs):
+    few, many = (fitted_cells(docs, Targets(TARGETS.source, TARGETS.lang, TARGETS.topic, 0.3, n)) for n in (40, 400))
+    assert sorted(few.collect()) == sorted(many.collect())
+    off = marginals(docs, TARGETS).where("abs(deviation) > 0.001").count()
+    assert off == 0
