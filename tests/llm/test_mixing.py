@@ -98,7 +98,7 @@ def raked(tokens, targets):
 
 
 def test_a_target_beyond_what_exists_equals_plain_loops_and_is_told(docs):
-    greedy = Targets({"a": 3, "b": 1, "c": 1}, {"en": 0.9, "de": 0.1}, {"prose": 0.3, "list": 0.7}, keep=0.6, sweeps=30)
+    greedy = Targets({"a": 3, "b": 1, "c": 1}, {"en": 0.9, "de": 0.1}, {"prose": 0.3, "list": 0.7}, keep=0.6, sweeps=30, tolerance=1e-9)
     cells = fitted_cells(docs, greedy).collect()
     wants, w = raked({(r["source"], r["lang"], r["topic"]): r["t"] for r in cells}, greedy)
     for r in cells:

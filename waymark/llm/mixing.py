@@ -46,7 +46,7 @@ class Targets:
     topic: dict[str, float]
     keep: float = 0.5
     sweeps: int = 40
-    tolerance: float = 1e-6
+    tolerance: float = 5e-4
     seed: str = "mix"
     topic_sql: str = field(default=TOPIC_SQL)
 
