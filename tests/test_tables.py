@@ -213,3 +213,21 @@ def test_merge_with_headers_that_differ_in_case(spark):
     merged = load_for_run(wide, prior, mode="merge", key="id")
     assert merged.columns == wide.columns
     assert sorted(tuple(r)[:2] for r in merged.collect()) == [(1, "x"), (2, "b")]
+
+
+def test_the_session_tells_no_names_apart_while_files_are_used(spark, tmp_path, monkeypatch):
+    from pyspark.sql.conf import RuntimeConfig
+
+    seen, plain = [], RuntimeConfig.set
+
+    def watched(self, key, value):
+        plain(self, key, value)
+        seen.append(spark.conf.get("spark.sql.caseSensitive"))
+
+    monkeypatch.setattr(RuntimeConfig, "set", watched)
+    (tmp_path / "in.csv").write_text(CSV)
+    table = read_entities(spark, str(tmp_path / "in.csv"))
+    write_results(table, str(tmp_path / "out"))
+    assert read_results(spark, str(tmp_path / "out")).columns == table.columns
+    assert set(seen) == {"false"} and spark.conf.get("spark.sql.caseSensitive") == "false"
+    assert read_results(spark, str(tmp_path / "out")).where("city IS NULL").count() == 2

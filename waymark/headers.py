@@ -1,14 +1,11 @@
 """Tables whose headers differ only in case.
 
 Spark resolves names without case by default, so such columns are addressed by
-position inside operators, and read or written with case-sensitive names.
+position inside operators, and read or written in a session of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 
 _FLAG = "spark.sql.caseSensitive"
@@ -20,12 +17,14 @@ def by_position(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names), dict(zip(df.columns, names, strict=True))
 
 
-@contextmanager
-def case_sensitive(spark: SparkSession) -> Iterator[None]:
-    """Case-sensitive names while a file is opened or written."""
-    before = spark.conf.get(_FLAG)
-    spark.conf.set(_FLAG, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_FLAG, before)
+def case_sensitive_session(spark: SparkSession) -> SparkSession:
+    """A session of the same context and settings that tells names apart by case.
+
+    The caller's own session keeps its setting, so queries that run beside are not touched.
+    """
+    other = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if name != _FLAG and other.conf.isModifiable(name):
+            other.conf.set(name, value)
+    other.conf.set(_FLAG, "true")
+    return other
