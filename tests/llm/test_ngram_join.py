@@ -3,8 +3,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
+from waymark.llm.common import shingle_set
 from waymark.llm.ngram_join import Rule, ngram_components, without_near_copies
 
 SCHEMA = "doc_id long, text string, n_shingles string, tile string"
@@ -112,3 +114,45 @@ def test_links_through_a_repeated_id(spark):
         df = spark.createDataFrame(rows + extra, "doc_id long, text string")
         got = {r["component_id"] for r in ngram_components(df).collect()}
         assert got == {1 if extra else 3}
+
+
+def test_empty_slices_make_no_common_tile():
+    """Short sets without a shingle in common share no tile, however many they are."""
+    rng = random.Random(11)
+    for size, num, den in ((5, 4, 5), (4, 85, 100)):
+        rule, members = Rule(size, num, den), {}
+        for _ in range(4000):
+            words = [f"w{rng.randrange(10**9)}" for _ in range(rng.choice([7, 12, 20, 30, 60]) + size - 1)]
+            for tile in set(rule.tiles(shingle_set(" ".join(words), size)).tolist()):
+                members[tile] = members.get(tile, 0) + 1
+        assert max(members.values()) <= 10
+
+
+@pytest.mark.parametrize("num,den", [(4, 5), (85, 100), (1, 2)])
+def test_linked_short_sets_share_a_tile(num, den):
+    """Sets of few hashes, also such that leave most slices empty: the pair at the threshold still meets."""
+    rng, rule = np.random.default_rng(13), Rule(4, num, den)
+    linked = 0
+    for _ in range(4000):
+        # Bunched hashes fill few slices.
+        width = int(rng.choice([56, 60, 62, 63]))
+        draw = np.unique(rng.integers(0, 2**width, 40, dtype=np.uint64)).tolist()
+        rng.shuffle(draw)
+        common = int(rng.integers(1, 30))
+        extra = common * (den - num) // num
+        left = int(rng.integers(0, extra + 1))
+        a, b = draw[:common] + draw[common : common + left], draw[:common] + draw[common + left : common + extra]
+        x, y = (np.array(sorted(s), dtype=np.uint64) for s in (a, b))
+        if len(x) + len(y) == 2 * common or len(set(a) | set(b)) * num > common * den:
+            continue
+        linked += 1
+        assert np.intersect1d(rule.tiles(x), rule.tiles(y)).size, (len(x), len(y), common)
+    assert linked > 1000
+
+
+def test_hot_tiles(spark, corpus, monkeypatch):
+    """Tiles that are summed before their rows meet give the same classes."""
+    monkeypatch.setattr("waymark.llm.ngram_join.HOT_TILE", 3)
+    df = spark.createDataFrame([(d, t, "x", "y") for d, t in corpus], SCHEMA)
+    got = {r[0]: (r[1], r[2]) for r in ngram_components(df, 4, 85, 100).collect()}
+    assert got == brute(corpus, 4, 85, 100)

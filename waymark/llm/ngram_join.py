@@ -4,8 +4,9 @@ A document is the set of its distinct word shingles.  Two documents link when
 ``den * |A & B| >= num * |A | B|``.  Sets are compared inside *tiles* only: a tile holds the
 sets of one size band that agree on a whole slice of the hash range.  A linked pair of sizes
 a and b differs in at most ``(a + b) * (den - num) / (den + num)`` shingles; a band cuts the hash range
-into some slices more than that, so every linked pair shares at least one tile, and no other bound or
-cap is used.  Inside a tile bit counts of hashed bitmaps bound the overlap from above; what
+into some slices more than that, so every linked pair agrees on some.  All of these may be empty only if both sets have
+so many empty slices; such sets are in the tiles of their smallest hashes as well, one of which a linked pair
+has in common.  So every linked pair shares at least one tile, and no other bound or cap is used.  Inside a tile bit counts of hashed bitmaps bound the overlap from above; what
 passes is decided by intersecting the sorted hash arrays.
 
 Equal sets are joined first and count as one.  In every tile each set is
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import batches, components, mix, semi_join, shingle_set
+from waymark.operators.fusion import hot_entities
 from waymark.session import materialize
 
 #: Width of a size band: sets up to 1.35 times as large share its slices.
@@ -32,6 +34,8 @@ BAND_RATIO = 1.35
 BLOCK = 2048
 #: Followers of one leader that one task verifies.
 FOLLOWERS = 128
+#: Tiles of more rows are summed before their rows meet.
+HOT_TILE = 1_000_000
 
 
 class Rule:
@@ -76,8 +80,9 @@ class Rule:
         """Keys of the tiles a set belongs to.
 
         Bands in which any difference breaks the link (equal sets are joined
-        before) have none.  Empty slices make no tile, unless the set has so many that all the slices on
-        which it agrees with another could be empty; the other set then has as many.
+        before) have none.  Empty slices make no tile.  Where a set has so many that all the slices on
+        which it agrees with another could be empty, so has the other: each of the two lacks at most ``n - ceil(n * num / den)``
+        of its own shingles in the overlap, so the smallest hash of the overlap is among that many and one more of both.
         """
         n = len(hashes)
         found = []
@@ -92,7 +97,10 @@ class Rule:
             seed = mix(np.arange(k, dtype=np.uint64) + np.uint64(g << 40))
             filled = start[1:] > start[:-1]
             keys = mix(key + seed)
-            found.append(keys[filled] if k - int(filled.sum()) < agree else keys)
+            found.append(keys[filled])
+            if k - int(filled.sum()) >= agree:
+                smallest = hashes[: n + 1 + (-n * self.num) // self.den]
+                found.append(mix(smallest ^ np.uint64(g << 40 | 1 << 32)))
         return np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
 
 
@@ -300,14 +308,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
         classes.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi"
     )
 
-    # Tiles of two sets or more, each with its smallest id.
-    by_tile = F.expr("count(*) over (partition by tile)"), F.expr("min(doc_id) over (partition by tile)")
-    tiles = materialize(
-        reps.select("doc_id", "n_shingles", F.explode("tiles").alias("tile"))
-        .select("doc_id", "n_shingles", "tile", by_tile[0].alias("members"), by_tile[1].alias("lead"))
-        .where("members > 1"),
-        "tiles",
-    )
+    tiles = materialize(_shared_tiles(reps), "tiles")
     followers = tiles.where("doc_id <> lead").groupBy("doc_id").agg(F.min("lead").alias("a"))
     first = materialize(followers.select("a", F.col("doc_id").alias("b")), "first-edges")
 
@@ -351,6 +352,28 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     )
 
 
+def _shared_tiles(reps: DataFrame) -> DataFrame:
+    """Tiles of two sets or more: doc_id, n_shingles, tile, members, lead (the smallest doc_id).
+
+    A tile with more than ``HOT_TILE`` rows never comes together in one task: it is summed where its rows
+    lie.  Only such with less than 0.02 % of all rows may be missed.
+    """
+    member = reps.select("doc_id", "n_shingles", F.explode("tiles").alias("tile"))
+    by_tile = F.expr("count(*) over (partition by tile)"), F.expr("min(doc_id) over (partition by tile)")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        rows = rows.select("doc_id", "n_shingles", "tile", by_tile[0].alias("members"), by_tile[1].alias("lead"))
+        return rows.where("members > 1")
+
+    hot = hot_entities(member, "tile", HOT_TILE)
+    if not hot:
+        return counted(member)
+    large = F.col("tile").isin(hot)
+    # One row of each, of 1,000 tiles at most.
+    sums = member.where(large).groupBy("tile").agg(F.count("*").alias("members"), F.min("doc_id").alias("lead"))
+    return counted(member.where(~large)).unionByName(member.where(large).join(F.broadcast(sums), "tile"))
+
+
 def _between_components(rule: Rule, labelled: DataFrame, mixed: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between members of a tile that are in different components so far."""
     rest = labelled.join(mixed, "tile", "left_semi")
