@@ -18,6 +18,8 @@ HOT_ROWS = 1_000_000
 #: Entities a task's sketch of frequent ones tracks; any with more than about 0.02 % of all rows is found.
 TRACKED = 16_384
 _MOST_HOT = 1000
+#: Groups of tasks whose sketches are merged first, so that none merges those of all tasks.
+_SKETCH_GROUPS = 256
 
 # Above this limit Spark no longer cuts a top-k window before its shuffle.
 _PUSHED_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
@@ -63,12 +65,20 @@ def number_rows(
 def hot_entities(df: DataFrame, entity: str = "entity_id", rows: int = HOT_ROWS) -> list:
     """Entities that hold more than ``rows`` rows, null included, by one pass over their column; at most 1,000.
 
-    A sketch of frequent items is built in each task and merged, so what travels does not grow with the
-    table.  It may miss an entity with less than about 0.02 % of all rows, never one with more; there are fewer than
+    A sketch of frequent items is built in each task; they are merged in groups, then the groups' are, so no task
+    reads a sketch of every other.  It may miss an entity with less than about 0.02 % of all rows, never one with more; there are fewer than
     5,000 of those, and the most frequent are taken.  ``entity`` must be of a type a literal can have.
     """
-    top = F.expr(f"approx_top_k(`{entity}`, {_MOST_HOT}, {TRACKED})").alias("top")
-    found = df.agg(top, F.count_if(F.col(entity).isNull()).alias("nulls")).first()
+    grouped = df.select(entity, (F.spark_partition_id() % _SKETCH_GROUPS).alias("_group"))
+    sketch = F.expr(f"approx_top_k_accumulate(`{entity}`, {TRACKED})").alias("_sketch")
+    parts = grouped.groupBy("_group").agg(sketch, F.count_if(F.col(entity).isNull()).alias("nulls"))
+    # grouped by a constant, as there is no sketch of no rows
+    merged = parts.groupBy(F.lit(0).alias("_all")).agg(
+        F.expr(f"approx_top_k_combine(_sketch, {TRACKED})").alias("_sketch"), F.sum("nulls").alias("nulls")
+    )
+    found = merged.select(F.expr(f"approx_top_k_estimate(_sketch, {_MOST_HOT})").alias("top"), "nulls").first()
+    if found is None:
+        return []
     values = [i["item"] for i in found["top"] or [] if i["count"] > rows and i["item"] is not None]
     return [*values, None] if found["nulls"] > rows else values
 
