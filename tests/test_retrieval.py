@@ -253,3 +253,53 @@ def test_hot_class_of_many_specs_meets_only_sets_of_terms(spark):
     queries = [(i, "Central School", [], [t, "tx"]) for i, t in enumerate(towns)]
     queries += [(90, "Central School", [], towns[:7]), (91, "Central School", [], [])]
     assert found(spark, queries, docs, 3) == brute_force(queries, docs, 3)
+
+
+def on_site(address, hosts):
+    host = re.match(r"https?://([^/?#]*)", (address or "").strip().lower())
+    host = re.sub(r":[0-9]*$", "", host[1].rpartition("@")[2]) if host else ""
+    return any(host == h or host.endswith("." + h) for h in hosts)
+
+
+def test_sites_restrict_before_the_ranking(spark, tmp_path):
+    """Only pages on the sites, or below them, count; the list is filled from those. The stored index agrees."""
+    from waymark.sources.page_index import build_index, retrieve_indexed
+
+    hosts = ["a.org", "www.a.org", "ba.org", "x.y.b.com:8080", "b.com", "user@b.com", "b.com.net", "c.org"]
+    queries, docs = random_case(21)
+    address = {d[0]: None if d[0] % 11 == 0 else f"HTTPS://{hosts[d[0] % 8]}/{d[0]}?at=a.org" for d in docs}
+    rows = [(*d, address[d[0]]) for d in docs]
+    corpus = spark.createDataFrame(rows, "doc_id int, title string, text string, url string")
+    asked, sites = spark.createDataFrame(queries, SCHEMA), [" A.org ", "", "https://b.com/some?page"]
+    want = brute_force(queries, [d for d in docs if on_site(address[d[0]], ["a.org", "b.com"])], 3)
+    assert want != brute_force(queries, docs, 3)
+    index = build_index(corpus, str(tmp_path / "index"), content="text")
+    for found in (
+        retrieve(asked, corpus, 3, title="title", fields=("text",), sites=sites),
+        retrieve_indexed(asked, index, 3, sites=sites),
+    ):
+        assert {(r.query_id, r.doc_id, r.score, r["rank"]) for r in found.collect()} == want
+    none = retrieve(asked, corpus, 3, title="title", fields=("text",), sites=["d.org"])
+    assert none.count() == 0
+    with pytest.raises(ValueError):
+        retrieve(asked, corpus, sites=["", " "])
+
+
+def test_sources_of_sites_agree(spark, tmp_path):
+    from waymark.plans.resolve import corpus_source, indexed_source, resolve
+    from waymark.sources.page_index import build_index
+
+    pages = [(i, "Oak High staff directory", f"https://{'oak' if i % 2 else 'elm'}.org/staff/{i}", "oak high a@b.org") for i in range(8)]
+    corpus = spark.createDataFrame(pages, "doc_id int, title string, url string, content string")
+    entities = spark.createDataFrame([(1, "Oak High", "Portland", "TX")], "entity_id int, name string, city string, state string")
+    index = build_index(corpus, str(tmp_path / "index"))
+    urls = [
+        resolve(entities, source).first().url
+        for source in (
+            corpus_source(corpus),
+            corpus_source(corpus, sites=["oak.org"]),
+            indexed_source(index, sites=["oak.org"]),
+            corpus_source(corpus, sites=["none.org"]),
+        )
+    ]
+    assert urls == ["https://elm.org/staff/0", "https://oak.org/staff/1", "https://oak.org/staff/1", "NOT_FOUND"]

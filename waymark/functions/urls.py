@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,6 +86,26 @@ def query_key(c: Column | str) -> Column:
     return F.sha1(F.encode(_col(c), "UTF-8"))
 
 
+def site_host(site: str) -> str:
+    """Host name of a site given as one or as an address, '' if it has none."""
+    host = re.sub(r"^[a-z][a-z0-9+.-]*://", "", site.strip().lower())
+    return re.sub(r":[0-9]*$", "", re.split(r"[/?#]", host)[0].rpartition("@")[2]).strip(".")
+
+
+def on_sites(c: Column | str, sites: Sequence[str]) -> Column:
+    """Whether a URL's host is that of a site or lies below it; false without a host.
+
+    Sites are host names or addresses, of which only the host counts.  ``example.org`` holds
+    ``www.example.org``, not ``anexample.org``.  Blank sites are skipped; without any other it is an error.
+    """
+    hosts = sorted({site_host(s) for s in sites} - {""})
+    if not hosts:
+        raise ValueError("none of the sites has a host name")
+    parts = F.split(F.coalesce(url_host(c), F.lit("")), r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return F.arrays_overlap(above, F.array(*[F.lit(h) for h in hosts]))
+
+
 def url_host(c: Column | str) -> Column:
     """Lowercase host without user info and port, empty if there is none."""
     authority = F.regexp_extract(F.lower(clean_text(c)), r"^https?://([^/?#]*)", 1)

@@ -36,6 +36,7 @@ from pyspark.sql.window import Window
 
 from waymark import fixed_values as V
 from waymark.functions.text import phrase_form
+from waymark.functions.urls import on_sites
 from waymark.operators import phrase_filter
 from waymark.session import materialize
 
@@ -194,10 +195,17 @@ def retrieve(
     title: str | None = None,
     fields: Sequence[str] = ("text",),
     broadcast_bytes: int = BROADCAST_BYTES,
+    sites: Sequence[str] | None = None,
+    url: str = "url",
 ) -> DataFrame:
-    """Top pages per query: ``queries`` columns plus ``doc_id``, ``score``, ``rank`` from 1."""
+    """Top pages per query: ``queries`` columns plus ``doc_id``, ``score``, ``rank`` from 1.
+
+    With ``sites`` only pages whose ``url`` is on one of them count (see ``functions.urls.on_sites``), before any is ranked.
+    """
     if top_n < 1:
         raise ValueError("top_n must be at least 1")
+    if sites:
+        corpus = corpus.where(on_sites(url, sites))
     content = query_content(queries)
     specs = content.select("spec_id", "class_id", "must", "any", "should").distinct()
     ranked = retrieve_specs(specs, corpus, top_n, doc_id, title, fields, broadcast_bytes)

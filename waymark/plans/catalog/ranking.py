@@ -166,7 +166,9 @@ def asked_phrases(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_PHRASES_SQL = f""", docs AS (SELECT doc_id, {norm_sql('text')} AS body FROM documents),
+def phrases_sql(docs: str) -> str:
+    """Oracle form of phrase retrieval over rows (doc_id, body)."""
+    return f""", docs AS ({docs}),
  asked AS (SELECT query_id, {norm_sql('must_phrase')} AS must, {norm_sql('term_a')} AS a,
   {norm_sql('term_b')} AS b FROM phrase_queries_v),
  matched AS (SELECT query_id, doc_id,
@@ -179,6 +181,11 @@ _PHRASES_SQL = f""", docs AS (SELECT doc_id, {norm_sql('text')} AS body FROM doc
  FROM ranked WHERE rank <= 10"""
 
 
+_PHRASES_SQL = phrases_sql(f"SELECT doc_id, {norm_sql('text')} AS body FROM documents")
+#: Given as a host and as an address of one.
+_SITES = ("src1.example.org", "https://SRC2.example.org/en/")
+
+
 @query(_PHRASES_SQL, "phrase_queries_v")
 def phrase_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     found = retrieve(asked_phrases(spark, sf), table(spark, sf, "documents"))
@@ -193,6 +200,21 @@ def indexed_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     return retrieve_indexed(asked_phrases(spark, sf), index).select("query_id", "doc_id", "score", "rank")
 
 
+@query(
+    phrases_sql(
+        f"""SELECT doc_id, {norm_sql('content')} AS body FROM e1_corpus_v
+  WHERE regexp_matches(url, '^https://([^/]+[.])?src[12][.]example[.]org/')"""
+    ),
+    "phrase_queries_v",
+    "e1_corpus_v",
+)
+def site_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of two sites only; the cut to the best ones comes after."""
+    corpus = view(spark, sf, "e1_corpus_v")
+    found = retrieve(asked_phrases(spark, sf), corpus, fields=("content",), sites=_SITES)
+    return found.select("query_id", "doc_id", "score", "rank")
+
+
 def best_sql(rows: str, name: str, district: str) -> str:
     """Oracle form of the selection rules over rows with ``rk``, title, url, emails, phones."""
     specific = f"{share_sql(name, 'title', 'url')} >= {V.SPECIFIC_SHARE}"

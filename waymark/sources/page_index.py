@@ -15,6 +15,7 @@ spread over as many tasks and files as they fill.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from waymark import fixed_values as V
 from waymark.functions.pages import DEFAULT_RULES, PageRules
 from waymark.functions.text import truncate_content
+from waymark.functions.urls import on_sites
 from waymark.operators.retrieval import (
     FIELD_BREAK,
     distinct_hits,
@@ -142,8 +144,8 @@ def pages_of(index: PageIndex, ids: DataFrame) -> DataFrame:
     return pages.join(ids.select("doc").distinct(), "doc", "left_semi")
 
 
-def indexed_hits(specs: DataFrame, index: PageIndex) -> DataFrame:
-    """The same rows as ``phrase_hits``, from the index: no page is read.
+def indexed_hits(specs: DataFrame, index: PageIndex, sites: Sequence[str] | None = None) -> DataFrame:
+    """The same rows as ``phrase_hits``, from the index: no page is read, with ``sites`` only the URLs stored beside it.
 
     A phrase is looked up by its rarest word; its other words are then looked up by (word, page) where that one
     occurs, and must stand at their places.  So a phrase costs the postings of its rarest word, however common the others are.
@@ -184,14 +186,21 @@ def indexed_hits(specs: DataFrame, index: PageIndex) -> DataFrame:
     rest = rest.join(postings.select("term", "doc", "at"), ["term", "doc"]).where(F.array_contains("at", F.col("place")))
     whole = rest.groupBy(*flags, "in_title", "n_words", "start").agg(F.count("*").alias("found"))
     columns = [*flags, "in_title"]
-    return distinct_hits(starts.where("n_words = 1").select(columns).unionByName(whole.where("found = n_words - 1").select(columns)))
+    hits = distinct_hits(starts.where("n_words = 1").select(columns).unionByName(whole.where("found = n_words - 1").select(columns)))
+    return hits.join(index.pages.where(on_sites("url", sites)).select("doc"), "doc", "left_semi") if sites else hits
 
 
-def retrieve_indexed(queries: DataFrame, index: PageIndex, top_n: int = V.MAX_CANDIDATES, doc_id: str = "doc_id") -> DataFrame:
+def retrieve_indexed(
+    queries: DataFrame,
+    index: PageIndex,
+    top_n: int = V.MAX_CANDIDATES,
+    doc_id: str = "doc_id",
+    sites: Sequence[str] | None = None,
+) -> DataFrame:
     """``operators.retrieval.retrieve`` over an index: ``queries`` columns plus the page id, ``score``, ``rank``."""
     if top_n < 1:
         raise ValueError("top_n must be at least 1")
     content = query_content(queries)
     specs = materialize(content.select("spec_id", "class_id", "must", "any", "should").distinct(), "query-specs")
-    ranked = rank_hits(specs, indexed_hits(specs, index), top_n, doc_id)
+    ranked = rank_hits(specs, indexed_hits(specs, index, sites), top_n, doc_id)
     return content.join(ranked, "spec_id").select(*queries.columns, doc_id, "score", "rank")
