@@ -1,6 +1,7 @@
 """Toxicity models: held-out accuracy on planted words, edge rows."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -104,3 +105,83 @@ def test_all_labels_outside_fold_2_are_counted_but_those_of_the_curve(spark):
     assert sum(known[i] for i in allowed) == len(allowed) - len(allowed) // 4
     assert not any(known[i] for i in folds if folds[i] == 2)
     assert sum(known[i] for i in allowed if folds[i] == 3) > 50
+
+
+def plain_words(text):
+    """Words of a text, each with a space at both ends."""
+    letters = "".join(c.lower() if c.isascii() and c.isalnum() else " " for c in text)
+    return [f" {w} " for w in letters.split()]
+
+
+def plain_runs(text):
+    """Each letter of a word but the first space, with up to five before it."""
+    return [w[max(0, i - 5) : i + 1] for w in plain_words(text) for i in range(1, len(w))]
+
+
+def plain_log_probability(run, own, classes):
+    """Kneser-Ney by its definition: ``own`` and ``classes`` are counters of runs."""
+
+    def discount(n):
+        n1, n2, n3, n4 = (sum(1 for c in own.values() if c == k) for k in (1, 2, 3, 4))
+        if not (n1 and n2 and n3):
+            return 0.75 if n else 0.0
+        y = n1 / (n1 + 2 * n2)
+        cut = {1: 1 - 2 * y * n2 / n1, 2: 2 - 3 * y * n3 / n2, 3: 3 - 4 * y * n4 / n3}
+        return min(max(cut[min(n, 3)], 0.1), min(n, 3)) if n else 0.0
+
+    def types(counter, end, of):
+        return sum(1 for r in counter if len(r) >= 2 and of(r) == end)
+
+    def brief(r):
+        return r[-3:]
+
+    def two(r):
+        return r[-3:-1]
+
+    share = (sum(types(c, brief(run), brief) for c in classes) + 0.5) / (sum(types(c, two(run), two) for c in classes) + 32)
+    after = types(own, two(run), two)
+    lower = share if not after else 0.5 * max(types(own, brief(run), brief) - discount(1), 0) / after + 0.5 * share
+    followers = {r: n for r, n in own.items() if r[:-1] == run[:-1]}
+    total = sum(followers.values())
+    if not total:
+        return np.log(lower)
+    n = followers.get(run, 0)
+    spread = sum(discount(m) for m in followers.values()) / total
+    return np.log(max(n - discount(n), 0) / total + spread * lower)
+
+
+def small_model(seed, scale):
+    rng = random.Random(seed)
+    parts = ["an", "er", "th", "in", "ab", "a", "gru"]
+    texts = [[" ".join("".join(rng.choices(parts[: 5 + 2 * k], k=rng.randrange(1, 4))) for _ in range(scale)) for _ in range(6)] for k in (0, 1)]
+    counts, plain = [], []
+    for of_class in texts:
+        runs = np.concatenate([r for t in of_class for r, _ in letter_runs(t)])
+        counts.append(np.unique(runs, return_counts=True))
+        plain.append(Counter(r for t in of_class for r in plain_runs(t)))
+    return Model(counts), plain, rng
+
+
+@pytest.mark.parametrize("seed,scale", [(1, 2), (2, 12), (3, 60)])
+def test_equals_plain_kneser_ney(seed, scale):
+    """Every letter of known and unknown words has the ratio that the definition gives."""
+    model, plain, rng = small_model(seed, scale)
+    text = " ".join("".join(rng.choices("aberthgnizu", k=rng.randrange(1, 9))) for _ in range(25)) + " ther grugru an, Aban"
+    (runs, _), = letter_runs(text)
+    want = [plain_log_probability(r, plain[1], plain) - plain_log_probability(r, plain[0], plain) for r in plain_runs(text)]
+    assert np.allclose(model.ratios(runs), want, atol=2e-4)
+
+
+def test_evidence_equals_plain_sums_in_pieces_too(monkeypatch):
+    """Mean by word and best pair of neighbours, also of those that stand in two pieces of a long text."""
+    model, plain, rng = small_model(4, 12)
+    words = ["".join(rng.choices(["an", "er", "gru", "th"], k=rng.randrange(1, 4))) for _ in range(40)]
+    for text in (" ".join(words), "grugru", "an grugru"):
+        of_word = [
+            sum(plain_log_probability(r, plain[1], plain) - plain_log_probability(r, plain[0], plain) for r in plain_runs(w))
+            for w in text.split()
+        ]
+        pairs = [(x + y) / 2 for x, y in zip(of_word, of_word[1:])] or [of_word[0] / 2]
+        for size in (1, 7, 30, 1 << 20):
+            monkeypatch.setattr("waymark.llm.toxicity.PASS_BYTES", size)
+            assert np.allclose(model.evidence(text), [sum(of_word) / len(of_word), max(pairs)], atol=2e-3)

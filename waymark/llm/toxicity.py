@@ -141,15 +141,23 @@ class Model:
         return logs[1] - logs[0]
 
     def evidence(self, text: str | None) -> tuple[float, float]:
-        """Mean ratio of a word of the text, and of its most toxic window of words."""
-        whole, words, most = 0.0, 0, None
+        """Mean ratio of a word of the text, and of its most toxic window of words.
+
+        Windows reach across the pieces of a long text; a text of fewer words is one window.
+        """
+        whole, words, most, last = 0.0, 0, None, np.empty(0)
         for runs, starts in letter_runs(text):
             by_word = np.add.reduceat(self.ratios(runs).astype(np.float64), starts)
-            sums = np.concatenate([[0.0], np.cumsum(by_word)])
-            width = min(WINDOW, len(starts))
-            peak = float((sums[width:] - sums[:-width]).max()) / WINDOW
-            whole, words, most = whole + float(sums[-1]), words + len(starts), peak if most is None else max(most, peak)
-        return (whole / words, most) if words else (0.0, 0.0)
+            whole, words = whole + float(by_word.sum()), words + len(starts)
+            near = np.concatenate([last, by_word])
+            if len(near) >= WINDOW:
+                sums = np.concatenate([[0.0], np.cumsum(near)])
+                peak = float((sums[WINDOW:] - sums[:-WINDOW]).max()) / WINDOW
+                most = peak if most is None else max(most, peak)
+            last = near[max(0, len(near) - WINDOW + 1) :]
+        if not words:
+            return 0.0, 0.0
+        return whole / words, whole / WINDOW if most is None else most
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         """Scores of rows of evidence; 0 where nothing was labelled."""
