@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from waymark.operators import fusion
 from waymark.operators.fusion import (
     collect_shortlist,
     fuse_ranked_lists,
@@ -173,3 +174,15 @@ def test_cold_entities_take_one_shuffle(spark):
     assert plan_of(fuse_ranked_lists(lists, hot=())).count("Exchange") == 1
     routed = plan_of(fuse_ranked_lists(lists, hot=[7, None]))
     assert routed.count("Exchange") == 3 and routed.count(", Partial") == 2
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    """Small entities are dealt to as many tasks as the table needs, whatever the session's number; the rows are the same."""
+    monkeypatch.setattr(fusion, "TASK_ROWS", 100, raising=False)
+    columns = ["id % 97 AS entity_id", "0 AS list_idx", "id AS pos", "concat('u', id % 500) AS url"]
+    lists = spark.range(2000).selectExpr(*columns)
+    hot = hot_entities(lists, rows=1000)
+    routed = fuse_ranked_lists(lists, hot=hot)
+    assert hot == [] and hot.rows == 2000
+    assert routed.rdd.getNumPartitions() == 20
+    assert sorted(routed.collect()) == sorted(fuse_ranked_lists(lists).collect())
