@@ -303,3 +303,35 @@ def test_sources_of_sites_agree(spark, tmp_path):
         )
     ]
     assert urls == ["https://elm.org/staff/0", "https://oak.org/staff/1", "https://oak.org/staff/1", "NOT_FOUND"]
+
+
+def test_postings_are_made_where_a_page_is_read(spark):
+    """No word is shuffled but those of pages that share an id, which are one page to the index."""
+    from waymark.sources import page_index
+
+    rows = [(1, "Oak oak", "elm, oak; Elm"), (2, None, "|| ..."), (3, "", None), (4, "fir", "fir-\u00e4sh 7")]
+    again = [*rows, (4, "fir fir", "yew"), (4, "fir", "fir")]
+
+    def postings(rows):
+        corpus = spark.createDataFrame(rows, "doc_id int, title string, text string")
+        return page_index._postings(corpus, "doc_id", "title", ["text"])
+
+    def on_paper(rows):
+        found = {}
+        for doc, title, text in rows:
+            head, body = (re.split(r"[^\w]+", (s or "").lower()) for s in (title, text))
+            for i, w in enumerate([*head, "|", *body]):
+                if w not in ("", "|"):
+                    found.setdefault((w, doc), []).append(i)
+        return {k: sorted(at) for k, at in found.items()}
+
+    def told(df):
+        rows = df.select("term", "doc", "at").collect()
+        assert len({(r.term, r.doc) for r in rows}) == len(rows)
+        return {(r.term, r.doc): r["at"] for r in rows}
+
+    alone = postings(rows)
+    assert "Exchange" not in alone._jdf.queryExecution().toString()
+    assert told(alone) == on_paper(rows)
+    assert {(r.term, r.title_words) for r in alone.where("doc = 1").collect()} == {("oak", 2), ("elm", 2)}
+    assert told(postings(again)) == on_paper(again)

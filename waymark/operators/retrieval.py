@@ -101,14 +101,8 @@ def phrase_dictionary(specs: DataFrame) -> DataFrame:
     )
 
 
-def page_positions(
-    corpus: DataFrame, doc_id: str, title: str | None, fields: Sequence[str]
-) -> DataFrame:
-    """(doc, tokens, in_title, i, word) for every word position of a page.
-
-    The outer form of explode keeps Spark from adding an "array is not empty"
-    filter that would split every text a second time.
-    """
+def page_tokens(corpus: DataFrame, doc_id: str, title: str | None, fields: Sequence[str]) -> DataFrame:
+    """(doc, tokens, title_words): a page's words in order, the title's first."""
 
     def field_words(c: str) -> Column:
         return F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+")
@@ -121,7 +115,18 @@ def page_positions(
         F.col(doc_id).alias("doc"),
         (F.concat(*parts) if len(parts) > 1 else parts[0]).alias("tokens"),
         (F.size(field_words(title)) if title else F.lit(0)).alias("title_words"),
-    ).select(
+    )
+
+
+def page_positions(
+    corpus: DataFrame, doc_id: str, title: str | None, fields: Sequence[str]
+) -> DataFrame:
+    """(doc, tokens, title_words, i, word) for every word position of a page.
+
+    The outer form of explode keeps Spark from adding an "array is not empty"
+    filter that would split every text a second time.
+    """
+    return page_tokens(corpus, doc_id, title, fields).select(
         "doc",
         "tokens",
         "title_words",
@@ -129,7 +134,7 @@ def page_positions(
     )
 
 
-def _stored_bytes(phrase: str) -> Column:
+def stored_bytes(phrase: str) -> Column:
     """Generous size of a broadcast row that holds the text up to three times."""
     return 3 * F.octet_length(phrase) + 96
 
@@ -152,8 +157,8 @@ def phrase_hits(
     # One row of measurements decides the join strategy.
     size = dictionary.agg(
         F.count("*").alias("n"),
-        F.coalesce(F.sum(_stored_bytes("phrase")), F.lit(0)).alias("phrases"),
-        F.coalesce(F.sum(_stored_bytes("word")), F.lit(0)).alias("heads"),
+        F.coalesce(F.sum(stored_bytes("phrase")), F.lit(0)).alias("phrases"),
+        F.coalesce(F.sum(stored_bytes("word")), F.lit(0)).alias("heads"),
         F.array_sort(F.collect_set("n_words")).alias("lengths"),
     ).first()
     positions = page_positions(corpus, doc_id, title, fields)

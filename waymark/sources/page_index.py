@@ -8,7 +8,7 @@ Layout under the index's folder:
 - ``pages``: what resolving needs of a page besides its words - title, URL, contact counts, cut content;
 - ``batches``: the finished batches.  A batch whose writing was interrupted is not listed and never read.
 
-Terms that many pages hold are dealt by (term, page) first; Spark then rebalances the buckets by size, so a frequent word's postings
+A page's postings are made where it is read; Spark then rebalances the buckets by size, so a frequent word's postings
 spread over as many tasks and files as they fill.
 """
 
@@ -26,12 +26,15 @@ from waymark.functions.pages import DEFAULT_RULES, PageRules
 from waymark.functions.text import truncate_content
 from waymark.functions.urls import on_sites
 from waymark.operators.retrieval import (
+    BROADCAST_BYTES,
     FIELD_BREAK,
     distinct_hits,
     page_positions,
+    page_tokens,
     phrase_dictionary,
     query_content,
     rank_hits,
+    stored_bytes,
 )
 from waymark.operators.selection import contact_columns
 from waymark.session import materialize
@@ -90,14 +93,44 @@ def extend_index(
     return _add_batch(new, path, index.buckets, doc_id, title, url, content, rules, max_chars)
 
 
+def _postings(corpus: DataFrame, doc_id: str, title: str | None, fields: Sequence[str]) -> DataFrame:
+    """(term, doc, title_words, at): a page's words are put together where the page is read.
+
+    Pages that share an id are one page to the index; only their words meet in a shuffle.
+    """
+    ids = corpus.groupBy(F.col(doc_id)).agg(F.count("*").alias("_pages")).where("_pages > 1").select(doc_id)
+    shared = materialize(ids, "shared-ids")
+    if shared.isEmpty():
+        return _page_postings(corpus, doc_id, title, fields)
+    words = page_positions(corpus.join(shared, doc_id, "left_semi"), doc_id, title, fields)
+    merged = words.where(~F.col("word").isin("", FIELD_BREAK)).groupBy(F.col("word").alias("term"), "doc").agg(
+        F.first("title_words").alias("title_words"), F.array_sort(F.collect_list("i")).alias("at")
+    )
+    alone = _page_postings(corpus.join(shared, doc_id, "left_anti"), doc_id, title, fields)
+    return alone.unionByName(merged)
+
+
+def _page_postings(corpus: DataFrame, doc_id: str, title: str | None, fields: Sequence[str]) -> DataFrame:
+    """The same for unique ids, without a shuffle: the sorted words of a page, cut where the word changes."""
+    tokens = page_tokens(corpus, doc_id, title, fields)
+    # The outer forms of explode and one column a step keep each array from being built twice.
+    words = F.filter(F.transform("tokens", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda t: ~t["w"].isin("", FIELD_BREAK))
+    pages = tokens.select("doc", "title_words", F.sort_array(words).alias("words"))
+    starts = "filter(transform(words, (t, i) -> i), i -> i = 0 or words[i].w <> words[i - 1].w)"
+    runs = pages.select("*", F.expr(starts).alias("starts")).select(
+        "doc", "title_words", "words", "starts", F.posexplode_outer("starts").alias("n", "start")
+    )
+    size = F.expr("if(n + 1 < size(starts), starts[n + 1], size(words)) - start")
+    run = F.slice("words", F.col("start") + 1, size).alias("run")
+    cut = runs.where("start is not null").select("doc", "title_words", run)
+    return cut.select(F.expr("run[0].w").alias("term"), "doc", "title_words", F.col("run.i").alias("at"))
+
+
 def _add_batch(corpus, path, buckets, doc_id, title, url, content, rules, max_chars) -> PageIndex:
     spark, batch = corpus.sparkSession, uuid.uuid4().hex
     corpus = corpus.where(F.col(doc_id).isNotNull())
     fields = [c for c in (url, content) if c]
-    words = page_positions(corpus, doc_id, title, fields).where(~F.col("word").isin("", FIELD_BREAK))
-    postings = words.groupBy(F.col("word").alias("term"), "doc").agg(
-        F.first("title_words").alias("title_words"), F.array_sort(F.collect_list("i")).alias("at")
-    )
+    postings = _postings(corpus, doc_id, title, fields)
     dealt = postings.withColumn("bucket", _bucket("term", buckets)).hint("rebalance", "bucket")
     dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
     empty = F.lit(None).cast("string")
@@ -153,8 +186,12 @@ def indexed_hits(specs: DataFrame, index: PageIndex, sites: Sequence[str] | None
     dictionary = materialize(phrase_dictionary(specs), "dictionary")
     words = dictionary.select("phrase", F.posexplode(F.split("phrase", " ")).alias("offset", "term"))
     wanted = _wanted_buckets(words, "term", index.buckets)
-    terms = words.select("term").distinct()
     postings = index.postings.where(F.col("bucket").isin(wanted)).drop("bucket")
+    terms = materialize(words.select("term").distinct(), "terms")
+    size = terms.agg(F.coalesce(F.sum(stored_bytes("term")), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        # other words leave the lookups below in the scan, not after a shuffle
+        postings = postings.join(F.broadcast(terms), "term", "left_semi")
     counts = postings.groupBy("term").agg(F.count("*").alias("pages")).join(terms, "term", "left_semi")
     lead = F.min_by(F.struct("term", "offset"), F.struct("pages", "offset")).alias("lead")
     leads = (
