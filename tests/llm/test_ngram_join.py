@@ -8,6 +8,7 @@ import pytest
 
 from waymark.llm.common import shingle_set
 from waymark.llm.ngram_join import Rule, ngram_components, without_near_copies
+from waymark.session import exists, scratch_path
 
 SCHEMA = "doc_id long, text string, n_shingles string, tile string"
 
@@ -156,3 +157,23 @@ def test_hot_tiles(spark, corpus, monkeypatch):
     df = spark.createDataFrame([(d, t, "x", "y") for d, t in corpus], SCHEMA)
     got = {r[0]: (r[1], r[2]) for r in ngram_components(df, 4, 85, 100).collect()}
     assert got == brute(corpus, 4, 85, 100)
+
+
+def test_a_set_takes_no_more_tiles_than_it_can_differ():
+    """Of the slices of a band only the fullest, one more than the shingles in which a linked set can differ."""
+    rng = np.random.default_rng(17)
+    for num, den in ((4, 5), (85, 100)):
+        rule = Rule(4, num, den)
+        for n in (50, 130, 277, 600, 1500):
+            found = rule.tiles(np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)))
+            differ = (n + n * den // num) * (den - num) // (den + num)
+            assert 0 < len(found) <= (differ + 1) * len(rule.bands_of(n))
+
+
+def test_tile_keys_do_not_stay(spark, monkeypatch):
+    """Once the common tiles are stored, the table of all tiles is dropped."""
+    paths = []
+    monkeypatch.setattr("waymark.llm.ngram_join.scratch_path", lambda *a: paths.append(scratch_path(*a)) or paths[-1])
+    df = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "x")], "doc_id long, text string")
+    assert sorted(map(tuple, ngram_components(df).collect())) == [(1, 4, 1), (2, 4, 1), (3, 1, 3)]
+    assert paths and not any(exists(spark, p) for p in paths)

@@ -4,7 +4,9 @@ A document is the set of its distinct word shingles.  Two documents link when
 ``den * |A & B| >= num * |A | B|``.  Sets are compared inside *tiles* only: a tile holds the
 sets of one size band that agree on a whole slice of the hash range.  A linked pair of sizes
 a and b differs in at most ``(a + b) * (den - num) / (den + num)`` shingles; a band cuts the hash range
-into some slices more than that, so every linked pair agrees on some.  All of these may be empty only if both sets have
+into some slices more than that, so every linked pair agrees on some.  A set takes only its fullest slices (of equally full
+ones those of the smaller keys), one more than it can differ in from any set of the band it links with: the first slice in
+that order on which a linked pair agrees is among them on both sides.  That slice may be empty only if both sets have
 so many empty slices; such sets are in the tiles of their smallest hashes as well, one of which a linked pair
 has in common.  So every linked pair shares at least one tile, and no other bound or cap is used.  Inside a tile bit counts of hashed bitmaps bound the overlap from above; what
 passes is decided by intersecting the sorted hash arrays.
@@ -24,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import batches, components, mix, semi_join, shingle_set
+from waymark.llm.common import BROADCAST_BYTES, batches, components, mix, semi_join, shingle_set
 from waymark.operators.fusion import hot_entities
-from waymark.session import materialize
+from waymark.session import materialize, remove, scratch_path
 
-#: Width of a size band: sets up to 1.35 times as large share its slices.
-BAND_RATIO = 1.35
+#: Width of a size band: sets up to 1.9 times as large share its slices.
+BAND_RATIO = 1.9
 #: Members of a tile that one task compares with as many others.
 BLOCK = 2048
 #: Followers of one leader that one task verifies.
@@ -80,25 +82,29 @@ class Rule:
         """Keys of the tiles a set belongs to.
 
         Bands in which any difference breaks the link (equal sets are joined
-        before) have none.  Empty slices make no tile.  Where a set has so many that all the slices on
-        which it agrees with another could be empty, so has the other: each of the two lacks at most ``n - ceil(n * num / den)``
+        before) have none.  A set of n shingles and one of m that it links with disagree on ``differ`` slices at most, so of the
+        slices in order of fullness and key one of the first ``differ + 1`` of either is common to both.  Empty slices are the last and make no tile.  Where a set has so few others that the
+        common slice could be empty, so has the other: each of the two lacks at most ``n - ceil(n * num / den)``
         of its own shingles in the overlap, so the smallest hash of the overlap is among that many and one more of both.
         """
         n = len(hashes)
         found = []
         for g in self.bands_of(n):
-            k, agree = self.slices(g)
-            if k == agree:
+            k, _ = self.slices(g)
+            largest = min(self.edge(g + 1) - 1, n * self.den // self.num)
+            differ = (n + largest) * (self.den - self.num) // (self.den + self.num)
+            if not differ:
                 continue
             part = ((hashes >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
             start = np.searchsorted(part, np.arange(k + 1, dtype=np.uint64))
             sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes + np.uint64(97)), dtype=np.uint64)])
             key = sums[start[1:]] - sums[start[:-1]]
             seed = mix(np.arange(k, dtype=np.uint64) + np.uint64(g << 40))
-            filled = start[1:] > start[:-1]
-            keys = mix(key + seed)
-            found.append(keys[filled])
-            if k - int(filled.sum()) >= agree:
+            held = np.diff(start)
+            filled = np.flatnonzero(held)
+            keys = mix(key + seed)[filled]
+            found.append(keys[np.lexsort((keys, -held[filled]))[: differ + 1]])
+            if len(filled) <= differ:
                 smallest = hashes[: n + 1 + (-n * self.num) // self.den]
                 found.append(mix(smallest ^ np.uint64(g << 40 | 1 << 32)))
         return np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
@@ -135,6 +141,7 @@ def _longs(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 _SETS = "doc_id long, n_shingles long, f1 long, f2 long, tiles array<long>"
+_ARRAYS = "doc_id long, n_shingles long, hashes binary, bits binary"
 
 
 def _describe(rule: Rule):
@@ -166,7 +173,7 @@ def _describe(rule: Rule):
 
 
 def _arrays(rule: Rule):
-    """doc_id, text -> sorted hashes and bitmap as bytes."""
+    """doc_id, text -> set size, sorted hashes and bitmap as bytes."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, 128):
@@ -174,10 +181,11 @@ def _arrays(rule: Rule):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    pa.array([len(h) for h in sets], pa.int64()),
                     pa.array([h.tobytes() for h in sets], pa.binary()),
                     pa.array([bitmap(h).tobytes() for h in sets], pa.binary()),
                 ],
-                names=["doc_id", "hashes", "bits"],
+                names=["doc_id", "n_shingles", "hashes", "bits"],
             )
 
     return run
@@ -270,6 +278,8 @@ def _verified(rule: Rule, edges: DataFrame, sets: DataFrame) -> DataFrame:
     The leader's set is stored once for every ``FOLLOWERS`` edges, so a
     leader that a third of all rows follow spreads over tasks.
     """
+    ends = materialize(edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct(), "edge-ends")
+    sets = semi_join(sets, ends, "doc_id").select("doc_id", "hashes", "bits")
     counts = materialize(
         edges.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("salts")), "leaders"
     )
@@ -299,21 +309,28 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     """
     rule = Rule(size, num, den)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = materialize(texts.mapInArrow(_describe(rule), _SETS), "ngram-sets")
+    spark = docs.sparkSession
+    # The tiles are the largest table: dropped as soon as those that sets share are stored.
+    path = scratch_path(spark, "ngram-sets")
+    texts.mapInArrow(_describe(rule), _SETS).write.parquet(path)
+    tiled = spark.read.schema(_SETS).parquet(path)
+    described = materialize(tiled.drop("tiles"), "names")
     known = described.where("doc_id is not null and n_shingles > 0")
 
     # Equal sets count as one, named by their smallest id.
     classes = materialize(known.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = known.join(
-        classes.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi"
-    )
+    named = classes.select(F.col("rep").alias("doc_id"), "f1", "f2")
+    named = F.broadcast(named) if classes.count() * 40 <= BROADCAST_BYTES else named
+    tiled = tiled.where("doc_id is not null and size(tiles) > 0")
+    reps = tiled.join(named, ["doc_id", "f1", "f2"], "left_semi").select("doc_id", "tiles")
 
     tiles = materialize(_shared_tiles(reps), "tiles")
+    remove(spark, path)
     followers = tiles.where("doc_id <> lead").groupBy("doc_id").agg(F.min("lead").alias("a"))
     first = materialize(followers.select("a", F.col("doc_id").alias("b")), "first-edges")
 
     ids = materialize(tiles.select("doc_id").distinct(), "tile-members")
-    arrays = semi_join(texts, ids, "doc_id").mapInArrow(_arrays(rule), "doc_id long, hashes binary, bits binary")
+    arrays = semi_join(texts, ids, "doc_id").mapInArrow(_arrays(rule), _ARRAYS)
     sets = materialize(arrays, "hash-arrays")
     links = materialize(_verified(rule, first, sets), "links")
     # An id with several texts joins the classes of all of them.
@@ -327,7 +344,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     # Tiles whose members are not yet in one component are compared pairwise.
     labelled = materialize(
         tiles.join(labels, tiles.doc_id == labels.node, "left").select(
-            "tile", "doc_id", "n_shingles", "members", F.coalesce("root", "doc_id").alias("label")
+            "tile", "doc_id", "members", F.coalesce("root", "doc_id").alias("label")
         ),
         "labelled",
     )
@@ -353,16 +370,16 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
 
 
 def _shared_tiles(reps: DataFrame) -> DataFrame:
-    """Tiles of two sets or more: doc_id, n_shingles, tile, members, lead (the smallest doc_id).
+    """Tiles of two sets or more: doc_id, tile, members, lead (the smallest doc_id).
 
     A tile with more than ``HOT_TILE`` rows never comes together in one task: it is summed where its rows
     lie.  Only such with less than 0.02 % of all rows may be missed.
     """
-    member = reps.select("doc_id", "n_shingles", F.explode("tiles").alias("tile"))
+    member = reps.select("doc_id", F.explode("tiles").alias("tile"))
     by_tile = F.expr("count(*) over (partition by tile)"), F.expr("min(doc_id) over (partition by tile)")
 
     def counted(rows: DataFrame) -> DataFrame:
-        rows = rows.select("doc_id", "n_shingles", "tile", by_tile[0].alias("members"), by_tile[1].alias("lead"))
+        rows = rows.select("doc_id", "tile", by_tile[0].alias("members"), by_tile[1].alias("lead"))
         return rows.where("members > 1")
 
     hot = hot_entities(member, "tile", HOT_TILE)
@@ -388,10 +405,9 @@ def _between_components(rule: Rule, labelled: DataFrame, mixed: DataFrame, sets:
             "doc_id",
             F.when(F.col("blocks") == 1, -1).when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"),
             "label",
-            "n_shingles",
         )
     )
-    maps = sets.select("doc_id", "bits")
+    maps = sets.select("doc_id", "n_shingles", "bits")
     paired = (
         block.join(maps, "doc_id")
         .select("tile", "i", "j", "doc_id", "side", "label", "n_shingles", "bits")
