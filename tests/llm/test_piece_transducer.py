@@ -2,6 +2,7 @@
 
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,3 +88,39 @@ def test_pieces_over_a_boundary_are_refused():
     piece = b"\x0a" + bytes([len("a▁b".encode())]) + "a▁b".encode()
     with pytest.raises(ValueError, match="boundary"):
         Transducer(b"\x0a" + bytes([len(piece)]) + piece)
+
+
+def test_texts_are_encoded_once(spark):
+    """Ids and decoded texts come from one function; two chained ones had every text encoded twice."""
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    plan = encode_documents(df, PATH, decoded="back")._jdf.queryExecution().executedPlan().toString()
+    step = next(line for line in plan.splitlines() if "ArrowEvalPython" in line)
+    assert step.count("encode(text") == 1
+
+
+def test_runs_have_the_paths_of_whole_chunks(model):
+    """Chunks that differ in signs behind a word share the word's run."""
+    whole, cut = Transducer(model), Transducer(model)
+    whole.apart[:] = False
+    texts = [*TEXTS, None, "word. word, word!! (word) word.\nNext don't www.x-y.com/a?b=1&c=é... 日本。本", "▁▁x ▁", "x.é☃.☃é"]
+    assert cut.encode(texts) == whole.encode(texts)
+    cut = Transducer(model)
+    cut.encode(["word word. word, word.\n\nword"])
+    assert sum("word" in run for run in cut.known) == 2
+    assert cut.decode_column(cut.encode_column(pa.array(texts, pa.string()))).to_pylist() == [cut.decode(e) for e in cut.encode(texts)]
+
+
+def test_undecodable_ids(model):
+    t = Transducer(model)
+    ids = [[int(t.byte_ids[0xE3])], [], [int(t.byte_ids[0x20]), int(t.byte_ids[0xFF])]]
+    got = t.decode_column(pa.array(ids, pa.list_(pa.int32()))).to_pylist()
+    assert got == [t.decode(np.array(i, "<u4").tobytes()) for i in ids] == ["�", "", "�"]
+
+
+def test_batches_hold_so_many_bytes():
+    from waymark.llm.common import text_batches
+
+    texts = ["x" * n for n in (3, 3, 3, 20, 0, 1)] + [None, "x" * 9]
+    rows = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    got = [b.column(0).to_pylist() for b in text_batches(iter([rows, rows.slice(0, 0)]), "text", 8)]
+    assert got == [texts[:2], texts[2:3], texts[3:4], texts[4:7], texts[7:]]

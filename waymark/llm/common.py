@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from waymark.session import materialize
 
 #: Bytes of text hashed in one numpy pass: temporaries are about 40 times that.
 PASS_BYTES = 1 << 20
+#: Bytes of text whose words are made distinct at once: temporaries are about ten times that.
+TEXT_BYTES = 4 << 20
 #: A side is broadcast only while its counted rows fit in this many bytes.
 BROADCAST_BYTES = 32 << 20
 
@@ -95,6 +98,47 @@ def batches(rows: Iterator[pa.RecordBatch], at_most: int = 512) -> Iterator[pa.R
             yield batch.slice(start, at_most)
 
 
+def text_batches(rows: Iterator[pa.RecordBatch], column: str, at_most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``at_most`` bytes in one column; a row with more is a batch of its own."""
+    for batch in rows:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + at_most, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def cut_strings(texts: pa.Array, table: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Strings cut between bytes x, y wherever ``table[x, y]``: (all parts in order, where each string's parts begin and the last end).
+
+    An empty string has no part.  ``texts`` is no slice and has no nulls.
+    """
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32, len(texts) + 1) if len(texts) else np.zeros(1, np.int32)
+    letters = np.frombuffer(data or b"", np.uint8)[: ends[-1]]
+    cut = np.zeros(len(letters) + 1, dtype=bool)
+    cut[1:-1] = table[letters[:-1], letters[1:]]
+    cut[ends] = True
+    at = np.flatnonzero(cut).astype(np.int32)
+    parts = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at), data])
+    return parts, np.searchsorted(at, ends)
+
+
+def number_lists(parts: list[bytes], width: str) -> pa.ListArray:
+    """Numbers of type ``width``, given as bytes, as one column of lists."""
+    flat = np.frombuffer(b"".join(parts), width)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // flat.itemsize
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
+
+
+def joined_lists(lists: pa.ListArray, places: pa.Array | np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    """The lists at ``places[ends[i] : ends[i + 1]]`` as one list, for each i."""
+    taken = lists.take(pa.array(places))
+    return pa.ListArray.from_arrays(taken.offsets.take(pa.array(ends)), taken.values)
+
+
 def free_name(taken: list[str], name: str) -> str:
     """``name``, or with a number behind it where a column has that name already (whatever its case)."""
     used = {c.lower() for c in taken}

@@ -7,8 +7,8 @@ the transducer with it and taking the path of least total cost (tropical semirin
 inverse: ids back to bytes.
 
 No piece reaches from a character over a following word boundary, so the shortest path of a text is that of its
-chunks in turn; distinct chunks are composed together, all start positions at once, and a worker
-remembers their paths.
+chunks in turn, and a chunk is cut further wherever no piece has the two characters side by side.  The distinct runs of a few
+megabytes of texts are composed together, all start positions at once, and a worker remembers their paths.
 """
 
 from __future__ import annotations
@@ -19,16 +19,17 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import batches, free_name
+from waymark.llm.common import cut_strings, free_name, joined_lists, number_lists, text_batches
 
 #: Extra cost of leaving the pieces, above the dearest of them, as SentencePiece sets it.
 FALLBACK_PENALTY = 10.0
-#: Paths a worker remembers.  A full memory keeps its older half: common chunks come early.
-REMEMBERED = 500_000
-#: Characters of a chunk that is remembered, so that the memory has a bound in bytes: longer ones hardly come again.
+#: Paths a worker remembers.  A full memory keeps its older half: common runs come early.
+REMEMBERED = 250_000
+#: Characters of a run that is remembered, so that the memory has a bound in bytes: longer ones hardly come again.
 REMEMBERED_CHARS = 40
 #: Characters composed at once.
 COMPOSED = 1 << 15
@@ -95,6 +96,7 @@ class Transducer:
         self.has_bytes = bool((self.byte_ids >= 0).all())
         if not self.has_bytes:
             self.bytes_of[self.unknown] = " ⁇ ".encode()
+        self.spelt = pa.array(self.bytes_of, pa.binary())
         scores = [s for _, s, _ in normal]
         self.fallback_cost = FALLBACK_PENALTY - min(scores, default=0.0)
 
@@ -113,6 +115,13 @@ class Transducer:
             final_id[state], final_cost[state] = i, -score
         self._arc_table(np.array(sorted(arcs), dtype=np.int64), np.array([arcs[k] for k in sorted(arcs)], dtype=np.int64))
         self.final_id, self.final_cost = np.array(final_id), np.array(final_cost)
+        # Pairs of bytes, the second of them the first of a character, that no piece has side by side: no arc goes over such
+        # a place, so the path of a chunk is that of its runs in turn.  Unknown characters in a row must stay together.
+        self.apart = np.full((256, 256), self.has_bytes)
+        self.apart[:, 0x80:0xC0] = False
+        for piece, _, _ in normal:
+            spelt = np.frombuffer(piece.encode(), np.uint8)
+            self.apart[spelt[:-1], spelt[1:]] = False
         self.known: dict[str, bytes] = {}
 
     def _arc_table(self, keys: np.ndarray, targets: np.ndarray) -> None:
@@ -270,27 +279,88 @@ class Transducer:
         unknown = np.array([self.unknown], "<u4").tobytes()
         return b"".join(p for i, p in enumerate(parts) if p != unknown or not i or parts[i - 1] != unknown)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts; null counts as empty."""
-        split = [self.chunks(t or "") for t in texts]
+    def _paths(self, runs: list[str]) -> list[bytes]:
+        """Ids of the cheapest path of each of some distinct runs, remembered or new."""
         if len(self.known) > REMEMBERED:
             self.known = dict(islice(self.known.items(), REMEMBERED // 2))
         known = self.known
-        new = list(dict.fromkeys([c for chunks in split for c in chunks if c not in known]))
         held, size, passing = [], 0, []
-        for chunk in new:
-            held.append(chunk)
-            size += len(chunk)
-            if len(chunk) > REMEMBERED_CHARS:
-                passing.append(chunk)
+        for run in [r for r in runs if r not in known]:
+            held.append(run)
+            size += len(run)
+            if len(run) > REMEMBERED_CHARS:
+                passing.append(run)
             if size > COMPOSED:
                 known.update(zip(held, self.shortest_paths(held), strict=True))
                 held, size = [], 0
         known.update(zip(held, self.shortest_paths(held), strict=True))
-        encoded = [b"".join([known[c] for c in chunks]) for chunks in split]
-        for chunk in passing:
-            del known[chunk]
-        return encoded
+        paths = [known[r] for r in runs]
+        for run in passing:
+            del known[run]
+        return paths
+
+    def _placed(self, chunks: pa.Array, places: pa.Array, ends: np.ndarray) -> pa.ListArray:
+        """Ids of texts of which each is the chunks at its places."""
+        runs, bounds = cut_strings(chunks, self.apart)
+        runs = runs.dictionary_encode()
+        paths = number_lists(self._paths(runs.dictionary.to_numpy(zero_copy_only=False).tolist()), "<i4")
+        return joined_lists(joined_lists(paths, runs.indices, bounds), places, ends)
+
+    def _plain(self, texts: pa.Array) -> np.ndarray:
+        """Which texts are not empty and have single spaces only, inside: their chunks are their words, each behind a boundary."""
+        if not self.dummy_prefix or not self.escape or self.squeeze:
+            return np.zeros(len(texts), dtype=bool)
+        odd = pc.equal(texts, "")
+        for found in (pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.match_substring(texts, "  "), pc.match_substring(texts, BOUNDARY)):
+            odd = pc.or_(odd, found)
+        return ~odd.to_numpy(zero_copy_only=False)
+
+    def _encode_plain(self, texts: pa.Array) -> pa.ListArray:
+        words = pc.split_pattern(texts, " ")
+        places = words.values.dictionary_encode()
+        chunks = pc.binary_join_element_wise(BOUNDARY, places.dictionary, "")
+        return self._placed(chunks, places.indices, words.offsets.to_numpy())
+
+    def _encode_other(self, texts: list[str]) -> pa.ListArray:
+        split = [self.chunks(t) for t in texts]
+        places = pa.array([c for chunks in split for c in chunks], pa.string()).dictionary_encode()
+        ends = np.concatenate([[0], np.cumsum([len(chunks) for chunks in split])]).astype(np.int64)
+        return self._placed(places.dictionary, places.indices, ends)
+
+    def encode_column(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of whole texts as lists of 32-bit integers; null counts as empty.
+
+        The distinct runs of the column are looked up or composed once, then put in their places.
+        """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        plain = self._plain(texts)
+        if plain.all():
+            return self._encode_plain(texts)
+        both = pa.concat_arrays([self._encode_plain(texts.filter(pa.array(plain))), self._encode_other(texts.filter(pa.array(~plain)).to_pylist())])
+        return both.take(pa.array(np.argsort(np.argsort(~plain, kind="stable"), kind="stable")))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts, little-endian 32-bit; null counts as empty."""
+        lists = self.encode_column(pa.array(texts, pa.string()))
+        ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+
+    def decode_column(self, lists: pa.ListArray) -> pa.Array:
+        """The text of each list of ids; bytes that are no UTF-8 become the replacement character."""
+        pieces = self.spelt.take(lists.values)
+        _, offsets, data = pieces.buffers()
+        offsets = np.frombuffer(offsets, np.int32, len(pieces) + 1)[lists.offsets.to_numpy()]
+        if self.dummy_prefix and len(pieces):
+            letters = np.frombuffer(data, np.uint8)
+            first = offsets[:-1][offsets[:-1] < offsets[1:]]
+            first = first[letters[first] == 32]
+            data = pa.py_buffer(np.delete(letters, first))
+            offsets = (offsets - np.searchsorted(first, offsets)).astype(np.int32)
+        texts = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets), data])
+        try:
+            return texts.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
 
     def decode(self, ids: bytes) -> str:
         """The text of some ids; bytes that are no UTF-8 become the replacement character."""
@@ -319,23 +389,21 @@ def encode_documents(docs: DataFrame, model_path: str, name: str = "ids", decode
     with open(model_path, "rb") as file:
         model = docs.sparkSession.sparkContext.broadcast(file.read())
 
-    def ids_array(encoded: list[bytes]) -> pa.Array:
-        offsets = np.concatenate([[0], np.cumsum([len(e) // 4 for e in encoded])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
-
-    @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        column = pa.RecordBatch.from_arrays([texts], names=["text"])
-        parts = [compiled(model.value).encode(b.column(0).to_pylist()) for b in batches([column], 256)]
-        return ids_array([e for part in parts for e in part])
+    kind = "struct<ids: array<int>, decoded: string>" if decoded else "struct<ids: array<int>>"
 
-    @F.arrow_udf("string")
-    def decode(ids: pa.Array) -> pa.Array:
-        ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4").tobytes()
-        return pa.array(
-            [compiled(model.value).decode(flat[4 * a : 4 * b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string()
-        )
+    # Ids and texts come from one function: of two that are chained, Spark would run the first twice.
+    @F.arrow_udf(kind)
+    def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        rows = (pa.RecordBatch.from_arrays([texts], names=["text"]) for texts in columns)
+        for batch in text_batches(rows, "text"):
+            transducer = compiled(model.value)
+            ids = transducer.encode_column(batch.column(0))
+            parts = [ids, transducer.decode_column(ids)] if decoded else [ids]
+            yield pa.StructArray.from_arrays(parts, names=["ids", "decoded"][: len(parts)])
 
     name = free_name(docs.columns, name)
-    encoded = docs.withColumn(name, encode("text"))
-    return encoded.withColumn(free_name(encoded.columns, decoded), decode(name)) if decoded else encoded
+    names = [name, *([free_name([*docs.columns, name], decoded)] if decoded else [])]
+    made = free_name([*docs.columns, *names], "encoded")
+    encoded = docs.withColumn(made, encode("text"))
+    parts = {c: F.col(f"`{made}`.{part}") for c, part in zip(names, ("ids", "decoded"), strict=False)}
+    return encoded.withColumns(parts).drop(made)
