@@ -78,3 +78,34 @@ def test_long_text_without_a_space(spark, tmp_path):
     local = encoder(WORD, 1, True)
     local.encode([t for _, t in rows])
     assert max(map(len, local.known)) <= REMEMBERED_CHARS
+
+
+def test_words_share_their_letters():
+    """Case, signs and digits around a run of letters do not make a word that is encoded and remembered anew."""
+    from waymark.llm.token_files import Encoder
+
+    local = Encoder(WORD, 1, True)
+    local.encode(["Word word. WORD, (word) word12 word\nword!!"])
+    assert [run for run in local.known if run.isalpha()] == ["word"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abAZéÉß'.!1 2\n\t<|>٣日Σς́ﬁİ÷", max_size=20) | st.text(max_size=20) | st.sampled_from(TEXTS), max_size=4))
+def test_columns_have_the_ids_of_whole_texts(texts):
+    from waymark.llm.token_files import encoder
+
+    tokenizer = encoder(WORD, 1, True).tokenizer
+    want = [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+    assert encoder(WORD, 1, True).encode(texts) == want
+    assert encoder(WORD, 1, False).encode(texts) == want
+
+
+def test_files_stay_small(spark, tmp_path, monkeypatch):
+    """A task's records go to several files, whose places follow their numbers."""
+    monkeypatch.setattr("waymark.llm.token_files.RECORD_IDS", 3)
+    rows = [(i, f"word{i} and more") for i in range(100)]
+    write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), WORD, str(tmp_path), by_word=True, files=2)
+    assert len(list((tmp_path / "files").glob("part-*"))) > 6
+    got = sorted((r["start"], r["doc_id"], len(r["ids"]) // 4) for r in read_token_files(spark, str(tmp_path)).collect())
+    assert [d for _, d, _ in got] == list(range(100))
+    assert [s for s, _, _ in got] == np.cumsum([0] + [n for _, _, n in got])[:-1].tolist()

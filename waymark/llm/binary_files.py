@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_records(df: DataFrame, column: str, path: str, compression: str = "none") -> None:
-    """One file for each partition, the binary column's values in row order."""
+def write_records(df: DataFrame, column: str, path: str, compression: str = "none", at_most: int = 0) -> None:
+    """One file for each partition, or for each ``at_most`` rows of it, the binary column's values in row order."""
     text = df.select(F.col(column).cast("string").alias("value"))
-    text.write.option("compression", compression).option("lineSep", "\n").text(path)
+    text.write.option("compression", compression).option("lineSep", "\n").option("maxRecordsPerFile", at_most).text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -15,7 +15,7 @@ from waymark.session import materialize
 #: Bytes of text hashed in one numpy pass: temporaries are about 40 times that.
 PASS_BYTES = 1 << 20
 #: Bytes of text whose words are made distinct at once: temporaries are about ten times that.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 #: A side is broadcast only while its counted rows fit in this many bytes.
 BROADCAST_BYTES = 32 << 20
 
@@ -107,6 +107,8 @@ def text_batches(rows: Iterator[pa.RecordBatch], column: str, at_most: int = TEX
             before = int(ends[start - 1]) if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + at_most, side="right")))
             yield batch.slice(start, stop - start)
+            # Else the pool keeps the largest batch's temporaries for as long as the worker lives.
+            pa.default_memory_pool().release_unused()
             start = stop
 
 
