@@ -97,3 +97,26 @@ def test_prefixes_are_shuffled_once(spark, monkeypatch):
         assert "ReusedExchange" in plan._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pairs_leave_the_join_once(spark, monkeypatch):
+    """Not once for each prefix word that two lines share; and few whose words differ too much ship their words."""
+    from waymark.llm import line_dedup
+
+    pairs, labels, verified, stored = [], {}, line_dedup._verified, line_dedup.materialize
+
+    def none_verified(docs, found, *a):
+        pairs.append(found)
+        return verified(docs, found, *a).limit(0 if len(pairs) == 1 else 10)
+
+    def materialize(df, label):
+        labels[label] = stored(df, label)
+        return labels[label]
+
+    monkeypatch.setattr(line_dedup, "_verified", none_verified)
+    monkeypatch.setattr(line_dedup, "materialize", materialize)
+    common = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, f"{common} x"), (2, f"{common} y")], "doc_id long, text string")
+    assert [r["doc_id"] for r in line_dedup.removed_lines(docs).collect()] == [2]
+    assert pairs[1].count() <= 2
+    assert labels["likely-pairs"].count() == 1

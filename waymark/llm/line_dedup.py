@@ -103,7 +103,8 @@ def _described(docs: DataFrame, rarity: Column, num: int, den: int, min_words: i
             "n",
             "aggregate(hashes, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63 as int))) as parity",
             f"transform(slice(tokens, 1, n - {need} + 1), {short}) as prefix",
-            f"size(filter(tokens, t -> shiftright(t, 57) < shiftright(get(tokens, n - {need}), 57))) as lead",
+            # Tokens are sorted, so those of a class before the prefix's last are in the prefix.
+            f"size(filter(slice(tokens, 1, n - {need}), t -> shiftright(t, 57) < shiftright(get(tokens, n - {need}), 57))) as lead",
         )
         .groupBy("t1", "t2")
         .agg(
@@ -147,20 +148,23 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int =
 
     # What is settled looks for no more; its place is still one that later lines can match.
     done = settled.select(F.col("b").alias("place"), F.lit(1).alias("done"))
-    small = settled.count() * 64 <= BROADCAST_BYTES
-    marked = distinct.join(F.broadcast(done) if small else done, "place", "left").select(
+    marked = distinct.join(_small(done, 64), "place", "left").select(
         "place.doc_id",
         "place.pos",
         F.coalesce("done", F.lit(0)).alias("done"),
         "n",
         "parity",
+        "prefix",
         F.posexplode("prefix").alias("i", "token"),
     )
+    marked = marked.selectExpr("doc_id", "pos", "done", "n", "parity", "i", "token", "if(i > 0, get(prefix, i - 1), -1) as before")
     # Both sides are one table, shuffled once.  That b is open is said together with a.i and a.done (never
     # negative): on its own it would be pushed below the shuffle of b, which would then be a second one, and so it
     # would be if one side needed a column that the other doesn't.
     earlier = "(a.doc_id < b.doc_id or a.doc_id = b.doc_id and a.pos < b.pos) and b.done <= least(a.i, a.done, 0)"
-    on = f"a.token = b.token and {earlier} and {_passes(num, den, 'a', 'b')}"
+    # Two lines with the same word before this one meet there, where the positional filter lets no less pass.
+    once = "(a.before <> b.before or a.before < 0)"
+    on = f"a.token = b.token and {earlier} and {once} and {_passes(num, den, 'a', 'b')}"
     pairs = marked.alias("a").join(marked.alias("b"), F.expr(on))
     place = "struct({0}.doc_id, {0}.pos) as {0}"
     found = _verified(docs, pairs.selectExpr(place.format("a"), place.format("b")), num, den)
@@ -169,10 +173,15 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int =
     # Copies of a line other than its first.
     raw = _lines(docs).selectExpr("doc_id", "pos", "xxhash64(line) as t1", "xxhash64(line, 7) as t2")
     firsts = materialize(distinct.where("copies > 1").select("t1", "t2", "place"), "repeated-lines")
-    copies = raw.join(firsts, ["t1", "t2"]).where("struct(doc_id, pos) > place").select("doc_id", "pos")
+    copies = raw.join(_small(firsts, 48), ["t1", "t2"]).where("struct(doc_id, pos) > place").select("doc_id", "pos")
     return near.unionByName(copies)
 
 
+def _small(stored: DataFrame, row: int) -> DataFrame:
+    """A stored table, to be broadcast if its counted rows of ``row`` bytes fit."""
+    return F.broadcast(stored) if stored.count() * row <= BROADCAST_BYTES else stored
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """The later places b for which one pair (a, b) of places holds on all words.
 
@@ -183,13 +192,22 @@ def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFram
     places = materialize(pairs.select(F.col("a").alias("place")).union(pairs.select("b")).distinct(), "places")
     lines = _lines(docs).withColumn("place", F.struct("doc_id", "pos"))
     sets = semi_join(lines, places, "place").select("place", F.expr(_HASHES).alias("tokens"))
-    sets = materialize(sets, "line-sets")
+    bit = "a ^ shiftleft(1L, cast(shiftright(h, 6) & 63 as int))"
+    parities = [f"aggregate(tokens, 0L, (a, h) -> if(shiftright(h, 12) & 3 = {k}, {bit}, a)) as p{k}" for k in range(4)]
+    sets = materialize(sets.selectExpr("place", "tokens", "size(tokens) as n", *parities), "line-sets")
+
+    def likely(some: DataFrame) -> DataFrame:
+        """Pairs whose parities of 256 bits differ in no more bits than the sets may in words: few others ship their words."""
+        a, b = (sets.selectExpr(f"place as {x}", f"struct(n, p0, p1, p2, p3) as s{x}") for x in "ab")
+        bits = " + ".join(f"bit_count(sa.p{k} ^ sb.p{k})" for k in range(4))
+        near = some.join(a, "a").join(b, "b").where(f"({bits}) * {num + den} <= (sa.n + sb.n) * {den - num}")
+        return materialize(near.select("a", "b"), "likely-pairs")
 
     def holds(some: DataFrame) -> DataFrame:
         left = sets.select(F.col("place").alias("a"), F.col("tokens").alias("ta"))
         right = sets.select(F.col("place").alias("b"), F.col("tokens").alias("tb"))
         common = "size(array_intersect(ta, tb))"
-        both = some.join(left, "a").join(right, "b")
+        both = likely(some).join(left, "a").join(right, "b")
         return both.where(f"{common} * {num + den} >= (size(ta) + size(tb)) * {num}").select("b").distinct()
 
     firsts = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")), "first-pairs")
